@@ -71,12 +71,12 @@ def analyze(text: Column, mode: str) -> Column:
     return F.when(text != "", F.array(term)).otherwise(F.array().cast("array<string>"))
 
 
-def search_terms(text: Column, mode: str, stop_words: tuple[str, ...]) -> Column:
-    """All searchable terms of a text: analysed, stop words dropped."""
+def placed_terms(text: Column, mode: str, stop_words: tuple[str, ...]) -> Column:
+    """The searchable terms of a text, each in its place; a dropped stop word leaves a null."""
     terms = analyze(text, mode)
     if not drops_stop_words(mode) or not stop_words:
         return terms
-    return F.filter(terms, lambda t: ~t.isin(*stop_words))
+    return F.transform(terms, lambda t: F.when(~t.isin(*stop_words), t))
 
 
 def query_terms(text: str, mode: str, stop_words: tuple[str, ...] = ()) -> list[tuple[int, str]]:

@@ -318,8 +318,11 @@ def searchable(fields: DataFrame) -> DataFrame:
 # --- wide documents --------------------------------------------------------------------------
 
 
-def search_column(rule: FieldRule, definition: IndexDefinition) -> Column | None:
-    """The normalised, searchable form of a column: text, or ``array<string>`` when it has several terms."""
+def search_column(rule: FieldRule, definition: IndexDefinition) -> Column:
+    """The normalised, searchable form of a column: text, or ``array<string>`` when it has several terms.
+
+    Arrays of words hold each word in its place, with a null for a dropped stop word.
+    """
     value = F.col(f"`{rule.column}`")
 
     def terms(x: Column) -> Column:
@@ -331,7 +334,7 @@ def search_column(rule: FieldRule, definition: IndexDefinition) -> Column | None
             return text
         if rule.mode == "lowercase_keyword":
             return F.when(absent | empty, text).otherwise(F.lower(text))
-        found = analysis.search_terms(text, rule.mode, definition.stop_words)
+        found = analysis.placed_terms(text, rule.mode, definition.stop_words)
         return F.when(absent | empty, F.array(text)).otherwise(found)
 
     if not rule.depth:

@@ -27,7 +27,7 @@ IN_LIST_LIMIT = 1_000
 
 @dataclass(frozen=True)
 class SearchField:
-    """A search column: ``multi`` when it is an ``array<string>`` of terms."""
+    """A search column: ``multi`` when it is an ``array<string>`` of terms (nulls are dropped stop words)."""
 
     name: str
     mode: str = "lowercase_keyword"
@@ -104,7 +104,7 @@ def matching_values(docs: DataFrame, field: SearchField, values: DataFrame, valu
 def exists(field: SearchField) -> Column:
     """Any term at all; the null and empty sentinels are terms."""
     if field.multi:
-        return F.coalesce(F.size(field.column) > 0, F.lit(False))
+        return F.coalesce(F.exists(field.column, lambda t: t.isNotNull()), F.lit(False))
     return field.column.isNotNull() & (field.column != "")
 
 
@@ -235,8 +235,7 @@ def fuzzy_documents(
 def phrase(field: SearchField, terms: list[tuple[int, str]]) -> Column:
     """Adjacent terms; ``terms`` are (position, term) pairs and gaps are dropped stop words.
 
-    On a word field the search column must hold every word in place, stop words too, so
-    that array places are positions. On a single-term field a phrase cannot match.
+    On a word field array places are positions. On a single-term field a phrase cannot match.
     """
     if not field.multi:
         return match_none()
