@@ -53,10 +53,7 @@ def words(text: Column, pattern: str = WORD_PATTERN) -> Column:
 
 def lowered_words(text: Column, pattern: str = WORD_PATTERN) -> Column:
     """The words of a text in lower case, without a lambda: words hold no blank, so joining is safe."""
-    found = words(text, pattern)
-    return F.when(F.size(found) > 0, F.split(F.lower(F.array_join(found, " ")), " ")).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.array_remove(F.split(F.lower(F.array_join(words(text, pattern), " ")), " "), "")
 
 
 def analyze(text: Column, mode: str) -> Column:

@@ -240,12 +240,19 @@ def phrase(field: SearchField, terms: list[tuple[int, str]]) -> Column:
     if not field.multi:
         return match_none()
     first = terms[0][0]
-    column = field.column
-    # A document without all the terms is settled without looking at positions.
-    holds_all = must(*[F.array_contains(column, t) for t in sorted({t for _, t in terms})])
-    starts = F.sequence(F.lit(0), F.size(column) - 1)
-    at = F.exists(starts, lambda i: must(*[F.get(column, i + (p - first)) == t for p, t in terms]))
-    return F.when(F.coalesce(holds_all, F.lit(False)), F.coalesce(at, F.lit(False))).otherwise(F.lit(False))
+
+    def adjacent(words: Column) -> Column:
+        at = [lambda i, p=p, t=t: F.get(words, i + (p - first)) == t for p, t in terms]
+        starts = F.sequence(F.lit(0), F.size(words) - 1)
+        return F.exists(starts, lambda i: must(*[test(i) for test in at]))
+
+    def matches(words: Column) -> Column:
+        # A document without all the terms is settled without looking at positions.
+        holds_all = must(*[F.array_contains(words, t) for t in sorted({t for _, t in terms})])
+        return F.when(holds_all, adjacent(words)).otherwise(F.lit(False))
+
+    # The words are bound once by an outer lambda; they may be an expression, not a stored column.
+    return F.coalesce(F.exists(F.array(field.column), matches), F.lit(False))
 
 
 # --- ranges ----------------------------------------------------------------------------------
