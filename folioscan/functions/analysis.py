@@ -89,53 +89,61 @@ def query_terms(text: str, mode: str, stop_words: tuple[str, ...] = ()) -> list[
     return [(i, w) for i, w in enumerate(kept.lower().split()) if w not in dropped]
 
 
-# Words per block when offsets are summed; keeps the work per word constant.
-_BLOCK = 128
+# Values per block when running sums are taken; keeps the work per value constant.
+_BLOCK = 32
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column, levels: int = 2) -> Column:
+    """Running sums of an int array.
+
+    Sums are taken in blocks: the running total at the end of each block, then short
+    sums inside the block. The block totals are summed the same way, so the work stays
+    near linear for very long arrays.
+    """
+    zero = F.lit(0)
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda t, x: t + x)
+
+    if levels == 0:
+        sums = F.aggregate(
+            values, F.array().cast("array<int>"), lambda s, x: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), zero) + x)
+        )
+        return sums
+
+    def in_blocks(v: Column) -> Column:
+        blocks = F.sequence(zero, F.floor((F.size(v) - 1) / _BLOCK).cast("int"))
+        block_totals = F.transform(blocks, lambda b: total(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+        def fill(ends: Column) -> Column:
+            def inside(b: Column) -> Column:
+                before = F.coalesce(F.get(ends, b - 1), zero)
+                block = F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))
+                return F.transform(block, lambda _, i: before + total(F.slice(v, b * _BLOCK + 1, i + 1)))
+
+            return F.flatten(F.transform(blocks, inside))
+
+        return bind(running_sums(block_totals, levels - 1), fill)
+
+    return bind(values, in_blocks)
 
 
 def word_starts(text: Column, pattern: str = WORD_PATTERN) -> Column:
     """Start offset of each word, in characters, as an array beside ``words(text)``.
 
     A word starts after all earlier words and gaps, so starts are running sums of
-    their lengths. Sums are taken in blocks: a running total per block, then a short
-    sum inside the block, which stays near linear in the length of the text.
+    their lengths.
     """
     found = words(text, pattern)
     gaps = F.split(text, pattern, -1)
     before = F.concat(F.array(F.lit("")), found)
     steps = F.zip_with(gaps, before, lambda gap, word: F.length(gap) + F.length(word))
-    zero = F.lit(0)
-
-    def block_sum(values: Column) -> Column:
-        return F.aggregate(values, zero, lambda total, x: total + x)
-
-    def starts(packed: Column) -> Column:
-        step = packed["steps"]
-        blocks = F.sequence(zero, F.floor((F.size(step) - 1) / _BLOCK).cast("int"))
-        base = F.aggregate(
-            blocks,
-            F.array(zero),
-            lambda sums, b: F.array_append(
-                sums, F.element_at(sums, -1) + block_sum(F.slice(step, b * _BLOCK + 1, F.lit(_BLOCK)))
-            ),
-        )
-        inner = F.transform(
-            F.array(F.struct(base.alias("base"))),
-            lambda p: F.flatten(
-                F.transform(
-                    blocks,
-                    lambda b: F.transform(
-                        F.slice(step, b * _BLOCK + 1, F.lit(_BLOCK)),
-                        lambda _, i: F.get(p["base"], b) + block_sum(F.slice(step, b * _BLOCK + 1, i + 1)),
-                    ),
-                )
-            ),
-        )
-        return F.get(inner, zero)
-
-    # The arrays are bound once, through one-element arrays, instead of being rebuilt in each lambda.
-    bound = F.transform(F.array(F.struct(steps.alias("steps"))), starts)
-    return F.slice(F.get(bound, zero), F.lit(1), F.size(found))
+    return F.slice(running_sums(steps), F.lit(1), F.size(found))
 
 
 def located_words(text: Column, pattern: str = WORD_PATTERN) -> Column:

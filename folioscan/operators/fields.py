@@ -207,16 +207,16 @@ def items_of(rule: FieldRule, value: Column) -> Column:
     def without_nulls(array: Column) -> Column:
         return F.filter(array, lambda x: x.isNotNull())
 
+    def with_null_item(array_type: T.DataType):
+        return lambda x: F.coalesce(x, F.array(F.lit(None)).cast(array_type))
+
     items = value
-    for level in range(rule.depth - 1):
-        if rule.drops_nulls:
-            items = F.flatten(without_nulls(items))
-        else:
-            # A null inner array is one null item.
-            inner: T.DataType = rule.dtype
-            for _ in range(rule.depth - 1 - level):
-                inner = T.ArrayType(inner)
-            items = F.flatten(F.transform(items, lambda x, t=inner: F.coalesce(x, F.array(F.lit(None)).cast(t))))
+    item_types = [rule.dtype]
+    for _ in range(rule.depth - 1):
+        item_types.append(T.ArrayType(item_types[-1]))
+    for inner in reversed(item_types[1:]):
+        # A null inner array is one null item.
+        items = F.flatten(without_nulls(items) if rule.drops_nulls else F.transform(items, with_null_item(inner)))
     return without_nulls(items) if rule.drops_nulls else items
 
 

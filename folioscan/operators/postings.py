@@ -12,12 +12,6 @@ from folioscan.operators.fields import searchable
 POSTING_COLUMNS = ("doc_id", "field", "pos", "start_off", "end_off", "term")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than cores; a no-op for a large table."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def text_postings(
     df: DataFrame,
     doc_id: Column,
@@ -127,16 +121,21 @@ def text_term_stats(
 ) -> DataFrame:
     """The same statistics straight from documents (one row each), in a single shuffle.
 
-    A document's terms are sorted inside its row, so the first occurrence of a term is
-    seen by comparing neighbours and documents need not be grouped.
+    Each document gives its terms once with and once without repeats; the two are
+    counted apart. Documents need not be grouped, and counts are partial before the
+    shuffle.
     """
-    terms = F.sort_array(analysis.analyze(text, mode))
-    rows = df.select(terms.alias("terms")).select("terms", F.posexplode("terms").alias("i", "term"))
-    is_first = (F.col("i") == 0) | (F.get(F.col("terms"), F.col("i") - 1) != F.col("term"))
-    marked = rows.select("term", F.when(is_first, 1).otherwise(0).cast("bigint").alias("first"))
+    terms = df.select(analysis.analyze(text, mode).alias("terms"))
+    twice = F.array(
+        F.struct(F.lit(False).alias("once"), F.col("terms").alias("terms")),
+        F.struct(F.lit(True).alias("once"), F.array_distinct("terms").alias("terms")),
+    )
+    rows = terms.select(F.inline(twice)).select("once", F.explode("terms").alias("term"))
     if analysis.drops_stop_words(mode) and stop_words:
-        marked = marked.filter(~F.col("term").isin(*stop_words))
-    stats = marked.groupBy("term").agg(F.sum("first").alias("doc_freq"), F.count("*").alias("total_freq"))
+        rows = rows.filter(~F.col("term").isin(*stop_words))
+    stats = rows.groupBy("term").agg(
+        F.count_if(F.col("once")).alias("doc_freq"), F.count_if(~F.col("once")).alias("total_freq")
+    )
     return stats.select(F.lit(field).alias("field"), "term", "doc_freq", "total_freq")
 
 

@@ -10,12 +10,17 @@ from folioscan.operators import fields
 from folioscan.operators.postings import field_postings, text_postings, text_term_stats
 from folioscan.plans import sql
 from folioscan.plans.registry import query
+from folioscan.sources.tables import spread
 
 _LETTERS = r"\p{L}+"
 
 
+def documents_with_text(table):
+    return spread(table("documents").select("doc_id", "text"))
+
+
 def document_postings(table, mode="standard", offsets=False):
-    return text_postings(table("documents"), col("doc_id"), "text", col("text"), mode, offsets=offsets)
+    return text_postings(documents_with_text(table), col("doc_id"), "text", col("text"), mode, offsets=offsets)
 
 
 @query(
@@ -102,7 +107,7 @@ _PER_FIELD = IndexDefinition(
 def postings_per_field(table):
     """Words for ``text``, the raw value for ``role``, the lowered value for the rest."""
     role = F.upper("role")
-    source = table("conversations").select(
+    source = spread(table("conversations")).select(
         F.concat_ws("/", "conv_id", "turn").alias("key"),
         "text",
         role.alias("role"),
@@ -119,4 +124,4 @@ def postings_per_field(table):
     FROM ({sql.words("documents", "doc_id", "text")}) WHERE term NOT IN {sql.STOPS} GROUP BY term""",
 )
 def term_stats(table):
-    return text_term_stats(table("documents"), "text", col("text"))
+    return text_term_stats(documents_with_text(table), "text", col("text"))

@@ -14,7 +14,7 @@ from folioscan.operators import fields
 from folioscan.operators import predicates as q
 from folioscan.operators.postings import phrase_documents
 from folioscan.plans import sql
-from folioscan.plans.posting_plans import document_postings
+from folioscan.plans.posting_plans import document_postings, documents_with_text
 from folioscan.plans.registry import query
 from folioscan.sources import visits
 
@@ -262,7 +262,7 @@ _WORDS = IndexDefinition(name="documents", indexing={"words": Indexing.ANALYZED}
 
 
 def _with_words(table):
-    source = table("documents").select("doc_id", col("text").alias("words"))
+    source = documents_with_text(table).withColumnRenamed("text", "words")
     return fields.document_table(source, "doc_id", _WORDS)
 
 

@@ -9,6 +9,16 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores for a table that has fewer splits than there are cores.
+
+    For a table as read from files, ahead of costly work per row. A large table has
+    more splits than cores and is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def jdbc_options(
     url: str,
     table: str,
