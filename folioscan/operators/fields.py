@@ -255,11 +255,11 @@ def _entry(rule: FieldRule, value: Column, ordinal: Column) -> Column:
     )
 
 
-def _marker(name: str) -> Column:
+def _marker(name: str, ordinal: Column) -> Column:
     none = F.lit(None)
     return F.struct(
         F.lit(name).alias("field"),
-        F.lit(1).alias("ord"),
+        ordinal.cast("int").alias("ord"),
         F.lit("true").alias("term"),
         F.lit("marker").alias("kind"),
         F.lit("keyword").alias("mode"),
@@ -274,23 +274,32 @@ def _marker(name: str) -> Column:
 _ENTRIES = T.ArrayType(T.StructType(FIELD_SCHEMA.fields[1:]))
 
 
+def _no_entries() -> Column:
+    return F.array().cast(_ENTRIES)
+
+
+def _value_entries(rule: FieldRule, value: Column, ordinal: Column) -> Column:
+    """The rows of one value: itself, after a marker when it is an object."""
+    entry = F.array(_entry(rule, value, ordinal)).cast(_ENTRIES)
+    if rule.kind != "json":
+        return entry
+    marker = F.when(value.isNotNull(), F.array(_marker(rule.name + JSON_SUFFIX, ordinal)))
+    return F.concat(F.coalesce(marker, _no_entries()), entry).cast(_ENTRIES)
+
+
 def field_entries(rule: FieldRule, value: Column) -> Column:
     """All field rows of one column value, as an array of structs."""
-    none = F.array().cast(_ENTRIES)
-    if rule.depth:
-        if rule.kind == "json":
-            raise ValueError(f"arrays of objects are not supported: {rule.column}")
-        items = F.transform(items_of(rule, value), lambda x, i: _entry(rule, x, i + 1))
-        if rule.stored:
-            marker = F.when(F.size(value) > 0, F.array(_marker(rule.name + ARRAY_SUFFIX))).otherwise(none)
-            items = F.concat(marker, items)
-        missing = F.array(_entry(rule, F.lit(None).cast(rule.dtype), F.lit(1)))
-        return F.when(value.isNull(), missing).otherwise(items).cast(_ENTRIES)
-    entry = F.array(_entry(rule, value, F.lit(1)))
+    if not rule.depth:
+        return _value_entries(rule, value, F.lit(1))
     if rule.kind == "json":
-        marker = F.when(value.isNotNull(), F.array(_marker(rule.name + JSON_SUFFIX))).otherwise(none)
-        return F.concat(marker, entry).cast(_ENTRIES)
-    return entry.cast(_ENTRIES)
+        items = F.flatten(F.transform(items_of(rule, value), lambda x, i: _value_entries(rule, x, i + 1)))
+    else:
+        items = F.transform(items_of(rule, value), lambda x, i: _entry(rule, x, i + 1))
+    if rule.stored:
+        marker = F.when(F.size(value) > 0, F.array(_marker(rule.name + ARRAY_SUFFIX, F.lit(1))))
+        items = F.concat(F.coalesce(marker, _no_entries()), items)
+    missing = F.array(_entry(rule, F.lit(None).cast(rule.dtype), F.lit(1)))
+    return F.when(value.isNull(), missing).otherwise(items).cast(_ENTRIES)
 
 
 def all_entries(df: DataFrame, definition: IndexDefinition, skip: tuple[str, ...] = ()) -> Column:
@@ -372,7 +381,7 @@ def document_table(df: DataFrame, doc_id: str, definition: IndexDefinition) -> D
 def stored_fields(hits: DataFrame, documents: DataFrame, fields: list[str]) -> DataFrame:
     """The stored values of the documents that were hit."""
     wanted = documents.select("doc_id", *[F.col("stored_" + f).alias(f) for f in fields])
-    return wanted.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return wanted.join(hits.select("doc_id"), "doc_id", "left_semi")
 
 
 def document_dump(df: DataFrame, doc_id: str, definition: IndexDefinition) -> DataFrame:

@@ -41,7 +41,7 @@ class IndexFolder:
         if seq is not None:
             batch = latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq)
         fields = field_rows(batch, doc_id, self.definition)
-        by_field = fields.repartitionByRange("field", "doc_id", "ord").sortWithinPartitions("field", "doc_id", "ord")
+        by_field = compacted(fields, ["field"])
         by_field.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
 
         written = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
@@ -81,10 +81,11 @@ class IndexFolder:
     def compact(self, path: str, version: int = 0) -> IndexFolder:
         """Rewrite the live rows of all versions as one version in another folder."""
         target = IndexFolder(self.spark, path, self.definition)
-        for name, order in (("fields", ["field", "doc_id", "ord"]), ("postings", POSTING_ORDER)):
-            rows = self._live(self._log(name), None).drop("version")
-            ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-            ordered.write.mode("overwrite").partitionBy("field").parquet(target._table(name, version))
+        fields = compacted(self._live(self._log("fields"), None).drop("version"), ["field"])
+        fields.write.mode("overwrite").partitionBy("field").parquet(target._table("fields", version))
+        postings = self._live(self._log("postings"), None).drop("version")
+        postings = postings.repartitionByRange(*POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
+        postings.write.mode("overwrite").partitionBy("field").parquet(target._table("postings", version))
         documents = self.documents().drop("version")
         compacted(documents, ["doc_id"]).write.mode("overwrite").parquet(target._table("documents", version))
         return target

@@ -55,38 +55,29 @@ def batch_report(batches: DataFrame, batch: str = "batch") -> DataFrame:
     return running_total(counts, [batch], F.col("batch_count"), "total_count")
 
 
-def _one(df: DataFrame, check: str, value: Column) -> DataFrame:
-    return df.agg(F.coalesce(value, F.lit(0)).cast("bigint").alias("bad_rows")).select(F.lit(check).alias("check"), "bad_rows")
-
-
-def _orphans(documents: DataFrame, postings: DataFrame) -> DataFrame:
-    """Ids that have postings but no document, with their posting counts.
-
-    Postings are counted per id first, so a document with a great many postings is
-    one row in the join.
-    """
-    counts = postings.groupBy("doc_id").agg(F.count("*").alias("n"))
-    known = documents.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    return counts.join(known, "doc_id", "left_anti")
-
-
 def _bad_span() -> Column:
     return (F.col("pos") < 0) | (F.col("start_off") < 0) | (F.col("end_off") < F.col("start_off"))
 
 
 def check_index(documents: DataFrame, postings: DataFrame) -> DataFrame:
-    """One row per check with the number of bad rows; all zero means clean."""
-    per_id = documents.groupBy("doc_id").agg(F.count("*").alias("n"))
-    checks = [
-        _one(documents, "null_id", F.count_if(F.col("doc_id").isNull())),
-        _one(per_id.filter(F.col("doc_id").isNotNull()), "duplicate_id", F.sum(F.col("n") - 1)),
-        _one(_orphans(documents, postings), "orphan_posting", F.sum("n")),
-        _one(postings, "bad_span", F.count_if(_bad_span())),
-    ]
-    result = checks[0]
-    for check in checks[1:]:
-        result = result.unionByName(check)
-    return result
+    """One row per check with the number of bad rows; all zero means clean.
+
+    Both tables are counted per id before they meet, so each is read and shuffled once
+    and an id with a great many rows is a single row in the join.
+    """
+    docs = documents.groupBy("doc_id").agg(F.count("*").alias("docs"))
+    posts = postings.groupBy("doc_id").agg(
+        F.count("*").alias("posts"), F.count_if(F.coalesce(_bad_span(), F.lit(False))).alias("bad")
+    )
+    has_id = F.col("doc_id").isNotNull()
+    counts = docs.join(posts, "doc_id", "full_outer").agg(
+        F.sum(F.when(~has_id, F.col("docs"))).alias("null_id"),
+        F.sum(F.when(has_id, F.col("docs") - 1)).alias("duplicate_id"),
+        F.sum(F.when(F.col("docs").isNull(), F.col("posts"))).alias("orphan_posting"),
+        F.sum("bad").alias("bad_span"),
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).alias("bad_rows")) for c in counts.columns])
+    return counts.select(F.inline(rows))
 
 
 def repair_documents(documents: DataFrame, seq: str | list[str]) -> DataFrame:

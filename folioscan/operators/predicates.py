@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,21 +196,18 @@ def wildcard(field: SearchField, pattern: str) -> Column:
     return field.any_term(lambda t: t.rlike(regex))
 
 
-def similarity(found: Column, wanted: str) -> Column:
-    """1 minus the edit distance over the shorter length."""
-    shorter = F.least(F.length(found), F.lit(len(wanted)))
-    return F.lit(1.0) - F.levenshtein(found, F.lit(wanted)) / shorter
-
-
 def fuzzy_term(found: Column, wanted: str, min_similarity: float, prefix_length: int = 0) -> Column:
     """Terms more similar than the minimum, sharing the first ``prefix_length`` characters.
 
-    Lengths are compared first: a term cannot be closer than its length allows.
+    Similarity is 1 minus the edit distance over the shorter length. Lengths are
+    compared first, as a term cannot be closer than its length allows, and distances
+    beyond the greatest that could pass are not worked out (Spark returns -1).
     """
     size = F.length(found)
     shorter = F.least(size, F.lit(len(wanted)))
     possible = (size > 0) & (F.abs(size - len(wanted)) < F.lit(1.0 - min_similarity) * shorter)
-    near = possible & (similarity(found, wanted) > F.lit(min_similarity))
+    distance = F.levenshtein(found, F.lit(wanted), ceil((1.0 - min_similarity) * len(wanted)))
+    near = possible & (distance >= 0) & (F.lit(1.0) - distance / shorter > F.lit(min_similarity))
     return found.startswith(wanted[:prefix_length]) & near if prefix_length else near
 
 
@@ -223,10 +221,9 @@ def fuzzy(field: SearchField, text: str, min_similarity: float = 0.5, prefix_len
 def fuzzy_documents(
     postings: DataFrame, wanted: str, min_similarity: float = 0.5, prefix_length: int = 0
 ) -> DataFrame:
-    """Documents of a postings table with a similar term; distances are taken once per distinct term."""
-    terms = postings.select("term").distinct()
-    near = terms.filter(fuzzy_term(F.col("term"), wanted, min_similarity, prefix_length))
-    return postings.join(near, "term", "left_semi").select("doc_id").distinct()
+    """Documents of a postings table with a similar term, in one pass over the postings."""
+    near = fuzzy_term(F.col("term"), wanted, min_similarity, prefix_length)
+    return postings.filter(near).select("doc_id").distinct()
 
 
 # --- phrases ---------------------------------------------------------------------------------

@@ -56,18 +56,19 @@ def any_of(*clauses: Scored) -> Scored:
     return Scored(matches, _total([c.earned for c in clauses]) * matched / F.lit(float(len(clauses))))
 
 
-def with_term_idfs(docs: DataFrame, terms: dict[str, Column]) -> DataFrame:
-    """Add an idf column per named term predicate.
+def one_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct value for use in another table's columns."""
+    return df.select(F.struct(*df.columns).alias("row")).scalar()
 
-    All document frequencies come from one aggregate over the table, a single row that
-    is joined back by broadcast.
-    """
+
+def with_term_idfs(docs: DataFrame, terms: dict[str, Column]) -> DataFrame:
+    """Add an idf column per named term predicate; all document frequencies come from one aggregate."""
     counts = docs.agg(
         F.count("*").alias("_documents"),
         *[F.count_if(matches).alias("_df_" + name) for name, matches in terms.items()],
     )
-    idfs = counts.select(*[idf(F.col("_df_" + n), F.col("_documents")).alias(n) for n in terms])
-    return docs.crossJoin(F.broadcast(idfs))
+    idfs = one_row(counts.select(*[idf(F.col("_df_" + n), F.col("_documents")).alias(n) for n in terms]))
+    return docs.select("*", *[idfs[n].alias(n) for n in terms])
 
 
 def tfidf_scores(postings: DataFrame, documents: DataFrame, terms: list[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def tfidf_scores(postings: DataFrame, documents: DataFrame, terms: list[str]) ->
     Sum of sqrt(tf) * idf^2 over the terms found, times the share of terms found, with
     idf = 1 + ln(N / (df + 1)) and no length norm. One shuffle groups the terms'
     postings by document into a frequency column per term; the document frequencies
-    are a one-row aggregate of that same result.
+    are a one-row aggregate of that same result, which Spark computes once.
     """
     wanted = list(dict.fromkeys(terms))
     names = [f"_tf{i}" for i in range(len(wanted))]
@@ -85,17 +86,12 @@ def tfidf_scores(postings: DataFrame, documents: DataFrame, terms: list[str]) ->
         .groupBy("doc_id")
         .agg(*[F.count_if(F.col("term") == t).alias(n) for n, t in zip(names, wanted)])
     )
-    frequencies = per_document.agg(*[F.count_if(F.col(n) > 0).alias("_df" + n) for n in names])
-    total = documents.agg(F.count("*").alias("_documents"))
-    idfs = frequencies.crossJoin(total).select(
-        *[idf(F.col("_df" + n), F.col("_documents")).alias("_idf" + n) for n in names]
-    )
+    frequencies = one_row(per_document.agg(*[F.count_if(F.col(n) > 0).alias(n) for n in names]))
+    total = documents.agg(F.count("*").alias("n")).scalar()
     matched = _total([(F.col(n) > 0).cast("bigint") for n in names])
-    scores = _total([term_score(F.col(n), F.col("_idf" + n)) for n in names])
+    scores = _total([term_score(F.col(n), idf(frequencies[n], total)) for n in names])
     share = matched / F.lit(float(len(wanted)))
-    return per_document.crossJoin(F.broadcast(idfs)).select(
-        "doc_id", matched.alias("matched"), (scores * share).alias("score")
-    )
+    return per_document.select("doc_id", matched.alias("matched"), (scores * share).alias("score"))
 
 
 # --- sorting and cutting ---------------------------------------------------------------------
@@ -123,6 +119,11 @@ def sort_key(value: Column, sort: Sort) -> Column | None:
     return key if spark_type == "string" else F.coalesce(key, F.lit(0).cast(spark_type))
 
 
+def least_value(values: Column) -> Column:
+    """What a multi-valued field sorts by."""
+    return F.array_min(values)
+
+
 def sort_order(value: Column, sort: Sort, descending: bool = False) -> list[Column]:
     key = sort_key(value, sort)
     if key is None:
@@ -152,8 +153,8 @@ def total_hits(df: DataFrame, name: str = "total_hits") -> DataFrame:
 
 
 def with_max_score(scored: DataFrame) -> DataFrame:
-    """Keep scores while sorting by a field: adds the one-row maximum to every row."""
-    return scored.crossJoin(F.broadcast(scored.agg(F.max("score").alias("max_score"))))
+    """Keep scores while sorting by a field: adds the greatest score to every row."""
+    return scored.withColumn("max_score", scored.agg(F.max("score").alias("max_score")).scalar())
 
 
 # --- numbering and running totals over any number of rows ------------------------------------
@@ -185,6 +186,30 @@ def running_total(
     return joined.select(*columns, (F.col("_start") + F.sum("_value").over(inside)).alias(name))
 
 
+# Row ids made by Spark hold the partition above this many bits and the place in the partition below.
+_PLACE_BITS = 33
+
+
 def number_rows(df: DataFrame, order: list[str], name: str = "row_number", group: list[str] | None = None) -> DataFrame:
-    """Row numbers from 1 in a unique order, without bringing the table to one task."""
-    return running_total(df, order, F.lit(1).cast("bigint"), name, group)
+    """Row numbers from 1 in a unique order, within ``group`` if named.
+
+    Rows are range-partitioned and sorted once, and written with the id Spark gives
+    them, which is their partition and their place in it. A count per (partition,
+    group) then turns places into numbers: no window runs over the table and no task
+    holds more than a range, however large a group is.
+    """
+    group = group or []
+    keys = [F.col(c) for c in [*group, *order]]
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", _PLACE_BITS).alias("_part")
+    counts = placed.groupBy(part, *group).agg(F.count("*").alias("_count"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # What to add to an id of this partition and group.
+    shift = F.coalesce(F.sum("_count").over(earlier), F.lit(0)) + 1 - F.col("_first")
+    shifts = counts.select("_part", *group, shift.alias("_shift"))
+    if not group:
+        # One row per partition, at most spark.sql.shuffle.partitions of them.
+        shifts = F.broadcast(shifts)
+    joined = placed.withColumn("_part", part).join(shifts, ["_part", *group])
+    return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

@@ -254,7 +254,7 @@ def q_fuzzy(table):
       AND 1 - levenshtein(term, 'thering') / CAST(least(length(term), 7) AS DOUBLE) > 0.7""",
 )
 def q_fuzzy_terms(table):
-    """Fuzzy search over the distinct terms of the text postings."""
+    """Fuzzy search over the text postings."""
     return q.fuzzy_documents(document_postings(table), "thering", 0.7)
 
 

@@ -155,6 +155,8 @@ def test_objects(spark):
     assert found == [("v", 1, '{"a":"b"}'), ("v_ConvertToJson", 1, "true")]
     assert terms(spark, (1, "x"), "struct<n:int,s:string>", raw()) == [("v", 1, '{"n":1,"s":"x"}')]
     assert terms(spark, None, "struct<n:int>") == [("v", 1, "NULL_VALUE")]
+    several = terms(spark, [(1,), None, (2,)], "array<struct<n:int>>")
+    assert several == [("v", 1, '{"n":1}'), ("v", 2, '{"n":2}'), ("v_ConvertToJson", 1, "true"), ("v_ConvertToJson", 2, "true")]
 
 
 def test_binary_is_refused(spark):

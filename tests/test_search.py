@@ -179,6 +179,8 @@ def test_sorts(spark):
     assert ranking.sort_order(col("v"), Sort.NONE) == []
     custom = ranking.sort_order(F.length("v"), Sort.CUSTOM, descending=True)
     assert {r.id for r in rows.orderBy(*custom).limit(2).collect()} == {1, 4}
+    lists = spark.createDataFrame([(1, [5, 9]), (2, [7, 2])], "id int, v array<int>")
+    assert lists.orderBy(*ranking.sort_order(ranking.least_value(col("v")), Sort.INT)).first().id == 2
     assert ranking.sort_custom(rows, F.length("v").asc_nulls_last(), col("id")).first().id == 2
 
 
