@@ -90,7 +90,7 @@ def query_terms(text: str, mode: str, stop_words: tuple[str, ...] = ()) -> list[
 
 
 # Values per block when running sums are taken; keeps the work per value constant.
-_BLOCK = 32
+_BLOCK = 16
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -133,23 +133,21 @@ def running_sums(values: Column, levels: int = 2) -> Column:
     return bind(values, in_blocks)
 
 
-def word_starts(text: Column, pattern: str = WORD_PATTERN) -> Column:
-    """Start offset of each word, in characters, as an array beside ``words(text)``.
+def located_words(text: Column, pattern: str = WORD_PATTERN) -> Column:
+    """Words with offsets in characters: ``array<struct<word, start_off, end_off>>``.
 
     A word starts after all earlier words and gaps, so starts are running sums of
     their lengths.
     """
-    found = words(text, pattern)
-    gaps = F.split(text, pattern, -1)
-    before = F.concat(F.array(F.lit("")), found)
-    steps = F.zip_with(gaps, before, lambda gap, word: F.length(gap) + F.length(word))
-    return F.slice(running_sums(steps), F.lit(1), F.size(found))
 
+    def locate(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), parts["words"])
+        steps = F.zip_with(parts["gaps"], before, lambda gap, word: F.length(gap) + F.length(word))
+        starts = F.slice(running_sums(steps), F.lit(1), F.size(parts["words"]))
+        return F.zip_with(
+            parts["words"],
+            starts,
+            lambda w, s: F.struct(w.alias("word"), s.alias("start_off"), (s + F.length(w)).alias("end_off")),
+        )
 
-def located_words(text: Column, pattern: str = WORD_PATTERN) -> Column:
-    """Words with offsets: ``array<struct<word, start_off, end_off>>``."""
-    return F.zip_with(
-        words(text, pattern),
-        word_starts(text, pattern),
-        lambda w, s: F.struct(w.alias("word"), s.alias("start_off"), (s + F.length(w)).alias("end_off")),
-    )
+    return bind(F.struct(words(text, pattern).alias("words"), F.split(text, pattern, -1).alias("gaps")), locate)

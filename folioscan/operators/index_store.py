@@ -41,8 +41,8 @@ class IndexFolder:
         if seq is not None:
             batch = latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq)
         fields = field_rows(batch, doc_id, self.definition)
-        by_field = compacted(fields, ["field"])
-        by_field.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
+        # Each task writes a file per field; a large input has large tasks, so no shuffle is needed.
+        fields.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
 
         written = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
         postings = field_postings(written, self.definition)
@@ -51,7 +51,7 @@ class IndexFolder:
         sorted_postings.write.mode("overwrite").partitionBy("field").parquet(self._table("postings", version))
 
         documents = document_table(batch, doc_id, self.definition)
-        compacted(documents, ["doc_id"]).write.mode("overwrite").parquet(self._table("documents", version))
+        documents.write.mode("overwrite").parquet(self._table("documents", version))
 
     def _log(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._table(name))

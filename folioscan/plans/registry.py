@@ -8,23 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.session import use_utc
 from folioscan.sources.tables import parquet_table
+from folioscan.streaming.upsert import file_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+class Tables:
+    """Reads the given tables by name, as a table or as a stream."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark = spark
+        self.folder = folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return parquet_table(self.spark, self.folder, name)
+
+    def stream(self, name: str) -> DataFrame:
+        # Written as a pattern, so that a table of one file will do.
+        path = f"{self.folder.rstrip('/')}/{name}.parque[t]"
+        return file_stream(self.spark, path, self(name).schema, bytes_per_batch=STREAM_ROUND_BYTES)
+
+
+# Input taken in one streaming round.
+STREAM_ROUND_BYTES = 64 << 30
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of a table reader under ``name``.
-
-    The function is called with ``table``, which reads one of the given tables by name.
-    """
+    """Register a function of ``Tables`` under ``name``."""
 
     def register(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             use_utc(spark)
-            return build(lambda table: parquet_table(spark, folder, table))
+            return build(Tables(spark, folder))
 
         run.__name__ = name
         run.__doc__ = build.__doc__

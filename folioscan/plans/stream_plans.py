@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
+from folioscan.definition import Sort
 from folioscan.operators import fields, ranking
+from folioscan.operators import predicates as q
 from folioscan.plans import sql
 from folioscan.plans.maintenance_plans import _USER_STATE
 from folioscan.plans.predicate_plans import VISIT_MATCH, visit_branches
-from folioscan.operators import predicates as q
 from folioscan.plans.registry import query
 from folioscan.session import scratch_path
 from folioscan.sources import visits
@@ -24,28 +25,17 @@ def _user_rows(stream):
     )
 
 
-def _rounds(events, label):
-    """The table as a folder of several files, taken in by a stream a few at a time."""
-    folder = scratch_path(events.sparkSession, label)
-    events.repartitionByRange(4, "event_id").write.parquet(folder)
-    return folder
-
-
 @query("stream_upsert", _USER_STATE.format(where=""))
 def stream_upsert(table):
-    events = table("events")
-    spark = events.sparkSession
-    stream = upsert.file_stream(spark, _rounds(events, "arrivals"), events.schema, files_per_batch=2)
-    sink, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "progress")
-    upsert.run_upserts(stream, sink, checkpoint, _user_rows)
-    return upsert.current_documents(spark, sink, "doc_id", _SEQ).drop("ts")
+    sink, checkpoint = scratch_path(table.spark, "log"), scratch_path(table.spark, "progress")
+    upsert.run_upserts(table.stream("events"), sink, checkpoint, _user_rows)
+    return upsert.current_documents(table.spark, sink, "doc_id", _SEQ).drop("ts")
 
 
 @query("stream_resume", "SELECT event_id, event_type, value FROM events")
 def stream_resume(table):
     """Two runs on one checkpoint, with more input between them: every row arrives once."""
-    events = table("events")
-    spark = events.sparkSession
+    events, spark = table("events"), table.spark
     folder, sink, checkpoint = (scratch_path(spark, x) for x in ("arrivals", "log", "progress"))
     early = col("ts") < F.lit("2024-01-16")
     for part in (events.filter(early), events.filter(~early)):
@@ -62,16 +52,13 @@ def stream_resume(table):
 )
 def stream_poll_query(table):
     """The sample query over what a stream of visits has written so far."""
-    events = table("events")
-    spark = events.sparkSession
-    stream = upsert.file_stream(spark, _rounds(events, "arrivals"), events.schema, files_per_batch=2)
-    sink, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "progress")
+    sink, checkpoint = scratch_path(table.spark, "log"), scratch_path(table.spark, "progress")
 
     def documents(rows):
         return fields.document_table(visits.visits(rows), "id", visits.VISITS)
 
-    upsert.run_upserts(stream, sink, checkpoint, documents)
-    current = upsert.current_documents(spark, sink, "doc_id", "VisitDateTime_Range")
+    upsert.run_upserts(table.stream("events"), sink, checkpoint, documents)
+    current = upsert.current_documents(table.spark, sink, "doc_id", "VisitDateTime_Range")
     clause = q.should(*[q.must(*branch) for branch in visit_branches()])
     hits = current.filter(clause).select("doc_id", "VisitDateTime_Range")
-    return ranking.top_sorted(hits, ranking.sort_order(col("VisitDateTime_Range"), ranking.Sort.LONG), 50)
+    return ranking.top_sorted(hits, ranking.sort_order(col("VisitDateTime_Range"), Sort.LONG), 50)

@@ -18,13 +18,20 @@ from folioscan.operators.upsert import latest
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    glob: str | None = None,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int | None = None,
 ) -> DataFrame:
-    """Rows of a folder of Parquet files; ``files_per_batch`` bounds each round."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    """Rows of the Parquet files at a path; a number of files or bytes bounds each round.
+
+    The path is a folder or a pattern: a stream does not take the path of a single file.
+    """
+    options = {"pathGlobFilter": glob, "maxFilesPerTrigger": files_per_batch, "maxBytesPerTrigger": bytes_per_batch}
+    reader = spark.readStream.schema(schema).options(**{k: v for k, v in options.items() if v is not None})
+    return reader.parquet(path)
 
 
 def start_upserts(
