@@ -34,9 +34,25 @@ def _without_trailing_zeros(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
-def decimal_text(value: Column) -> Column:
+def raw_decimal_text(value: Column, scale: int) -> Column:
+    """Decimal text with all its fraction digits.
+
+    Outside of ANSI mode Spark writes decimals below 1e-6 with an exponent; those are
+    written out again.
+    """
+    text = value.cast("string")
+    if scale <= 6:
+        return text
+    digits = F.replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), F.lit("."), F.lit(""))
+    zeros = F.regexp_extract(text, r"E-([0-9]+)$", 1).try_cast("int") - 1
+    fraction = F.rpad(F.concat(F.repeat(F.lit("0"), zeros), digits), scale, "0")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    return F.when(F.contains(text, F.lit("E")), F.concat(sign, F.lit("0."), fraction)).otherwise(text)
+
+
+def decimal_text(value: Column, scale: int = 0) -> Column:
     """Decimal text without trailing fraction zeros: ``1.50`` gives ``1.5``, ``100.00`` gives ``100``."""
-    return _without_trailing_zeros(value.cast("string"))
+    return _without_trailing_zeros(raw_decimal_text(value, scale))
 
 
 def float_text(value: Column) -> Column:
@@ -109,8 +125,8 @@ def value_text(value: Column, dtype: T.DataType, analyzed: bool = True) -> Colum
         return datetime_text(value, utc=isinstance(dtype, T.TimestampType))
     if kind == "bool":
         return bool_text(value, analyzed)
-    if kind == "decimal" and analyzed:
-        return decimal_text(value)
+    if kind == "decimal":
+        return decimal_text(value, dtype.scale) if analyzed else raw_decimal_text(value, dtype.scale)
     if isinstance(dtype, _FLOATS):
         return float_text(value)
     if kind == "json":

@@ -37,6 +37,7 @@ FIELD_SCHEMA = T.StructType(
         T.StructField("doc_id", T.StringType()),
         T.StructField("field", T.StringType()),
         T.StructField("ord", T.IntegerType()),
+        T.StructField("first_pos", T.IntegerType()),
         T.StructField("term", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("mode", T.StringType()),
@@ -232,7 +233,7 @@ def source_term(rule: FieldRule, value: Column) -> Column:
     return F.when(absent, F.lit(NULL_TERM)).when(empty, F.lit(EMPTY_TERM)).otherwise(text)
 
 
-def _entry(rule: FieldRule, value: Column, ordinal: Column) -> Column:
+def _entry(rule: FieldRule, value: Column, ordinal: Column, first_pos: Column) -> Column:
     absent, empty = is_sentinel(rule, value)
     sentinel = absent | empty
     number = F.lit(None).cast("double")
@@ -244,6 +245,7 @@ def _entry(rule: FieldRule, value: Column, ordinal: Column) -> Column:
     return F.struct(
         F.lit(rule.name).alias("field"),
         ordinal.cast("int").alias("ord"),
+        first_pos.cast("int").alias("first_pos"),
         source_term(rule, value).alias("term"),
         F.when(absent, "null").when(empty, "empty").otherwise(F.lit(rule.kind)).alias("kind"),
         F.when(sentinel, "keyword").otherwise(F.lit(rule.mode)).alias("mode"),
@@ -260,6 +262,7 @@ def _marker(name: str, ordinal: Column) -> Column:
     return F.struct(
         F.lit(name).alias("field"),
         ordinal.cast("int").alias("ord"),
+        F.lit(0).alias("first_pos"),
         F.lit("true").alias("term"),
         F.lit("marker").alias("kind"),
         F.lit("keyword").alias("mode"),
@@ -278,9 +281,21 @@ def _no_entries() -> Column:
     return F.array().cast(_ENTRIES)
 
 
-def _value_entries(rule: FieldRule, value: Column, ordinal: Column) -> Column:
+def _first_positions(rule: FieldRule, items: Column) -> Column:
+    """Where each item's terms start when the terms of all items are counted through."""
+
+    def terms_of(item: Column) -> Column:
+        absent, empty = is_sentinel(rule, item)
+        found = F.size(analysis.analyze(source_term(rule, item), rule.mode))
+        return F.when(absent | empty, 1).otherwise(found)
+
+    counts = F.transform(items, terms_of)
+    return F.concat(F.array(F.lit(0)), analysis.running_sums(counts))
+
+
+def _value_entries(rule: FieldRule, value: Column, ordinal: Column, first_pos: Column) -> Column:
     """The rows of one value: itself, after a marker when it is an object."""
-    entry = F.array(_entry(rule, value, ordinal)).cast(_ENTRIES)
+    entry = F.array(_entry(rule, value, ordinal, first_pos)).cast(_ENTRIES)
     if rule.kind != "json":
         return entry
     marker = F.when(value.isNotNull(), F.array(_marker(rule.name + JSON_SUFFIX, ordinal)))
@@ -290,15 +305,23 @@ def _value_entries(rule: FieldRule, value: Column, ordinal: Column) -> Column:
 def field_entries(rule: FieldRule, value: Column) -> Column:
     """All field rows of one column value, as an array of structs."""
     if not rule.depth:
-        return _value_entries(rule, value, F.lit(1))
+        return _value_entries(rule, value, F.lit(1), F.lit(0))
     if rule.kind == "json":
-        items = F.flatten(F.transform(items_of(rule, value), lambda x, i: _value_entries(rule, x, i + 1)))
+        items = F.flatten(F.transform(items_of(rule, value), lambda x, i: _value_entries(rule, x, i + 1, i)))
+    elif rule.mode in ("none", "keyword", "lowercase_keyword"):
+        items = F.transform(items_of(rule, value), lambda x, i: _entry(rule, x, i + 1, i))
     else:
-        items = F.transform(items_of(rule, value), lambda x, i: _entry(rule, x, i + 1))
+        items = analysis.bind(
+            items_of(rule, value),
+            lambda found: F.transform(
+                F.arrays_zip(found.alias("item"), F.slice(_first_positions(rule, found), F.lit(1), F.size(found)).alias("first")),
+                lambda x, i: _entry(rule, x["item"], i + 1, x["first"]),
+            ),
+        )
     if rule.stored:
         marker = F.when(F.size(value) > 0, F.array(_marker(rule.name + ARRAY_SUFFIX, F.lit(1))))
         items = F.concat(F.coalesce(marker, _no_entries()), items)
-    missing = F.array(_entry(rule, F.lit(None).cast(rule.dtype), F.lit(1)))
+    missing = F.array(_entry(rule, F.lit(None).cast(rule.dtype), F.lit(1), F.lit(0)))
     return F.when(value.isNull(), missing).otherwise(items).cast(_ENTRIES)
 
 

@@ -89,8 +89,8 @@ _TOKEN_TYPE = "array<struct<pos:int,start_off:int,end_off:int,term:string>>"
 def field_postings(fields: DataFrame, definition: IndexDefinition) -> DataFrame:
     """Postings of a long field table; each row's ``mode`` chooses its analyzer.
 
-    The offsets and positions of a row are those inside its own value; ``ord`` tells
-    the values of a multi-valued field apart.
+    Positions run on through the values of a multi-valued field; offsets are those
+    inside the value, and ``ord`` tells the values apart.
     """
     names = {"keyword", "lowercase_keyword", *definition.analyzers.values()}
     names |= {definition.analyzer_of(f) for f in {*definition.indexing, *definition.analyzers}}
@@ -98,10 +98,11 @@ def field_postings(fields: DataFrame, definition: IndexDefinition) -> DataFrame:
     tokens = F.when(F.lit(False), F.array().cast(_TOKEN_TYPE))
     for mode in known:
         tokens = tokens.when(F.col("mode") == mode, _tokens(mode, F.col("term")).cast(_TOKEN_TYPE))
-    rows = searchable(fields).select("doc_id", "field", "ord", "mode", F.explode(tokens).alias("t"))
+    rows = searchable(fields).select("doc_id", "field", "ord", "first_pos", "mode", F.explode(tokens).alias("t"))
     stops = F.col("t.term").isin(*definition.stop_words) if definition.stop_words else F.lit(False)
     dropped = F.col("mode").isin("standard", "stop") & stops
-    return rows.filter(~dropped).select("doc_id", "field", "ord", "t.pos", "t.start_off", "t.end_off", "t.term")
+    position = (F.col("first_pos") + F.col("t.pos")).alias("pos")
+    return rows.filter(~dropped).select("doc_id", "field", "ord", position, "t.start_off", "t.end_off", "t.term")
 
 
 def posting_term_stats(postings: DataFrame) -> DataFrame:

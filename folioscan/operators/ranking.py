@@ -160,6 +160,16 @@ def with_max_score(scored: DataFrame) -> DataFrame:
 # --- numbering and running totals over any number of rows ------------------------------------
 
 
+# Helper tables with at most this many rows are broadcast; larger ones are joined as Spark sees fit.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Fetch a table that should be small, and broadcast it if it is; else leave it to an ordinary join."""
+    head = df.limit(rows + 1).collect()
+    return df if len(head) > rows else F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
 def running_total(
     df: DataFrame, order: list[str], value: Column, name: str, group: list[str] | None = None
 ) -> DataFrame:
@@ -178,9 +188,7 @@ def running_total(
     # A row per partition and group: ranges keep groups together, so few rows per group.
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    if not group:
-        # One row per partition, at most spark.sql.shuffle.partitions of them.
-        starts = F.broadcast(starts)
+    starts = broadcast_if_small(starts)
     inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = parts.join(starts, ["_part", *group])
     return joined.select(*columns, (F.col("_start") + F.sum("_value").over(inside)).alias(name))
@@ -207,9 +215,6 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number", group
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # What to add to an id of this partition and group.
     shift = F.coalesce(F.sum("_count").over(earlier), F.lit(0)) + 1 - F.col("_first")
-    shifts = counts.select("_part", *group, shift.alias("_shift"))
-    if not group:
-        # One row per partition, at most spark.sql.shuffle.partitions of them.
-        shifts = F.broadcast(shifts)
+    shifts = broadcast_if_small(counts.select("_part", *group, shift.alias("_shift")))
     joined = placed.withColumn("_part", part).join(shifts, ["_part", *group])
     return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

@@ -76,6 +76,7 @@ def field_passthrough(table):
         col("p_partkey").cast("string").alias("doc_id"),
         F.lit("Ready Made").alias("field"),
         F.lit(1).alias("ord"),
+        F.lit(0).alias("first_pos"),
         F.upper("p_brand").alias("term"),
         F.lit("ready").alias("kind"),
         F.lit("keyword").alias("mode"),

@@ -84,6 +84,26 @@ def test_per_field_modes(spark):
     }
 
 
+def test_positions_run_through_values(spark):
+    d = IndexDefinition("t", indexing={"words": Indexing.ANALYZED, "raw": Indexing.NOT_ANALYZED})
+    values = ["blue x", None, "", "the y", "...", "rod"]
+    source = spark.createDataFrame([("A", values, values)], "id string, words array<string>, raw array<string>")
+    rows = p.field_postings(fields.field_rows(source, "id", d), d)
+    found = sorted((r.field, r.ord, r.pos, r.term) for r in rows.collect())
+    assert found == [
+        ("raw", 1, 0, "blue x"), ("raw", 2, 1, "NULL_VALUE"), ("raw", 3, 2, "EMPTY_STRING"),
+        ("raw", 4, 3, "the y"), ("raw", 5, 4, "..."), ("raw", 6, 5, "rod"),
+        ("words", 1, 0, "blue"), ("words", 1, 1, "x"), ("words", 2, 2, "EMPTY_STRING"), ("words", 3, 4, "y"),
+        ("words", 5, 5, "rod"),
+    ]
+    # Array places of the wide table are the same positions.
+    [wide] = fields.document_table(source, "id", d).collect()
+    assert wide.words == ["blue", "x", "EMPTY_STRING", None, "y", "rod"]
+    for phrase, hit in (("x EMPTY_STRING", False), ("y rod", True), ("blue rod", False)):
+        terms = analysis.query_terms(phrase, "standard", STOP_WORDS)
+        assert bool(p.phrase_documents(rows.filter("field = 'words'"), terms).collect()) == hit
+
+
 def test_custom_analyzer(spark):
     analysis.register_analyzer("by_comma", lambda text: F.split(text, ","))
     d = IndexDefinition("t", analyzers={"tags": "by_comma"})

@@ -22,6 +22,21 @@ def test_decimal_text(spark):
     assert whole == ["100", "0"]
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_small_decimals(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        data = [Decimal("0E-10"), Decimal("-0.0000000015"), Decimal("0.0000001"), Decimal("12.5")]
+        dtype = T.DecimalType(20, 10)
+        raw = texts(spark, data, "decimal(20,10)", lambda c: values.value_text(c, dtype, analyzed=False))
+        assert raw == ["0.0000000000", "-0.0000000015", "0.0000001000", "12.5000000000"]
+        trimmed = texts(spark, data, "decimal(20,10)", lambda c: values.value_text(c, dtype))
+        assert trimmed == ["0", "-0.0000000015", "0.0000001", "12.5"]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_double_text(spark):
     data = [23.0, 1e7, -1e7, 0.5, 123456789.125, 1e14, 1e15, 1.5e20, 1e-4, 0.00001, 2.5e-7, 0.0, float("nan"), None]
     expected = ["23", "10000000", "-10000000", "0.5", "123456789.125", "100000000000000", "1E+15", "1.5E+20"]
