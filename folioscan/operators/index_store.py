@@ -1,8 +1,9 @@
 """An index as a folder of Parquet tables: documents, fields and postings.
 
 A write adds a ``version`` folder to each table and replaces nothing. Readers take the
-state of one version, so a write is seen whole or not at all; ``compact`` rewrites the
-live rows as a new index.
+state of one version, so a write is seen whole or not at all. A row is live unless a
+later version holds its document; as the first version supersedes nothing, only the ids
+of later ones are looked at. ``compact`` rewrites the live rows as a new first version.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from folioscan.definition import IndexDefinition
 from folioscan.operators.fields import FIELD_SCHEMA, document_table, field_rows
-from folioscan.operators.maintenance import compacted
 from folioscan.operators.postings import field_postings
-from folioscan.operators.upsert import latest, snapshot_as_of
+from folioscan.operators.upsert import latest
+from folioscan.session import written
 
 POSTING_ORDER = ["field", "term", "doc_id", "ord", "pos"]
 
@@ -31,61 +32,71 @@ class IndexFolder:
         base = f"{self.path.rstrip('/')}/{name}"
         return base if version is None else f"{base}/version={version}"
 
-    def write(self, source: DataFrame, doc_id: str, version: int, seq: str | list[str] | None = None) -> None:
+    def write(self, source: DataFrame, doc_id: str, version: int, seq: str | list[str] | None = None) -> bool:
         """Index a batch of source rows under a new version; with ``seq`` the last row of an id wins.
 
         Documents are written last: they are what makes a version visible. An attempt
-        that failed half-way is overwritten by the next one for the same version.
+        that failed half-way is overwritten by the next one for the same version. An
+        empty batch writes nothing and returns False.
         """
+        if source.isEmpty():
+            return False
         batch = source
         if seq is not None:
-            batch = latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq)
-        fields = field_rows(batch, doc_id, self.definition)
+            # Written once, as both the fields and the documents are made from it.
+            batch = written(latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq), "batch")
         # Each task writes a file per field; a large input has large tasks, so no shuffle is needed.
+        fields = field_rows(batch, doc_id, self.definition)
         fields.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
-
-        written = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
-        postings = field_postings(written, self.definition)
-        # Ranges over the whole key: a frequent term is spread over several files.
-        sorted_postings = postings.repartitionByRange(*POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
-        sorted_postings.write.mode("overwrite").partitionBy("field").parquet(self._table("postings", version))
-
+        stored = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
+        self._write_postings(field_postings(stored, self.definition), version)
         documents = document_table(batch, doc_id, self.definition)
         documents.write.mode("overwrite").parquet(self._table("documents", version))
+        return True
 
-    def _log(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._table(name))
+    def _write_postings(self, postings: DataFrame, version: int) -> None:
+        # Ranges over the whole key: a frequent term is spread over several files.
+        ordered = postings.repartitionByRange(*POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
+        ordered.write.mode("overwrite").partitionBy("field").parquet(self._table("postings", version))
+
+    def versions(self) -> list[int]:
+        """The versions whose documents have been written to the end."""
+        paths = self.spark._jvm.org.apache.hadoop.fs
+        root = paths.Path(self._table("documents"))
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folders = [s.getPath() for s in files.listStatus(root)]
+        whole = [p.getName() for p in folders if files.exists(paths.Path(p, "_SUCCESS"))]
+        return sorted(int(name.removeprefix("version=")) for name in whole)
+
+    def _live(self, name: str, version: int | None) -> DataFrame:
+        """The live rows of a table; filters on them reach the scan."""
+        seen = [v for v in self.versions() if version is None or v <= version]
+        rows = self.spark.read.parquet(self._table(name)).filter(F.col("version").isin(*seen))
+        if len(seen) < 2:
+            return rows
+        log = self.spark.read.parquet(self._table("documents"))
+        later = log.filter(F.col("version").isin(*seen[1:])).groupBy(F.col("doc_id").alias("_id"))
+        newest = later.agg(F.max("version").alias("_newest"))
+        return rows.join(newest, (rows["doc_id"] == newest["_id"]) & (rows["version"] < newest["_newest"]), "left_anti")
 
     def documents(self, version: int | None = None) -> DataFrame:
         """Current documents, or those of an earlier version."""
-        log = self._log("documents")
-        if version is None:
-            return latest(log, "doc_id", "version")
-        return snapshot_as_of(log, "doc_id", version, "version")
-
-    def _live(self, rows: DataFrame, version: int | None) -> DataFrame:
-        log = self._log("documents").select("doc_id", "version")
-        if version is not None:
-            log = log.filter(F.col("version") <= version)
-        live = log.groupBy("doc_id").agg(F.max("version").alias("version"))
-        return rows.join(live, ["doc_id", "version"], "left_semi")
+        return self._live("documents", version)
 
     def fields(self, version: int | None = None) -> DataFrame:
-        return self._live(self._log("fields"), version)
+        return self._live("fields", version)
 
     def postings(self, field: str | None = None, version: int | None = None) -> DataFrame:
         """Postings of live documents; naming the field prunes the scan to its folder."""
-        rows = self._log("postings")
-        return self._live(rows if field is None else rows.filter(F.col("field") == field), version)
+        rows = self._live("postings", version)
+        return rows if field is None else rows.filter(F.col("field") == field)
 
     def compact(self, path: str, version: int = 0) -> IndexFolder:
-        """Rewrite the live rows of all versions as one version in another folder."""
+        """Rewrite the live rows of all versions as the first version of another folder."""
         target = IndexFolder(self.spark, path, self.definition)
-        fields = compacted(self._live(self._log("fields"), None).drop("version"), ["field"])
+        fields = self.fields().drop("version").hint("rebalance", F.col("field"))
         fields.write.mode("overwrite").partitionBy("field").parquet(target._table("fields", version))
-        postings = self._live(self._log("postings"), None).drop("version")
-        postings = postings.repartitionByRange(*POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
-        postings.write.mode("overwrite").partitionBy("field").parquet(target._table("postings", version))
-        documents = self.documents().drop("version")
-        compacted(documents, ["doc_id"]).write.mode("overwrite").parquet(target._table("documents", version))
+        target._write_postings(self.postings().drop("version"), version)
+        documents = self.documents().drop("version").hint("rebalance")
+        documents.write.mode("overwrite").parquet(target._table("documents", version))
         return target

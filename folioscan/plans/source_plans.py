@@ -8,6 +8,7 @@ from pyspark.sql.functions import col
 from folioscan.definition import ALL_FIELDS, NOT_ANALYZED_NO_NORMS, IndexDefinition, Indexing, Sort, Storage
 from folioscan.functions.values import datetime_ticks
 from folioscan.operators import fields
+from folioscan.operators import predicates as q
 from folioscan.operators.index_store import IndexFolder
 from folioscan.plans import sql
 from folioscan.plans.registry import query
@@ -108,6 +109,28 @@ def index_write_postings(table):
     return _visit_index(table).postings().select("doc_id", "field", "ord", "pos", "start_off", "end_off", "term")
 
 
+_USERS = IndexDefinition(name="users", indexing={"event_type": Indexing.NOT_ANALYZED}, storage={"event_id": Storage.YES})
+
+
+@query(
+    "index_search",
+    """SELECT doc_id, event_id, value AS value_Range FROM (
+      SELECT 'user-' || user_id AS doc_id, event_id, event_type, value,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    WHERE rn = 1 AND event_type = 'purchase' AND value BETWEEN 5 AND 200""",
+)
+def index_search(table):
+    """Two versions of an index of the users' last events, searched in its current state."""
+    rows = table("events").select(F.concat(F.lit("User-"), "user_id").alias("id"), "event_id", "ts", "event_type", "value")
+    index = IndexFolder(table.spark, scratch_path(table.spark, "users-index"), _USERS)
+    early = col("ts") < F.lit("2024-01-16")
+    index.write(rows.filter(early), "id", 1, seq=["ts", "event_id"])
+    index.write(rows.filter(~early), "id", 2, seq=["ts", "event_id"])
+    purchase = q.term(q.SearchField("event_type", "keyword"), "purchase")
+    clause = q.must(purchase, q.range_clause(q.SearchField("value"), "Dx5", "Dx200", companion="value_Range"))
+    return index.documents().filter(clause).select("doc_id", col("stored_event_id").alias("event_id"), "value_Range")
+
+
 @query(
     "stored_fields",
     f"""WITH {sql.VISITS}
