@@ -229,27 +229,28 @@ def fuzzy_documents(
 # --- phrases ---------------------------------------------------------------------------------
 
 
+# Stands between the words of a joined array; no analyzer of this library puts it in a term.
+_BETWEEN = "\x01"
+
+
 def phrase(field: SearchField, terms: list[tuple[int, str]]) -> Column:
     """Adjacent terms; ``terms`` are (position, term) pairs and gaps are dropped stop words.
 
-    On a word field array places are positions. On a single-term field a phrase cannot match.
+    On a word field array places are positions, so the words are joined and the phrase
+    is looked for as text. On a single-term field a phrase cannot match.
     """
     if not field.multi:
         return match_none()
-    first = terms[0][0]
-
-    def adjacent(words: Column) -> Column:
-        at = [lambda i, p=p, t=t: F.get(words, i + (p - first)) == t for p, t in terms]
-        starts = F.sequence(F.lit(0), F.size(words) - 1)
-        return F.exists(starts, lambda i: must(*[test(i) for test in at]))
-
-    def matches(words: Column) -> Column:
-        # A document without all the terms is settled without looking at positions.
-        holds_all = must(*[F.array_contains(words, t) for t in sorted({t for _, t in terms})])
-        return F.when(holds_all, adjacent(words)).otherwise(F.lit(False))
-
-    # The words are bound once by an outer lambda; they may be an expression, not a stored column.
-    return F.coalesce(F.exists(F.array(field.column), matches), F.lit(False))
+    joined = F.concat(F.lit(_BETWEEN), F.array_join(field.column, _BETWEEN, ""), F.lit(_BETWEEN))
+    steps = [after - before for (before, _), (after, _) in zip(terms, terms[1:])]
+    words = [t for _, t in terms]
+    if all(step == 1 for step in steps):
+        found = F.contains(joined, F.lit(_BETWEEN + _BETWEEN.join(words) + _BETWEEN))
+    else:
+        skips = ["".join([_BETWEEN, f"[^{_BETWEEN}]*"] * (step - 1)) + _BETWEEN for step in steps]
+        pattern = "".join(s + _quoted(w) for s, w in zip([_BETWEEN, *skips], words)) + _BETWEEN
+        found = joined.rlike(pattern)
+    return F.coalesce(found, F.lit(False))
 
 
 # --- ranges ----------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from folioscan.plans import sql
 from folioscan.plans.registry import query
 from folioscan.session import scratch_path
 from folioscan.sources import paging, visits
+from folioscan.sources.tables import spread
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -84,10 +85,8 @@ _WIDE = ", ".join(
 
 
 def _visit_index(table):
-    source = visits.visits(table("events"))
-    spark = source.sparkSession
-    index = IndexFolder(spark, scratch_path(spark, "visits-index"), visits.VISITS)
-    index.write(source, "id", version=1)
+    index = IndexFolder(table.spark, scratch_path(table.spark, "visits-index"), visits.VISITS)
+    index.write(visits.visits(spread(table("events"))), "id", version=1)
     return index
 
 
@@ -189,7 +188,7 @@ def ticks(table):
 
 @query("fields_fanout", f"WITH {sql.VISIT_FIELDS} SELECT doc_id, field, term AS value FROM flds")
 def fields_fanout(table):
-    rows = fields.field_rows(visits.visits(table("events")), "id", visits.VISITS)
+    rows = fields.field_rows(visits.visits(spread(table("events"))), "id", visits.VISITS)
     return rows.select("doc_id", "field", col("term").alias("value"))
 
 

@@ -81,6 +81,25 @@ def test_free_text(docs):
     assert literals.lookup("other", token) is None
 
 
+@pytest.mark.parametrize("text", ["b c", "b b", "b the c", "b the of c b", "c", "b b b b"])
+def test_phrase_column(spark, text):
+    rng = random.Random(11)
+    stops = {"the", "of"}
+    texts = [[rng.choice(["b", "c", "the", "of", "bb"]) for _ in range(rng.randrange(9))] for _ in range(400)]
+    docs = spark.createDataFrame([(i, [None if w in stops else w for w in t]) for i, t in enumerate(texts)], "id int, words array<string>")
+    wanted = [(i, w) for i, w in enumerate(text.split()) if w not in stops]
+
+    def holds(t):
+        return any(all(s + p < len(t) and t[s + p] == w for p, w in wanted) for s in range(len(t)))
+
+    assert ids(docs, q.field_text(WORDS, text)) == {i for i, t in enumerate(texts) if holds(t)}
+
+
+def test_phrase_of_odd_terms(spark):
+    docs = spark.createDataFrame([(1, ["a.b", None, "c+"]), (2, ["axb", "x", "c+"]), (3, [])], "id int, words array<string>")
+    assert ids(docs, q.phrase(WORDS, [(0, "a.b"), (2, "c+")])) == {1}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
