@@ -31,6 +31,7 @@ STOP_WORDS = (
 )
 
 
+# The choices of each policy.
 class Indexing(str, Enum):
     NO = "No"
     ANALYZED = "Analyzed"

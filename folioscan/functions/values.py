@@ -10,22 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.definition import EMPTY_TERM, NULL_TERM
-
 # Ticks are 100 ns steps since 0001-01-01; this is 1970-01-01.
 TICKS_AT_EPOCH = 621355968000000000
 # Date-time text with seven fractional digits.
 DATETIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"
 
 
-def null_term(value: Column) -> Column:
-    return F.coalesce(value, F.lit(NULL_TERM))
-
-
-def empty_term(value: Column) -> Column:
-    return F.when(value == "", F.lit(EMPTY_TERM)).otherwise(value)
-
-
 def datetime_ticks(value: Column) -> Column:
     return F.unix_micros(value.cast("timestamp")) * F.lit(10) + F.lit(TICKS_AT_EPOCH).cast("bigint")
 

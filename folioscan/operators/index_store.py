@@ -17,7 +17,7 @@ from folioscan.definition import IndexDefinition
 from folioscan.operators.fields import FIELD_SCHEMA, document_table, field_rows
 from folioscan.operators.postings import field_postings
 from folioscan.operators.upsert import latest
-from folioscan.session import written
+from folioscan.session import broadcast_if_small, written
 
 POSTING_ORDER = ["field", "term", "doc_id", "ord", "pos"]
 
@@ -76,7 +76,7 @@ class IndexFolder:
             return rows
         log = self.spark.read.parquet(self._table("documents"))
         later = log.filter(F.col("version").isin(*seen[1:])).groupBy(F.col("doc_id").alias("_id"))
-        newest = later.agg(F.max("version").alias("_newest"))
+        newest = broadcast_if_small(later.agg(F.max("version").alias("_newest")))
         return rows.join(newest, (rows["doc_id"] == newest["_id"]) & (rows["version"] < newest["_newest"]), "left_anti")
 
     def documents(self, version: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ analysed when the query is built, so a predicate holds literals only and simple
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -125,8 +126,6 @@ class LiteralTerms:
         self._as_written: set[tuple[str, str]] = set()
 
     def register(self, field: str, value: str) -> str:
-        import uuid
-
         token = uuid.uuid4().hex
         self._tokens[field, token] = value
         return token

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.definition import Sort
-from folioscan.session import written
+from folioscan.session import broadcast_if_small, written
 
 # --- scored clauses --------------------------------------------------------------------------
 
@@ -160,16 +160,6 @@ def with_max_score(scored: DataFrame) -> DataFrame:
 # --- numbering and running totals over any number of rows ------------------------------------
 
 
-# Helper tables with at most this many rows are broadcast; larger ones are joined as Spark sees fit.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Fetch a table that should be small, and broadcast it if it is; else leave it to an ordinary join."""
-    head = df.limit(rows + 1).collect()
-    return df if len(head) > rows else F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
 def running_total(
     df: DataFrame, order: list[str], value: Column, name: str, group: list[str] | None = None
 ) -> DataFrame:

@@ -45,5 +45,5 @@ def jdbc_options(
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """A table of a SQL database; filters, columns and top-n on it are pushed to the database by Spark."""
+    """A table of a SQL database; Spark pushes filters and the choice of columns to the database."""
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()

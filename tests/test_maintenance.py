@@ -135,6 +135,35 @@ def test_check_and_repair(spark):
     assert {r.bad_rows for r in empty.collect()} == {0}
 
 
+def test_repair_of_an_oversized_document(spark):
+    docs = spark.range(20).select(col("id").cast("string").alias("doc_id"))
+    posts = spark.range(9000).select(
+        F.when(col("id") % 3 == 0, "7").otherwise((col("id") % 40).cast("string")).alias("doc_id"),
+        col("id").cast("int").alias("pos"),
+        F.lit(0).alias("start_off"),
+        F.lit(1).alias("end_off"),
+    )
+    known = [str(i) for i in range(20)]
+    wanted = posts.filter(col("doc_id").isin(*known)).count()
+    assert maintenance.repair_postings(docs, posts).count() == wanted
+
+
+def test_arrival_order_does_not_matter(spark):
+    rng = random.Random(4)
+    rows = [(f"k{rng.randrange(9)}", s, f"v{s}") for s in range(200)]
+    results = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        parts = [spark.createDataFrame(rows[i : i + 50], "k string, s int, v string") for i in range(0, 200, 50)]
+        state = upsert.latest(parts[0], "k", "s")
+        log = parts[0]
+        for part in parts[1:]:
+            log = log.unionByName(part)
+        results.append(as_set(upsert.latest(log, "k", "s")))
+        assert as_set(state) <= {tuple(r) for r in rows}
+    assert results[0] == results[1]
+
+
 def test_counters(spark):
     batch = spark.createDataFrame([("A",), ("a",), (None,), (" ",), ("b",)], "id string")
     counts = maintenance.ingest_stats(batch, "id").first().asDict()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
+from folioscan import session
 from folioscan.definition import Sort
 from folioscan.operators import postings as p
 from folioscan.operators import predicates as q
@@ -230,7 +231,7 @@ def test_numbering_with_a_hot_group(spark):
 
 
 def test_numbering_without_a_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(ranking.broadcast_if_small, "__defaults__", (1,))
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (1,))
     rows = spark.range(500).select((-col("id")).alias("k"))
     assert {r.k: r.n for r in ranking.number_rows(rows, ["k"], "n").collect()} == {-i: 500 - i for i in range(500)}
 
