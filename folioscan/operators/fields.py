@@ -398,7 +398,12 @@ def document_table(df: DataFrame, doc_id: str, definition: IndexDefinition) -> D
             columns.append(companion.alias(rule.name + RANGE_SUFFIX))
         if rule.stored:
             columns.append(F.col(f"`{rule.column}`").alias("stored_" + rule.name))
-    return df.select(*columns)
+    documents = df.select(*columns)
+    names = [c.lower() for c in documents.columns]
+    repeated = sorted({c for c in names if names.count(c) > 1})
+    if repeated:
+        raise ValueError(f"several columns would be called {', '.join(repeated)}")
+    return documents
 
 
 def stored_fields(hits: DataFrame, documents: DataFrame, fields: list[str]) -> DataFrame:

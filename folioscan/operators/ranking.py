@@ -157,6 +157,29 @@ def with_max_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("max_score", scored.agg(F.max("score").alias("max_score")).scalar())
 
 
+@dataclass(frozen=True)
+class Found:
+    """The answer to a search: the wanted rows, and the count of all matches beside them."""
+
+    top: DataFrame
+    total: DataFrame
+
+
+def search(
+    docs: DataFrame,
+    query: Scored,
+    size: int,
+    start: int = 0,
+    order: list[Column] | None = None,
+    only: Column | None = None,
+    tie: str = "doc_id",
+) -> Found:
+    """The best rows of a scored query, or the first by ``order``; ``only`` filters without scoring."""
+    hits = docs.filter(query.matches if only is None else query.matches & only).withColumn("score", query.score)
+    ranked = [F.col("score").desc()] if order is None else order
+    return Found(page(hits, ranked, start, size, tie), total_hits(hits))
+
+
 # --- numbering and running totals over any number of rows ------------------------------------
 
 

@@ -182,6 +182,12 @@ def test_document_table(spark):
     assert (b.n, b.n_Range, b.ns, b.ns_Range) == ("NULL_VALUE", None, ["NULL_VALUE"], None)
 
 
+def test_names_must_not_meet(spark):
+    source = spark.createDataFrame([("A", 1, 2)], "id string, `9x` int, `_9x` int")
+    with pytest.raises(ValueError):
+        fields.document_table(source, "id", IndexDefinition("t"))
+
+
 def test_one_scan_for_all_fields(spark, plan):
     source = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
     text = plan(fields.field_rows(source, "p_partkey", IndexDefinition("t")))

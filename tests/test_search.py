@@ -211,6 +211,16 @@ def test_pages_join_up(spark):
     assert first + second == both
 
 
+def test_search(docs):
+    both = ranking.any_of(ranking.constant(q.prefix(NAME, "blue")), ranking.constant(q.wildcard(NAME, "*ring")))
+    found = ranking.search(docs, both, size=2, tie="id")
+    assert [(r.id, r.score) for r in found.top.collect()] == [(1, 2.0), (0, 0.5)] and found.total.first().total_hits == 3
+    rest = ranking.search(docs, both, size=5, start=2, tie="id")
+    assert [r.id for r in rest.top.collect()] == [2]
+    by_name = ranking.search(docs, both, size=9, order=[col("name").desc()], only=col("id") > 0, tie="id")
+    assert [r.id for r in by_name.top.collect()] == [2, 1] and by_name.total.first().total_hits == 2
+
+
 def test_top_k_plan(spark, plan):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     text = plan(ranking.top_sorted(orders, ranking.sort_order(col("o_totalprice"), Sort.DOUBLE), 50, tie="o_orderkey"))
