@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "folioscan") -> SparkSession:
-    """A session for one machine: tests, the bench and trial runs."""
+    """A session for one machine: tests, the bench and trial runs. It sets its own shared folder."""
     partitions = "8" if cores == "*" else str(cores)
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "folios
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="folioscan-"))
         .getOrCreate()
     )
 
@@ -35,7 +36,7 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own machine.
+    Where it is unset, a session of one machine gets a folder below its warehouse; others must set it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -43,9 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="folioscan-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
