@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 30
 SHORT = 128
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 
 def byte_letters() -> dict[str, int]:
