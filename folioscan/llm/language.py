@@ -11,9 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.session import written
+
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 STEP = 1 << 20
+HASHES = 1 << 40
+# Most languages whose counts are sent to every executor; more are joined by a shuffle.
+SENT_LANGUAGES = 100_000
 
 
 def grams(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +78,7 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 400, centroids: int = 3, bits: int = 14, slack: float = 0.5) -> LanguageModel:
+def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 400, centroids: int = 3, bits: int = 14, slack: float = 0.25) -> LanguageModel:
     """Centroids from at most ``per_language`` rows of each language, those with the least hashes of their ids.
 
     Rows with a null id, text or label, or without letters, teach nothing. A language's texts are rejected
@@ -83,8 +88,14 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_lan
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(
         "id is not null and text is not null and label is not null"
     )
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = rows.select("id", "label").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    # Hashes under a bound by the language's count leave about twice as many ids as are wanted, however many there are.
+    sizes = written(rows.groupBy("label").agg(F.count("*").alias("rows")), "languages")
+    if sizes.count() <= SENT_LANGUAGES:
+        sizes = F.broadcast(sizes)
+    share = F.pmod(F.xxhash64("id"), F.lit(HASHES)) / F.lit(HASHES)
+    near = rows.select("id", "label").join(sizes, "label").filter(share * F.col("rows") < 2 * per_language)
+    order = Window.partitionBy("label").orderBy(F.pmod(F.xxhash64("id"), F.lit(HASHES)), "id")
+    sample = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
