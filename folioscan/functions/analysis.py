@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The word grammars.
@@ -81,6 +81,9 @@ def query_terms(text: str, mode: str, stop_words: tuple[str, ...] = ()) -> list[
     if mode in _WHOLE_VALUE:
         term = text.lower() if mode == "lowercase_keyword" else text
         return [(0, term)] if term else []
+    if mode in _custom:
+        terms = SparkSession.active().range(1).select(_custom[mode](F.lit(text))).first()[0]
+        return [(i, t) for i, t in enumerate(terms or []) if t is not None]
     if mode not in _PATTERNS:
         raise ValueError(f"search text cannot be analysed with {mode!r} before the query runs")
     classes = "LN" if _PATTERNS[mode] == WORD_PATTERN else "L"

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 # The shape of a typed number.
 TYPED_NUMBER = r"^\wx[-\w.]+$"
 
-_WHOLE = re.compile(r"\s*[+-]?\d+\s*$")
+# What follows the prefix, for both decoders.
+WHOLE = r"^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+HEX = r"^[0-9A-Fa-f]+$"
+_FLOAT_LIMIT = 3.4028235677973366e38
 _BOUNDS = {"int": 31, "long": 63}
 
 
@@ -31,7 +35,7 @@ def is_typed(text: str) -> bool:
 
 
 def _whole(digits: str, kind: str, text: str) -> Number:
-    if not _WHOLE.match(digits):
+    if not re.fullmatch(WHOLE, digits):
         raise ValueError(f"not a number: {text!r}")
     value = int(digits)
     limit = 1 << _BOUNDS[kind]
@@ -47,9 +51,7 @@ def decode(text: str | None) -> Number | None:
     if len(text) <= 2:
         raise ValueError(f"a typed number has more than 2 characters: {text!r}")
     prefix, digits = text[:2], text[2:]
-    if "_" in digits:
-        raise ValueError(f"not a number: {text!r}")
-    if prefix == "0x" and len(digits) in (8, 16):
+    if prefix == "0x" and len(digits) in (8, 16) and re.fullmatch(HEX, digits):
         bits = 4 * len(digits)
         raw = int(digits, 16)
         return Number("int" if bits == 32 else "long", raw - (1 << bits) if raw >> (bits - 1) else raw)
@@ -57,10 +59,13 @@ def decode(text: str | None) -> Number | None:
         return _whole(digits, "int", text)
     if prefix == "Lx":
         return _whole(digits, "long", text)
-    if prefix == "Fx":
-        return Number("float", struct.unpack("f", struct.pack("f", float(digits)))[0])
-    if prefix == "Dx":
-        return Number("double", float(digits))
+    if prefix in ("Fx", "Dx"):
+        if not re.fullmatch(DECIMAL, digits):
+            raise ValueError(f"not a number: {text!r}")
+        value = float(digits)
+        if abs(value) == float("inf") or prefix == "Fx" and abs(value) >= _FLOAT_LIMIT:
+            raise ValueError(f"out of range: {text!r}")
+        return Number("double", value) if prefix == "Dx" else Number("float", struct.unpack("f", struct.pack("f", value))[0])
     raise ValueError(f"unknown number form: {text!r}")
 
 
@@ -71,16 +76,16 @@ def decode_column(text: Column) -> Column:
     """
     prefix = F.substring(text, 1, 2)
     digits = F.substr(text, F.lit(3))
-    is_hex = digits.rlike("^[0-9A-Fa-f]+$")
+    is_hex, is_whole, is_decimal = (digits.rlike(p) for p in (HEX, WHOLE, DECIMAL))
     kind = (
         F.when(text.isNull() | (text == "*") | (F.upper(text) == "NULL"), "open")
         .when(F.length(text) <= 2, "error")
         .when((prefix == "0x") & is_hex & (F.length(digits) == 8), "int")
         .when((prefix == "0x") & is_hex & (F.length(digits) == 16), "long")
-        .when((prefix == "Ix") & digits.try_cast("int").isNotNull(), "int")
-        .when((prefix == "Lx") & digits.try_cast("bigint").isNotNull(), "long")
-        .when((prefix == "Fx") & digits.try_cast("float").isNotNull(), "float")
-        .when((prefix == "Dx") & digits.try_cast("double").isNotNull(), "double")
+        .when((prefix == "Ix") & is_whole & digits.try_cast("int").isNotNull(), "int")
+        .when((prefix == "Lx") & is_whole & digits.try_cast("bigint").isNotNull(), "long")
+        .when((prefix == "Fx") & is_decimal & (F.abs(digits.try_cast("float")) < float("inf")), "float")
+        .when((prefix == "Dx") & is_decimal & (F.abs(digits.try_cast("double")) < float("inf")), "double")
         .otherwise("error")
     )
     from_hex = F.conv(F.when(is_hex & (F.length(digits) <= 16), digits), 16, -10).try_cast("bigint")

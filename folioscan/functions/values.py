@@ -55,11 +55,16 @@ def float_text(value: Column) -> Column:
     text = value.cast("string")
     size = F.abs(value)
     plain = _without_trailing_zeros(text.try_cast("decimal(38,18)").cast("string"))
+    # Below 1e-3 Spark writes an exponent; the digits are set behind its zeros, all of them.
+    digits = F.rtrim(F.replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), F.lit("."), F.lit("")), F.lit("0"))
+    zeros = F.regexp_extract(text, r"E-([0-9]+)$", 1).try_cast("int") - 1
+    small = F.concat(F.when(value < 0, "-0.").otherwise("0."), F.repeat(F.lit("0"), zeros), digits)
     mantissa = F.regexp_replace(text, r"\.0E", "E")
     exponent = F.regexp_replace(F.regexp_replace(mantissa, r"E(\d)", "E+$1"), r"E([+-])(\d)$", "E$10$2")
     return (
         F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
-        .when((size >= F.lit(1e-5)) & (size < F.lit(1e15)), plain)
+        .when((size >= F.lit(1e-5)) & (size < F.lit(1e-3)), small)
+        .when((size >= F.lit(1e-3)) & (size < F.lit(1e15)), plain)
         .otherwise(exponent)
     )
 

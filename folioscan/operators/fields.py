@@ -48,8 +48,6 @@ FIELD_SCHEMA = T.StructType(
         T.StructField("indexed", T.BooleanType()),
     ]
 )
-# Policy tables with at most this many rows are broadcast; larger ones are joined as Spark sees fit.
-BROADCAST_POLICY_ROWS = 100_000
 
 
 def document_id(value: Column) -> Column:
@@ -82,10 +80,7 @@ def field_name(name: str) -> str:
 def with_policy(fields: DataFrame, definition: IndexDefinition, name: str = "field") -> DataFrame:
     """Join the definition's entries to a table with a field-name column."""
     spark = fields.sparkSession
-    rows = definition.policy_rows()
     policy = definition.policy_frame(spark).withColumnRenamed("field", "_policy_field")
-    if len(rows) <= BROADCAST_POLICY_ROWS:
-        policy = F.broadcast(policy)
     return fields.join(policy, F.col(name) == F.col("_policy_field"), "left").drop("_policy_field")
 
 

@@ -10,18 +10,41 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.definition import IndexDefinition
 from folioscan.operators.fields import FIELD_SCHEMA, document_table, field_rows
 from folioscan.operators.postings import field_postings
 from folioscan.operators.upsert import latest
-from folioscan.session import broadcast_if_small, written
+from folioscan.session import written
+
+# Types in which a column may grow from version to version.
+_WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 
 POSTING_ORDER = ["field", "term", "doc_id", "ord", "pos"]
 
 
+def merged_type(a: T.DataType, b: T.DataType, name: str) -> T.DataType:
+    """The type of a column in two versions: the same, or the wider whole number, also within arrays."""
+    if a == b:
+        return a
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(merged_type(a.elementType, b.elementType, name))
+    raise ValueError(f"column {name!r} is {a.simpleString()} in one version and {b.simpleString()} in another")
+
+
+def merged_schema(schemas: list[T.StructType]) -> T.StructType:
+    types: dict[str, T.DataType] = {}
+    for field in (f for schema in schemas for f in schema):
+        types[field.name] = merged_type(types[field.name], field.dataType, field.name) if field.name in types else field.dataType
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+
+
 @dataclass(frozen=True)
 class IndexFolder:
     spark: SparkSession
@@ -32,31 +55,53 @@ class IndexFolder:
         base = f"{self.path.rstrip('/')}/{name}"
         return base if version is None else f"{base}/version={version}"
 
-    def write(self, source: DataFrame, doc_id: str, version: int, seq: str | list[str] | None = None) -> bool:
+    def write(
+        self, source: DataFrame, doc_id: str, version: int, seq: str | list[str] | None = None, batch_id: str | None = None, partitions: int | None = None
+    ) -> bool:
         """Index a batch of source rows under a new version; with ``seq`` the last row of an id wins.
 
         Documents are written last: they are what makes a version visible. An attempt
-        that failed half-way is overwritten by the next one for the same version. An
-        empty batch writes nothing and returns False.
+        that failed half-way is overwritten by the next one for the same version. A
+        version that is there already is refused, unless it is the same batch once more, by its
+        ``batch_id`` or else by a hash of its rows; then, and for an empty batch, nothing is written and
+        the answer is False. Ids must not be null, and without ``seq`` they must be
+        unique. A column may be new, or a wider whole number than before; other changes
+        of type are refused. ``partitions`` is the number of ranges of postings.
         """
-        if source.isEmpty():
+        id_ = F.lower(F.col(doc_id).cast("string"))
+        content = F.sum(F.xxhash64(F.to_json(F.struct(*source.columns))).cast("decimal(38,0)"))
+        rows, null_ids, content = source.agg(F.count("*"), F.count_if(id_.isNull()), content).first()
+        batch_id = batch_id or f"{rows} rows, {content}"
+        if rows and version in (done := self.versions()):
+            if self._batch_of(version) == batch_id:
+                return False
+            raise ValueError(f"version {version} is already written")
+        if not rows:
             return False
+        if null_ids:
+            raise ValueError(f"{null_ids} rows have a null id")
+        if seq is None and (twice := source.groupBy(id_.alias("id")).count().filter("count > 1").head()):
+            raise ValueError(f"several rows of id {twice.id!r}: give seq")
+        if done:
+            known = [self._schema("documents", v) for v in done]
+            merged_schema([*known, document_table(source, doc_id, self.definition).schema])
         batch = source
         if seq is not None:
             # Written once, as both the fields and the documents are made from it.
             batch = written(latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq), "batch")
-        # Each task writes a file per field; a large input has large tasks, so no shuffle is needed.
-        fields = field_rows(batch, doc_id, self.definition)
+        # Brought together by field, so that files follow the fields' sizes and not the number of tasks.
+        fields = field_rows(batch, doc_id, self.definition).hint("rebalance", F.col("field"))
         fields.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
         stored = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
-        self._write_postings(field_postings(stored, self.definition), version)
+        self._write_postings(field_postings(stored, self.definition), version, partitions)
+        self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(self._table("batches", version))
         documents = document_table(batch, doc_id, self.definition)
         documents.write.mode("overwrite").parquet(self._table("documents", version))
         return True
 
-    def _write_postings(self, postings: DataFrame, version: int) -> None:
+    def _write_postings(self, postings: DataFrame, version: int, partitions: int | None = None) -> None:
         # Ranges over the whole key: a frequent term is spread over several files.
-        ordered = postings.repartitionByRange(*POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
+        ordered = postings.repartitionByRange(*([partitions] if partitions else []), *POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
         ordered.write.mode("overwrite").partitionBy("field").parquet(self._table("postings", version))
 
     def versions(self) -> list[int]:
@@ -64,19 +109,33 @@ class IndexFolder:
         paths = self.spark._jvm.org.apache.hadoop.fs
         root = paths.Path(self._table("documents"))
         files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
         folders = [s.getPath() for s in files.listStatus(root)]
         whole = [p.getName() for p in folders if files.exists(paths.Path(p, "_SUCCESS"))]
         return sorted(int(name.removeprefix("version=")) for name in whole)
 
+    def _schema(self, name: str, version: int) -> T.StructType:
+        schema = self.spark.read.parquet(self._table(name, version)).schema
+        return T.StructType([T.StructField("field", T.StringType()) if f.name == "field" and name != "documents" else f for f in schema])
+
+    def _batch_of(self, version: int) -> str | None:
+        try:
+            return self.spark.read.parquet(self._table("batches", version)).first()[0]
+        except AnalysisException:  # written without one
+            return None
+
     def _live(self, name: str, version: int | None) -> DataFrame:
         """The live rows of a table; filters on them reach the scan."""
         seen = [v for v in self.versions() if version is None or v <= version]
-        rows = self.spark.read.parquet(self._table(name)).filter(F.col("version").isin(*seen))
+        # The columns of all versions; a version without one of them reads as nulls.
+        known = merged_schema([self._schema(name, v) for v in seen])
+        rows = self.spark.read.schema(T.StructType([*known, T.StructField("version", T.IntegerType())])).parquet(self._table(name)).filter(F.col("version").isin(*seen))
         if len(seen) < 2:
             return rows
         log = self.spark.read.parquet(self._table("documents"))
         later = log.filter(F.col("version").isin(*seen[1:])).groupBy(F.col("doc_id").alias("_id"))
-        newest = broadcast_if_small(later.agg(F.max("version").alias("_newest")))
+        newest = later.agg(F.max("version").alias("_newest"))
         return rows.join(newest, (rows["doc_id"] == newest["_id"]) & (rows["version"] < newest["_newest"]), "left_anti")
 
     def documents(self, version: int | None = None) -> DataFrame:

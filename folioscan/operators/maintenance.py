@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioscan.operators.ranking import running_total
 from folioscan.operators.upsert import latest
-from folioscan.session import broadcast_if_small
 
 
 def compacted(df: DataFrame, cluster_by: list[str]) -> DataFrame:
@@ -89,11 +88,10 @@ def repair_documents(documents: DataFrame, seq: str | list[str]) -> DataFrame:
 def repair_postings(documents: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of known documents with sound positions.
 
-    The unknown ids are found from the distinct ids. When they are few the postings are
-    filtered where they are, without a shuffle; else they are joined, and Spark splits
-    the postings of an oversized id (adaptive skew join).
+    The unknown ids are found from the distinct ids; Spark chooses the join by their size
+    and splits the postings of an oversized id (adaptive skew join).
     """
     ids = postings.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     unknown = ids.join(documents.select("doc_id"), "doc_id", "left_anti")
     sound = postings.filter(F.col("doc_id").isNotNull() & ~F.coalesce(_bad_span(), F.lit(False)))
-    return sound.join(broadcast_if_small(unknown), "doc_id", "left_anti")
+    return sound.join(unknown, "doc_id", "left_anti")

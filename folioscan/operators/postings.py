@@ -144,7 +144,7 @@ def phrase_documents(postings: DataFrame, phrase: list[tuple[int, str]]) -> Data
     """Documents of a one-field postings table that hold the phrase.
 
     Each occurrence of a phrase term votes for the position its phrase would start at;
-    a start with a vote for every place is a match. This is one grouping over the
+    a start with a vote for every place is a match, repeated postings or not. This is one grouping over the
     phrase's own postings, keyed by document and start, with no self-join.
     """
     if not phrase:
@@ -159,6 +159,6 @@ def phrase_documents(postings: DataFrame, phrase: list[tuple[int, str]]) -> Data
         postings.filter(F.col("term").isin(*offsets))
         .select("doc_id", "pos", F.explode(shifts).alias("place"))
         .groupBy("doc_id", (F.col("pos") - F.col("place")).alias("start"))
-        .agg(F.count("*").alias("votes"))
+        .agg(F.count_distinct("place").alias("votes"))
     )
     return votes.filter(F.col("votes") == len(phrase)).select("doc_id").distinct()

@@ -23,8 +23,6 @@ from folioscan.functions.literals import Number, decode, is_typed
 
 # Bounds that mean "no bound", as written in search text.
 OPEN_BOUNDS = (None, "NULL", "*")
-# Value lists up to this length become an IN list; longer ones a join.
-IN_LIST_LIMIT = 1_000
 
 
 @dataclass(frozen=True)
@@ -59,11 +57,13 @@ class SearchField:
 
 
 def must(*clauses: Column) -> Column:
-    return reduce(lambda a, b: a & b, clauses)
+    """All clauses; none at all match every document."""
+    return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(True)
 
 
 def should(*clauses: Column) -> Column:
-    return reduce(lambda a, b: a | b, clauses)
+    """Any clause; none at all match no document."""
+    return reduce(lambda a, b: a | b, clauses) if clauses else F.lit(False)
 
 
 def must_not(clause: Column) -> Column:
@@ -90,10 +90,8 @@ def term(field: SearchField, value: str) -> Column:
 
 
 def any_of_terms(field: SearchField, values: Iterable[str]) -> Column:
-    """Any of the exact terms; for lists too long for a predicate use ``matching_values``."""
+    """Any of the exact terms, however many; a table of values is met by ``matching_values``."""
     wanted = sorted(set(values))
-    if len(wanted) > IN_LIST_LIMIT:
-        raise ValueError(f"{len(wanted)} values: use matching_values")
     return field.any_term(lambda t: t.isin(*wanted))
 
 
@@ -302,4 +300,7 @@ def range_clause(
     if len(kinds) != 1:
         raise ValueError(f"range bounds of different types: {low!r}, {high!r}")
     ends = [None if n is None else n.value for n in numbers]
-    return number_range(F.col(companion or field.name), kinds.pop(), *ends, inclusive)
+    kind, values = kinds.pop(), F.col(companion or field.name)
+    if field.multi:  # a number for each item of the field
+        return F.coalesce(F.exists(values, lambda v: number_range(v, kind, *ends, inclusive)), F.lit(False))
+    return number_range(values, kind, *ends, inclusive)

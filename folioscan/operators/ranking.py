@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.definition import Sort
-from folioscan.session import broadcast_if_small, written
+from folioscan.session import written
 
 # --- scored clauses --------------------------------------------------------------------------
 
@@ -56,6 +56,27 @@ def any_of(*clauses: Scored) -> Scored:
     return Scored(matches, _total([c.earned for c in clauses]) * matched / F.lit(float(len(clauses))))
 
 
+def boolean(must: list[Scored] = (), should: list[Scored] = (), must_not: list[Column] = ()) -> Scored:
+    """One node with required, optional and excluded clauses.
+
+    Without required clauses one of the optional ones must match; with them these only add to the score. The
+    sum of what matches is scaled by the share of all required and optional clauses that do. No clause at all
+    matches nothing, excluded ones alone match what they do not exclude.
+    """
+    scored = [*must, *should]
+    matches = F.lit(bool(scored or must_not))
+    for clause in must:
+        matches = matches & clause.matches
+    if should and not must:
+        matches = matches & reduce(lambda a, b: a | b, [c.matches for c in should])
+    for clause in must_not:
+        matches = matches & ~F.coalesce(clause, F.lit(False))
+    if not scored:
+        return Scored(matches, F.lit(0.0))
+    matched = _total([F.when(c.matches, 1.0).otherwise(0.0) for c in scored])
+    return Scored(matches, _total([c.earned for c in scored]) * matched / F.lit(float(len(scored))))
+
+
 def one_row(df: DataFrame) -> Column:
     """The single row of an aggregate as a struct value for use in another table's columns."""
     return df.select(F.struct(*df.columns).alias("row")).scalar()
@@ -201,7 +222,6 @@ def running_total(
     # A row per partition and group: ranges keep groups together, so few rows per group.
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    starts = broadcast_if_small(starts)
     inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = parts.join(starts, ["_part", *group])
     return joined.select(*columns, (F.col("_start") + F.sum("_value").over(inside)).alias(name))
@@ -228,6 +248,6 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number", group
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # What to add to an id of this partition and group.
     shift = F.coalesce(F.sum("_count").over(earlier), F.lit(0)) + 1 - F.col("_first")
-    shifts = broadcast_if_small(counts.select("_part", *group, shift.alias("_shift")))
+    shifts = counts.select("_part", *group, shift.alias("_shift"))
     joined = placed.withColumn("_part", part).join(shifts, ["_part", *group])
     return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

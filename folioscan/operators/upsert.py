@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 def _order(seq: str | list[str]) -> Column:
-    names = [seq] if isinstance(seq, str) else seq
-    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
+    """A struct, which is never null: a null in it sorts first."""
+    return F.struct(*([seq] if isinstance(seq, str) else seq))
 
 
 def latest(rows: DataFrame, key: str, seq: str | list[str]) -> DataFrame:
     """The row with the greatest ``seq`` per key.
 
     Each task keeps one row per key before the shuffle, so a key with very many
-    versions sends at most one row per task. ``seq`` must not be null.
+    versions sends at most one row per task. A null ``seq`` counts as the least.
     """
     others = [c for c in rows.columns if c != key]
     kept = rows.groupBy(key).agg(F.max_by(F.struct(*others), _order(seq)).alias("_row"))
@@ -23,10 +23,13 @@ def latest(rows: DataFrame, key: str, seq: str | list[str]) -> DataFrame:
 
 
 def upsert(current: DataFrame, batch: DataFrame, key: str, seq: str | list[str]) -> DataFrame:
-    """The table after a batch: later rows of the batch win, and the batch wins over the table."""
-    incoming = latest(batch, key, seq)
-    kept = current.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(incoming)
+    """The table after a batch: later rows of the batch win, and the batch wins over the table.
+
+    Table and batch are grouped by key together, once; ids must not be null.
+    """
+    order = [seq] if isinstance(seq, str) else list(seq)
+    both = current.withColumn("_batch", F.lit(0)).unionByName(batch.withColumn("_batch", F.lit(1)))
+    return latest(both, key, ["_batch", *order]).drop("_batch")
 
 
 def delete_by_id(current: DataFrame, ids: DataFrame, key: str) -> DataFrame:

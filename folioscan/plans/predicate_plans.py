@@ -335,3 +335,15 @@ def q_untokenized(table):
     listed = table("orders").filter(col("o_totalprice") > 499900).select(col("o_orderpriority").alias("value"))
     many = q.matching_values(table("orders"), lowered, listed).select(*_ORDER)
     return few.unionByName(many)
+
+
+@query(
+    "q_range_multi",
+    """SELECT vec_id FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x > CAST(0.25 AS FLOAT) AND x < CAST(0.5 AS FLOAT))) > 0""",
+)
+def q_range_multi(table):
+    """A typed range over the items of an array field: any of them may lie in it."""
+    field = q.SearchField("embedding", multi=True)
+    clause = q.range_clause(field, "Fx0.25", "Fx0.5", inclusive=False, companion="embedding")
+    return table("embeddings").filter(clause).select("vec_id")

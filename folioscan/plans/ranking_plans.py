@@ -197,3 +197,24 @@ def sort_missing(table):
     name = ranking.sort_key(F.when(present, col("p_name")), Sort.STRING)
     keys = table("part").select("p_partkey", size.alias("size"), name.alias("name"))
     return ranking.number_rows(keys, ["size", "name", "p_partkey"], "place").select("p_partkey", "place")
+
+
+@query(
+    "q_mixed",
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM orders),
+    i AS (SELECT 1 + ln(n / (f + 1)) AS f, 1 + ln(n / (u + 1)) AS u FROM n)
+    SELECT CAST(o_orderkey AS VARCHAR) AS doc_id,
+      round((f * f + CASE WHEN o_orderpriority = '1-URGENT' THEN u * u ELSE 0 END + CASE WHEN o_totalprice >= 100000 THEN 1 ELSE 0 END)
+        * (1.0 + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END + CASE WHEN o_totalprice >= 100000 THEN 1 ELSE 0 END) / 3, 6) AS score
+    FROM orders, i WHERE o_orderstatus = 'F' AND NOT (o_totalprice > 200000)""",
+)
+def q_mixed(table):
+    """One node with a required, two optional and an excluded clause."""
+    status, urgent = col("o_orderstatus") == "F", col("o_orderpriority") == "1-URGENT"
+    docs = ranking.with_term_idfs(table("orders"), {"_f": status, "_u": urgent})
+    node = ranking.boolean(
+        must=[ranking.Scored(status, ranking.term_score(F.lit(1), col("_f")))],
+        should=[ranking.Scored(urgent, ranking.term_score(F.lit(1), col("_u"))), ranking.constant(col("o_totalprice") >= 100000)],
+        must_not=[col("o_totalprice") > 200000],
+    )
+    return docs.filter(node.matches).select(col("o_orderkey").cast("string").alias("doc_id"), F.round(node.score, 6).alias("score"))

@@ -130,6 +130,23 @@ def index_search(table):
     return index.documents().filter(clause).select("doc_id", col("stored_event_id").alias("event_id"), "value_Range")
 
 
+@query(
+    "index_schema_change",
+    """SELECT 'user-' || user_id AS doc_id, event_id, event_type, CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN value END AS value_Range FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def index_schema_change(table):
+    """A second version with one column more and a wider key, compacted: no column is lost."""
+    rows = table("events").select(F.concat(F.lit("User-"), "user_id").alias("id"), "event_id", "ts", "event_type", "value")
+    index = IndexFolder(table.spark, scratch_path(table.spark, "users-index"), _USERS)
+    early = col("ts") < F.lit("2024-01-16")
+    narrow = rows.filter(early).drop("value").withColumn("event_id", col("event_id").cast("int"))
+    index.write(narrow, "id", 1, seq=["ts", "event_id"])
+    index.write(rows.filter(~early), "id", 2, seq=["ts", "event_id"])
+    small = index.compact(scratch_path(table.spark, "users-compact"))
+    return small.documents().select("doc_id", col("stored_event_id").alias("event_id"), "event_type", "value_Range")
+
+
 @query(
     "stored_fields",
     f"""WITH {sql.VISITS}

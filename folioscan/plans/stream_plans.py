@@ -8,10 +8,13 @@ from pyspark.sql.functions import col
 from folioscan.definition import Sort
 from folioscan.operators import fields, ranking
 from folioscan.operators import predicates as q
+from folioscan.operators.index_store import IndexFolder
+from folioscan.operators.upsert import latest
 from folioscan.plans import sql
 from folioscan.plans.maintenance_plans import _USER_STATE
 from folioscan.plans.predicate_plans import VISIT_MATCH, visit_branches
 from folioscan.plans.registry import query
+from folioscan.plans.source_plans import _USERS
 from folioscan.session import scratch_path
 from folioscan.sources import visits
 from folioscan.streaming import upsert
@@ -45,6 +48,27 @@ def stream_resume(table):
     return spark.read.parquet(sink)
 
 
+@query(
+    "stream_index",
+    """SELECT 'user-' || user_id AS doc_id, event_id, value AS value_Range FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    WHERE rn = 1 AND event_type = 'purchase'""",
+)
+def stream_index(table):
+    """Two rounds of a stream into an index folder, and a search of its current state."""
+    spark, events = table.spark, table("events")
+    folder, progress = scratch_path(spark, "arrivals"), scratch_path(spark, "progress")
+    index = IndexFolder(spark, scratch_path(spark, "stream-index"), _USERS)
+    early = col("ts") < F.lit("2024-01-16")
+    for part in (events.filter(early), events.filter(~early)):
+        part.write.mode("append").parquet(folder)
+        stream = upsert.file_stream(spark, folder, events.schema)
+        rows = stream.select(F.concat(F.lit("User-"), "user_id").alias("id"), "event_id", "ts", "event_type", "value")
+        upsert.index_stream(rows, index, "id", ["ts", "event_id"], progress).awaitTermination()
+    hits = index.documents().filter(q.term(q.SearchField("event_type", "keyword"), "purchase"))
+    return hits.select("doc_id", col("stored_event_id").alias("event_id"), "value_Range")
+
+
 @query(
     "stream_poll_query",
     f"""WITH {sql.VISITS} SELECT doc_id, VisitDateTime AS VisitDateTime_Range FROM visits
@@ -58,7 +82,8 @@ def stream_poll_query(table):
         return fields.document_table(visits.visits(rows), "id", visits.VISITS)
 
     upsert.run_upserts(table.stream("events"), sink, checkpoint, documents)
-    current = upsert.current_documents(table.spark, sink, "doc_id", "VisitDateTime_Range")
+    log = table.spark.read.parquet(sink).withColumn("_version", col("stored_RowVersion").cast("bigint"))
+    current = latest(log, "doc_id", "_version")
     clause = q.should(*[q.must(*branch) for branch in visit_branches()])
     hits = current.filter(clause).select("doc_id", "VisitDateTime_Range")
     return ranking.top_sorted(hits, ranking.sort_order(col("VisitDateTime_Range"), Sort.LONG), 50)

@@ -63,12 +63,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-# Helper tables with at most this many rows are broadcast; larger ones are joined as Spark sees fit.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Fetch a table that should be small, and broadcast it if it is; else leave it to an ordinary join."""
-    head = df.limit(rows + 1).collect()
-    return df if len(head) > rows else F.broadcast(df.sparkSession.createDataFrame(head, df.schema))

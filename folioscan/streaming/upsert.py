@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from folioscan.operators.index_store import IndexFolder
 from folioscan.operators.upsert import latest
 
 
@@ -84,6 +85,22 @@ def start_search(
     return start_upserts(stream, sink, checkpoint, search, interval)
 
 
+def index_stream(
+    stream: DataFrame, index: IndexFolder, doc_id: str, seq: str | list[str], checkpoint: str, first_version: int = 1, interval: str | None = None
+) -> StreamingQuery:
+    """Write every round of a stream into an index folder, as a version of its own.
+
+    A round that Spark repeats after a failure carries the same number: it replaces its own unfinished version
+    and leaves a finished one alone. Index and checkpoint belong together, as the checkpoint numbers the rounds.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        index.write(batch, doc_id, first_version + number, seq, batch_id=f"{checkpoint}#{number}")
+
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def batch_rates(progress: list) -> list[tuple[int, int, float]]:
     """(batch, rows, rows per second) of each finished round."""
     return [(p["batchId"], p["numInputRows"], p["processedRowsPerSecond"]) for p in progress]

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from folioscan import session
 from folioscan.definition import Sort
 from folioscan.operators import postings as p
 from folioscan.operators import predicates as q
@@ -240,12 +239,6 @@ def test_numbering_with_a_hot_group(spark):
     assert len(numbered) == 3000 and all(v == list(range(1, len(v) + 1)) for v in by_group.values())
 
 
-def test_numbering_without_a_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (1,))
-    rows = spark.range(500).select((-col("id")).alias("k"))
-    assert {r.k: r.n for r in ranking.number_rows(rows, ["k"], "n").collect()} == {-i: 500 - i for i in range(500)}
-
-
 def test_running_total(spark):
     rows = spark.range(1, 501).select("id", (col("id") % 5).alias("v"))
     found = {r.id: r.t for r in ranking.running_total(rows, ["id"], col("v"), "t").collect()}
