@@ -1,7 +1,7 @@
 """Text forms of typed values, as they are indexed.
 
-All functions are built-in expressions. Timestamp functions expect the session
-time zone to be UTC (see ``session.use_utc``).
+All functions are built-in expressions. Times with a zone are taken in UTC and times
+without one, and dates, as they are written; the session time zone plays no part.
 """
 
 from __future__ import annotations
@@ -12,12 +12,24 @@ from pyspark.sql import types as T
 
 # Ticks are 100 ns steps since 0001-01-01; this is 1970-01-01.
 TICKS_AT_EPOCH = 621355968000000000
-# Date-time text with seven fractional digits.
-DATETIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"
+# Date-time text has seven fractional digits.
+FRACTION_DIGITS = 7
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def datetime_ticks(value: Column) -> Column:
-    return F.unix_micros(value.cast("timestamp")) * F.lit(10) + F.lit(TICKS_AT_EPOCH).cast("bigint")
+    """Ticks of a timestamp in UTC, or of the wall clock of a zone-less timestamp or date."""
+    since = (value.cast("timestamp_ntz") - F.expr(_EPOCH)).cast("interval second").cast("decimal(20,6)")
+    wall = (since * F.lit(1_000_000)).cast("bigint")
+    # The type is known when the query is planned, so one branch is left.
+    micros = F.when(F.typeof(value) == "timestamp", F.unix_micros(value.cast("timestamp"))).otherwise(wall)
+    return micros * F.lit(10) + F.lit(TICKS_AT_EPOCH).cast("bigint")
+
+
+def utc_wall_clock(value: Column) -> Column:
+    """A timestamp with a zone as the zone-less time that clocks in UTC show."""
+    seconds = (F.unix_micros(value).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def _without_trailing_zeros(text: Column) -> Column:
@@ -75,15 +87,22 @@ def bool_text(value: Column, analyzed: bool = True) -> Column:
 
 
 def datetime_text(value: Column, utc: bool) -> Column:
-    text = F.date_format(value, DATETIME_PATTERN)
-    return F.concat(text, F.lit("Z")) if utc else text
+    """Date-time text: of a timestamp with a zone in UTC (``utc``), or of a wall clock."""
+    text = (utc_wall_clock(value) if utc else value.cast("timestamp_ntz")).cast("string")
+    return _iso_text(text, "Z" if utc else "")
+
+
+def _iso_text(text: Column, zone: str) -> Column:
+    # A time's text leaves out trailing zeros of the fraction.
+    fraction = F.rpad(F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise(""), FRACTION_DIGITS, "0")
+    return F.concat(F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T")), F.lit("."), fraction, F.lit(zone))
 
 
 def offset_datetime_text(local: Column, offset: Column, keep_offset: bool) -> Column:
     """Text of a local time with its zone offset (``+02:00``): in UTC, or as given."""
     if keep_offset:
         return F.concat(datetime_text(local, utc=False), offset)
-    return datetime_text(F.to_utc_timestamp(local, offset), utc=True)
+    return _iso_text(F.convert_timezone(offset, F.lit("UTC"), local.cast("timestamp_ntz")).cast("string"), "Z")
 
 
 def json_text(value: Column) -> Column:

@@ -1,4 +1,4 @@
-"""An index as a folder of Parquet tables: documents, fields and postings.
+"""An index as a folder of Parquet tables: documents, fields, postings and terms.
 
 A write adds a ``version`` folder to each table and replaces nothing. Readers take the
 state of one version, so a write is seen whole or not at all. A row is live unless a
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from folioscan.definition import IndexDefinition
 from folioscan.operators.fields import FIELD_SCHEMA, document_table, field_rows
-from folioscan.operators.postings import field_postings
+from folioscan.operators.postings import field_postings, posting_term_stats
 from folioscan.operators.upsert import latest
 from folioscan.session import written
 
@@ -25,6 +25,8 @@ from folioscan.session import written
 _WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 
 POSTING_ORDER = ["field", "term", "doc_id", "ord", "pos"]
+POSTING_SCHEMA = "doc_id string, term string, field string"
+TERM_SCHEMA = "term string, doc_freq bigint, total_freq bigint, field string, version int"
 
 
 def merged_type(a: T.DataType, b: T.DataType, name: str) -> T.DataType:
@@ -94,6 +96,7 @@ class IndexFolder:
         fields.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
         stored = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
         self._write_postings(field_postings(stored, self.definition), version, partitions)
+        self._write_terms(version)
         self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(self._table("batches", version))
         documents = document_table(batch, doc_id, self.definition)
         documents.write.mode("overwrite").parquet(self._table("documents", version))
@@ -104,6 +107,12 @@ class IndexFolder:
         ordered = postings.repartitionByRange(*([partitions] if partitions else []), *POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
         ordered.write.mode("overwrite").partitionBy("field").parquet(self._table("postings", version))
 
+    def _write_terms(self, version: int) -> None:
+        # Counted from the stored postings, whose terms lie together: nearly all counting is done before the shuffle.
+        stored = self.spark.read.schema(POSTING_SCHEMA).parquet(self._table("postings", version))
+        stats = posting_term_stats(stored).hint("rebalance", F.col("field")).sortWithinPartitions("field", "term")
+        stats.write.mode("overwrite").partitionBy("field").parquet(self._table("terms", version))
+
     def versions(self) -> list[int]:
         """The versions whose documents have been written to the end."""
         paths = self.spark._jvm.org.apache.hadoop.fs
@@ -150,12 +159,24 @@ class IndexFolder:
         rows = self._live("postings", version)
         return rows if field is None else rows.filter(F.col("field") == field)
 
+    def terms(self, field: str | None = None, version: int | None = None) -> DataFrame:
+        """The dictionary: (field, term, doc_freq, total_freq).
+
+        Counts are those at the time of writing: documents that a later version holds again stay counted
+        until ``compact``. So it names every live term, and some that are live no more.
+        """
+        seen = [v for v in self.versions() if version is None or v <= version]
+        rows = self.spark.read.schema(TERM_SCHEMA).parquet(self._table("terms")).filter(F.col("version").isin(*seen))
+        rows = rows if field is None else rows.filter(F.col("field") == field)
+        return rows.groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
+
     def compact(self, path: str, version: int = 0) -> IndexFolder:
         """Rewrite the live rows of all versions as the first version of another folder."""
         target = IndexFolder(self.spark, path, self.definition)
         fields = self.fields().drop("version").hint("rebalance", F.col("field"))
         fields.write.mode("overwrite").partitionBy("field").parquet(target._table("fields", version))
         target._write_postings(self.postings().drop("version"), version)
+        target._write_terms(version)
         documents = self.documents().drop("version").hint("rebalance")
         documents.write.mode("overwrite").parquet(target._table("documents", version))
         return target

@@ -95,9 +95,16 @@ def any_of_terms(field: SearchField, values: Iterable[str]) -> Column:
     return field.any_term(lambda t: t.isin(*wanted))
 
 
-def matching_values(docs: DataFrame, field: SearchField, values: DataFrame, value: str = "value") -> DataFrame:
-    """Documents whose term is in a table of exact values of any size."""
+def matching_values(docs: DataFrame, field: SearchField, values: DataFrame, value: str = "value", doc_id: str = "doc_id") -> DataFrame:
+    """Documents whose term is in a table of exact values of any size.
+
+    For a field of several terms the terms are met first, and documents are kept by their ``doc_id``.
+    """
     wanted = values.select(F.col(value).alias("_wanted")).distinct()
+    if field.multi:
+        terms = docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(field.column)).alias("_term"))
+        found = terms.join(wanted, F.col("_term") == F.col("_wanted"), "left_semi").select("_id").distinct()
+        return docs.join(found, F.col(doc_id) == F.col("_id"), "left_semi")
     return docs.join(wanted, field.column == F.col("_wanted"), "left_semi")
 
 
@@ -216,11 +223,17 @@ def fuzzy(field: SearchField, text: str, min_similarity: float = 0.5, prefix_len
 
 
 def fuzzy_documents(
-    postings: DataFrame, wanted: str, min_similarity: float = 0.5, prefix_length: int = 0
+    postings: DataFrame, wanted: str, min_similarity: float = 0.5, prefix_length: int = 0, terms: DataFrame | None = None
 ) -> DataFrame:
-    """Documents of a postings table with a similar term, in one pass over the postings."""
+    """Documents of a postings table with a similar term.
+
+    With a dictionary (``terms``) each distinct term is compared once and the postings of those near are
+    looked up; without one every posting is compared.
+    """
     near = fuzzy_term(F.col("term"), wanted, min_similarity, prefix_length)
-    return postings.filter(near).select("doc_id").distinct()
+    if terms is None:
+        return postings.filter(near).select("doc_id").distinct()
+    return postings.join(terms.filter(near).select("term"), "term", "left_semi").select("doc_id").distinct()
 
 
 # --- phrases ---------------------------------------------------------------------------------

@@ -7,9 +7,11 @@ from pyspark.sql.functions import col
 
 from folioscan.definition import IndexDefinition, Indexing
 from folioscan.operators import fields
+from folioscan.operators.index_store import IndexFolder
 from folioscan.operators.postings import field_postings, text_postings, text_term_stats
 from folioscan.plans import sql
 from folioscan.plans.registry import query
+from folioscan.session import scratch_path
 from folioscan.sources.tables import spread
 
 _LETTERS = r"\p{L}+"
@@ -23,6 +25,27 @@ def document_postings(table, mode="standard", offsets=False):
     return text_postings(documents_with_text(table), col("doc_id"), "text", col("text"), mode, offsets=offsets)
 
 
+_TEXTS = IndexDefinition(name="documents", indexing={"text": Indexing.ANALYZED})
+_kept: dict[tuple[str, str], IndexFolder] = {}
+
+
+def text_index(table) -> IndexFolder:
+    """The index of the documents' texts in two versions, the second with new texts for a tenth of the documents.
+
+    It is written by the first query of a session that searches it and kept for the others.
+    """
+    key = (table.spark.sparkContext.applicationId, table.folder)
+    if key not in _kept:
+        index = IndexFolder(table.spark, scratch_path(table.spark, "texts-index"), _TEXTS)
+        docs = documents_with_text(table)
+        again = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+        stale = F.concat(F.lit("thanedble anea de la from "), col("text"))
+        index.write(docs.withColumn("text", F.when(again, stale).otherwise(col("text"))), "doc_id", version=1)
+        index.write(docs.filter(again), "doc_id", version=2)
+        _kept[key] = index
+    return _kept[key]
+
+
 @query(
     "postings_lowercase_keyword",
     """SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'p_name' AS field, 0 AS pos, 0 AS start_off,
@@ -118,6 +141,17 @@ def postings_per_field(table):
     return rows.select("doc_id", "field", "pos", "term")
 
 
+@query(
+    "term_dictionary",
+    f"""SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq
+    FROM ({sql.words("documents", "doc_id", "text")}) WHERE term NOT IN {sql.STOPS} GROUP BY term""",
+)
+def term_dictionary(table):
+    """The stored dictionary of a compacted index."""
+    compacted = text_index(table).compact(scratch_path(table.spark, "texts-compacted"))
+    return compacted.terms("text").drop("field")
+
+
 @query(
     "term_stats",
     f"""SELECT 'text' AS field, term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq

@@ -14,7 +14,7 @@ from folioscan.operators import fields
 from folioscan.operators import predicates as q
 from folioscan.operators.postings import phrase_documents
 from folioscan.plans import sql
-from folioscan.plans.posting_plans import document_postings, documents_with_text
+from folioscan.plans.posting_plans import documents_with_text, text_index
 from folioscan.plans.registry import query
 from folioscan.sources import visits
 
@@ -254,8 +254,9 @@ def q_fuzzy(table):
       AND 1 - levenshtein(term, 'thering') / CAST(least(length(term), 7) AS DOUBLE) > 0.7""",
 )
 def q_fuzzy_terms(table):
-    """Fuzzy search over the text postings."""
-    return q.fuzzy_documents(document_postings(table), "thering", 0.7)
+    """Fuzzy search over the stored postings, by way of the dictionary."""
+    index = text_index(table)
+    return q.fuzzy_documents(index.postings("text"), "thering", 0.7, terms=index.terms("text"))
 
 
 _WORDS = IndexDefinition(name="documents", indexing={"words": Indexing.ANALYZED})
@@ -291,8 +292,8 @@ def q_field(table):
     WHERE a.term = 'thanedble' AND b.term = 'anea'""",
 )
 def q_phrase(table):
-    """Adjacent words over postings; a dropped stop word leaves its place open."""
-    postings = document_postings(table)
+    """Adjacent words over stored postings; a dropped stop word leaves its place open."""
+    postings = text_index(table).postings("text")
     found = [
         phrase_documents(postings, TEXT.analyze(text)).select("doc_id", F.lit(name).alias("phrase"))
         for name, text in (("plain", "De la"), ("gap", "thanedble the anea"))

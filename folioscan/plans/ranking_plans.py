@@ -9,7 +9,7 @@ from folioscan.definition import Sort
 from folioscan.operators import predicates as q
 from folioscan.operators import ranking
 from folioscan.plans import sql
-from folioscan.plans.posting_plans import document_postings
+from folioscan.plans.posting_plans import text_index
 from folioscan.plans.predicate_plans import VISIT_MATCH, visit_branches, visit_table
 from folioscan.plans.registry import query
 
@@ -74,7 +74,8 @@ def topk_score(table):
     FROM tf JOIN idf USING (term) GROUP BY doc_id""",
 )
 def score_tfidf(table):
-    scores = ranking.tfidf_scores(document_postings(table), table("documents"), TERMS)
+    index = text_index(table)
+    scores = ranking.tfidf_scores(index.postings("text"), index.documents(), TERMS)
     return scores.select("doc_id", "matched", _score())
 
 

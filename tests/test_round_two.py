@@ -1,16 +1,21 @@
 """Rules added to the kept index, values, literals and clauses."""
 
+import re
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan import IndexDefinition
 from folioscan.functions import analysis, literals
-from folioscan.functions.values import float_text
+from folioscan.functions.values import datetime_ticks, float_text, offset_datetime_text, value_text
 from folioscan.operators import predicates as q
 from folioscan.operators import ranking
 from folioscan.operators.index_store import IndexFolder
 from folioscan.operators.postings import phrase_documents
 from folioscan.operators.upsert import latest, upsert
+from folioscan.plans import QUERIES
 from folioscan.session import scratch_path
 
 
@@ -98,3 +103,46 @@ def test_repeated_postings_do_not_complete_a_phrase(spark):
 def test_custom_analyzer_reads_search_text(spark, monkeypatch):
     monkeypatch.setitem(analysis._custom, "commas", lambda text: F.split(text, ","))
     assert analysis.query_terms("a,b", "commas") == [(0, "a"), (1, "b")]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    moments = [datetime(2024, 1, 1), datetime(2024, 3, 10, 2, 30, 0, 5), datetime(2024, 11, 3, 6, 30), datetime(1, 1, 1), datetime(9999, 12, 31, 23, 59, 59, 999999)]
+    expected = [(m.isoformat(timespec="microseconds") + "0", (m - datetime(1, 1, 1)) // timedelta(microseconds=1) * 10) for m in moments]
+    rows = [(m.isoformat(),) for m in moments]
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/New_York")
+    df = session.createDataFrame(rows, "s string").withColumn("local", F.col("s").cast("timestamp_ntz"))
+    df = df.withColumn("zoned", F.concat("s", F.lit("Z")).cast("timestamp"))
+    local, zoned, offset = F.col("local"), F.col("zoned"), F.lit("+00:00")
+    found = df.select(
+        value_text(local, T.TimestampNTZType()), datetime_ticks(local), value_text(zoned, T.TimestampType()), datetime_ticks(zoned),
+        offset_datetime_text(local, offset, keep_offset=False), value_text(local.cast("date"), T.DateType()),
+    ).collect()
+    assert [tuple(r) for r in found] == [(text, n, text + "Z", n, text + "Z", text[:10] + "T00:00:00.0000000") for text, n in expected]
+
+
+def test_values_of_fields_with_several_terms(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "b"]), (3, []), (4, None)], "doc_id int, w array<string>")
+    values = spark.createDataFrame([("b",), ("b",), (None,)], "value string")
+    found = q.matching_values(docs, q.SearchField("w", multi=True), values)
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2]
+
+
+def test_dictionary_counts(spark, index):
+    index.write(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x")], "id string, t string"), "id", 1)
+    index.write(spark.createDataFrame([("b", "x")], "id string, t string"), "id", 2)
+    compacted = index.compact(scratch_path(spark, "compact-test"))
+    counts = [{r.term: (r.doc_freq, r.total_freq) for r in i.terms("t").collect()} for i in (index, compacted)]
+    assert counts == [{"x": (3, 3), "y": (1, 1)}, {"x": (3, 3)}]
+    assert index.terms("t", version=1).filter("term = 'x'").head().doc_freq == 2
+    near = q.fuzzy_documents(index.postings("t"), "y", 0.5, terms=index.terms("t"))
+    assert near.count() == 0
+
+
+@pytest.mark.parametrize("name", ["score_tfidf", "q_phrase", "q_fuzzy_terms"])
+def test_searches_read_stored_postings(spark, plan, name):
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "regexp" not in text and "documents.parquet" not in text
+    assert re.search(r"PartitionFilters: .*field.* = text", text)
+    if name != "q_fuzzy_terms":
+        assert "In(term" in text
