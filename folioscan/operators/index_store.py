@@ -25,6 +25,8 @@ from folioscan.session import written
 _WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 
 POSTING_ORDER = ["field", "term", "doc_id", "ord", "pos"]
+# Bytes of a row group of fields: a file is read by several tasks, as making words of it takes long.
+FIELD_BLOCK = 4 << 20
 POSTING_SCHEMA = "doc_id string, term string, field string"
 TERM_SCHEMA = "term string, doc_freq bigint, total_freq bigint, field string, version int"
 
@@ -93,7 +95,7 @@ class IndexFolder:
             batch = written(latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq), "batch")
         # Brought together by field, so that files follow the fields' sizes and not the number of tasks.
         fields = field_rows(batch, doc_id, self.definition).hint("rebalance", F.col("field"))
-        fields.write.mode("overwrite").partitionBy("field").parquet(self._table("fields", version))
+        fields.write.mode("overwrite").option("parquet.block.size", FIELD_BLOCK).partitionBy("field").parquet(self._table("fields", version))
         stored = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
         self._write_postings(field_postings(stored, self.definition), version, partitions)
         self._write_terms(version)
