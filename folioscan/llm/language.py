@@ -83,8 +83,11 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_lan
 
     Rows with a null id, text or label, or without letters, teach nothing. A language's texts are rejected
     under ``slack`` times the least cosine of its sample. Only ids are ranked; texts become bucket counts on
-    the executors, so at most ``per_language`` bounded vectors for each language reach the driver.
+    the executors, so at most ``per_language`` bounded vectors for each language reach the driver, which lays
+    them out in full for one language at a time. ``bits`` goes up to 15.
     """
+    if not 1 <= bits <= 15:
+        raise ValueError("bits must lie between 1 and 15")
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(
         "id is not null and text is not null and label is not null"
     )
@@ -107,18 +110,21 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_lan
     found = chosen.select("label", "text").mapInPandas(vectors, "label string, buckets binary, counts binary").toPandas()
     found = found.sort_values(["label", "buckets", "counts"], ignore_index=True)
     n, width = len(found), 1 << bits
-    tf = np.zeros((n, width), np.float32)
-    for i, (b, c) in enumerate(zip(found["buckets"], found["counts"], strict=True)):
-        tf[i, np.frombuffer(b, "<i2")] = 1 + np.log(np.frombuffer(c, "<i4"))
-    idf = (np.log((1 + n) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    tf *= idf
-    tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-12)
+    texts_with = np.zeros(width, np.int64)
+    for b in found["buckets"]:
+        texts_with[np.frombuffer(b, "<i2")] += 1
+    idf = (np.log((1 + n) / (1 + texts_with)) + 1).astype(np.float32)
     means, names, least = [], [], {}
     for name, at in sorted(found.groupby("label").indices.items()):
-        made = spherical_means(tf[at], centroids)
+        tf = np.zeros((len(at), width), np.float32)
+        for row, (b, c) in zip(tf, found.iloc[at][["buckets", "counts"]].itertuples(index=False), strict=True):
+            buckets = np.frombuffer(b, "<i2")
+            row[buckets] = (1 + np.log(np.frombuffer(c, "<i4"))) * idf[buckets]
+        tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-12)
+        made = spherical_means(tf, centroids)
         means.extend(made)
         names.extend([name] * len(made))
-        least[str(name)] = slack * float((tf[at] @ made.T).max(axis=1).min())
+        least[str(name)] = slack * float((tf @ made.T).max(axis=1).min())
     matrix = np.array(means, np.float32).reshape(len(names), width).T
     return LanguageModel(bits, idf, np.ascontiguousarray(matrix), np.array(names), least)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm import language
@@ -27,6 +28,14 @@ def test_odd_rows(spark, table):
     assert found[503][2] and found[120][0] == "de"
 
 
+def test_width_of_buckets(spark, table):
+    docs = table(ROWS, SCHEMA)
+    with pytest.raises(ValueError):
+        language.fit(docs, "doc_id", "text", "lang", bits=16)
+    model = language.fit(docs, "doc_id", "text", "lang", bits=15)
+    assert model.predict("der hund und die katze")[0] == "de" and model.centroids.shape == (1 << 15, 6)
+
+
 def test_nothing_learned(spark, table):
     model = language.fit(table([], SCHEMA), "doc_id", "text", "lang")
     docs = table([(1, "some text", "en", 0.0, "")], SCHEMA)
