@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SENT_GROUPS = 200_000
 
 
-def records_of(pages: DataFrame, id_col: str, url_col: str, body_col: str, least: int) -> DataFrame:
+def records_of(pages: DataFrame, id_col: str, url_col: str, body_col: str, least: int, date: str) -> DataFrame:
     """(value): the text of one record per page, without the blank lines that end it."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(
@@ -49,6 +50,7 @@ def records_of(pages: DataFrame, id_col: str, url_col: str, body_col: str, least
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
         line("WARC-Record-ID", name(F.col("id"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(F.col("block").cast("binary")))),
@@ -59,14 +61,16 @@ def records_of(pages: DataFrame, id_col: str, url_col: str, body_col: str, least
     return rows.select(F.concat(head, F.lit("\r\n"), F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, per_file: int = 5000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, per_file: int = 5000, date: str | None = None) -> None:
     """Write one record per page as plain WARC files of at most ``per_file`` records below ``path``.
 
     Of pages with the same payload of at least ``least`` bytes, that with the largest id becomes a response;
     the others become revisits that name it. Null payloads are empty ones, null urls too. Rows that repeat the
     response's id and payload are responses as well. A group of copies without any id is all responses.
+    ``date`` is the time of capture as ISO 8601 text in UTC, by default that of the call; tasks that run again write the same.
     """
-    records_of(pages, id_col, url_col, body_col, least).write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    records_of(pages, id_col, url_col, body_col, least, date).write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
 @dataclass

@@ -31,6 +31,18 @@ def test_round_trip(spark, table):
             assert (r.record_type, r.to, r.payload) == ("response", None, body or "")
 
 
+def test_records_have_the_named_fields(spark, table):
+    """The fields that every record must have, one date for a whole write, and nothing left over."""
+    body = "z" * 2000
+    path = archive(spark, table, [(1, "http://a", body), (2, "http://b", body), (3, "http://c", None)], date="2020-02-03T04:05:06Z")
+    found = [salvage(bytes(r.content)) for r in spark.read.format("binaryFile").load(f"{path}/part-*").collect()]
+    records = [r for f in found for r in f.records]
+    assert len(records) == 3 and not any(f.gaps for f in found)
+    for r in records:
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= r.headers.keys()
+        assert r.headers["warc-date"] == "2020-02-03T04:05:06Z"
+
+
 def test_ties_and_missing_ids(spark, table):
     body = "z" * 2000
     path = archive(spark, table, [(5, "a", body), (5, "a", body), (3, "a", body), (None, "a", body)])
