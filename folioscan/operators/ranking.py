@@ -92,6 +92,18 @@ def with_term_idfs(docs: DataFrame, terms: dict[str, Column]) -> DataFrame:
     return docs.select("*", *[idfs[n].alias(n) for n in terms])
 
 
+def dictionary_idfs(dictionary: DataFrame, documents: DataFrame, terms: dict[str, tuple[str, str]]) -> Column:
+    """One struct with an idf per name, for named (field, term) pairs of a stored dictionary.
+
+    Only these terms' entries are read, and the documents are only counted. A term that the dictionary lacks is in no document.
+    """
+    pairs = {name: (F.col("field") == field) & (F.col("term") == term) for name, (field, term) in terms.items()}
+    wanted = dictionary.filter(F.col("field").isin(*{f for f, _ in terms.values()}) & F.col("term").isin(*{t for _, t in terms.values()}))
+    found = wanted.agg(*[F.coalesce(F.sum(F.when(pair, F.col("doc_freq"))), F.lit(0)).alias(name) for name, pair in pairs.items()])
+    frequencies, total = one_row(found), documents.agg(F.count("*").alias("n")).scalar()
+    return F.struct(*[idf(frequencies[name], total).alias(name) for name in terms])
+
+
 def tfidf_scores(postings: DataFrame, documents: DataFrame, terms: list[str]) -> DataFrame:
     """Relevance of documents for a list of terms: (doc_id, matched, score).
 
@@ -204,19 +216,24 @@ def search(
 # --- numbering and running totals over any number of rows ------------------------------------
 
 
+def _count(partitions: int | None) -> list[int]:
+    return [] if partitions is None else [partitions]
+
+
 def running_total(
-    df: DataFrame, order: list[str], value: Column, name: str, group: list[str] | None = None
+    df: DataFrame, order: list[str], value: Column, name: str, group: list[str] | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Running sum of ``value`` in the given order, within ``group`` if named, ending with the row itself.
 
     Rows are range-partitioned by group and order, so a large group spans many
     partitions and no task holds a whole group. The partitioned rows are written once;
     a sum per (partition, group) then gives each partition its starting total. The
-    order must be unique for the result to be determined.
+    order must be unique for the result to be determined. ``partitions`` is the number of
+    ranges, by default that of the session's shuffles; without a group one task sums a row for each of them.
     """
     group = group or []
     columns = df.columns
-    ranged = df.withColumn("_value", value).repartitionByRange(*[F.col(c) for c in [*group, *order]])
+    ranged = df.withColumn("_value", value).repartitionByRange(*_count(partitions), *[F.col(c) for c in [*group, *order]])
     parts = written(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     sums = parts.groupBy("_part", *group).agg(F.sum("_value").alias("_sum"))
     # A row per partition and group: ranges keep groups together, so few rows per group.
@@ -231,17 +248,20 @@ def running_total(
 _PLACE_BITS = 33
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_number", group: list[str] | None = None) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str], name: str = "row_number", group: list[str] | None = None, partitions: int | None = None
+) -> DataFrame:
     """Row numbers from 1 in a unique order, within ``group`` if named.
 
     Rows are range-partitioned and sorted once, and written with the id Spark gives
     them, which is their partition and their place in it. A count per (partition,
     group) then turns places into numbers: no window runs over the table and no task
-    holds more than a range, however large a group is.
+    holds more than a range, however large a group is. ``partitions`` is the number of
+    ranges, by default that of the session's shuffles; without a group one task adds up their counts.
     """
     group = group or []
     keys = [F.col(c) for c in [*group, *order]]
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = df.repartitionByRange(*_count(partitions), *keys).sortWithinPartitions(*keys)
     placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", _PLACE_BITS).alias("_part")
     counts = placed.groupBy(part, *group).agg(F.count("*").alias("_count"), F.min("_at").alias("_first"))

@@ -26,26 +26,32 @@ def document_postings(table, mode="standard", offsets=False):
 
 
 _TEXTS = IndexDefinition(name="documents", indexing={"text": Indexing.ANALYZED})
-_kept: dict[tuple[str, str], IndexFolder] = {}
+_kept: dict[tuple[str, str, str], IndexFolder] = {}
 
 
-def text_index(table) -> IndexFolder:
-    """The index of the documents' texts in two versions, the second with new texts for a tenth of the documents.
-
-    It is written by the first query of a session that searches it and kept for the others.
-    """
-    key = (table.spark.sparkContext.applicationId, table.folder)
+def kept_index(table, write) -> IndexFolder:
+    """The index that ``write`` makes of a folder's tables: written by the first query of a session that searches it, kept for the others."""
+    key = (table.spark.sparkContext.applicationId, table.folder, write.__name__)
     if key not in _kept:
-        index = IndexFolder(table.spark, scratch_path(table.spark, "texts-index"), _TEXTS)
-        docs = documents_with_text(table)
-        again = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
-        stale = F.concat(F.lit("thanedble anea de la from "), col("text"))
-        index.write(docs.withColumn("text", F.when(again, stale).otherwise(col("text"))), "doc_id", version=1)
-        index.write(docs.filter(again), "doc_id", version=2)
-        _kept[key] = index
+        _kept[key] = write(table)
     return _kept[key]
 
 
+def write_text_index(table) -> IndexFolder:
+    """An index of the documents' texts in two versions, the second with new texts for a tenth of the documents."""
+    index = IndexFolder(table.spark, scratch_path(table.spark, "texts-index"), _TEXTS)
+    docs = documents_with_text(table)
+    again = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    stale = F.concat(F.lit("thanedble anea de la from "), col("text"))
+    index.write(docs.withColumn("text", F.when(again, stale).otherwise(col("text"))), "doc_id", version=1)
+    index.write(docs.filter(again), "doc_id", version=2)
+    return index
+
+
+def text_index(table) -> IndexFolder:
+    return kept_index(table, write_text_index)
+
+
 @query(
     "postings_lowercase_keyword",
     """SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'p_name' AS field, 0 AS pos, 0 AS start_off,

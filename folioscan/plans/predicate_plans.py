@@ -49,13 +49,16 @@ def visit_table(table):
     return fields.document_table(visits.visits(table("events")), "id", visits.VISITS)
 
 
+# The (field, term) pairs of each branch of the sample query.
+VISIT_TERMS = [
+    ((ORGANIZATION.name, organization), (LOCATION.name, location)) for organization, location in (("purchase", "42"), ("error", "7"))
+]
+
+
 def visit_branches():
     """The two branches of the sample query: two exact terms and an inclusive time range each."""
     span = q.number_range(col("VisitDateTime_Range"), "long", *SPAN)
-    return [
-        (q.term(ORGANIZATION, organization), q.term(LOCATION, location), span)
-        for organization, location in (("purchase", "42"), ("error", "7"))
-    ]
+    return [(q.term(ORGANIZATION, organization), q.term(LOCATION, location), span) for (_, organization), (_, location) in VISIT_TERMS]
 
 
 VISIT_MATCH = f"""VisitDateTime BETWEEN {SPAN[0]} AND {SPAN[1]}

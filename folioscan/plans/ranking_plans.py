@@ -9,9 +9,10 @@ from folioscan.definition import Sort
 from folioscan.operators import predicates as q
 from folioscan.operators import ranking
 from folioscan.plans import sql
-from folioscan.plans.posting_plans import text_index
-from folioscan.plans.predicate_plans import VISIT_MATCH, visit_branches, visit_table
+from folioscan.plans.posting_plans import kept_index, text_index
+from folioscan.plans.predicate_plans import VISIT_MATCH, VISIT_TERMS, visit_branches, visit_table
 from folioscan.plans.registry import query
+from folioscan.plans.source_plans import write_visit_index
 
 PAGE = 50
 TERMS = ["from", "les", "under"]
@@ -25,15 +26,16 @@ def _score(name="score"):
 
 
 def _scored_visits(table):
-    """The sample query with scores: exact terms by rarity, time ranges a constant 1."""
-    docs = visit_table(table)
+    """The sample query with scores over the stored index: exact terms by rarity, time ranges a constant 1."""
+    index = kept_index(table, write_visit_index)
+    docs = index.documents()
     branches = visit_branches()
-    terms = {f"idf_{b}_{i}": branch[i] for b, branch in enumerate(branches) for i in (0, 1)}
-    docs = ranking.with_term_idfs(docs, terms)
+    terms = {f"idf_{b}_{i}": pair for b, pairs in enumerate(VISIT_TERMS) for i, pair in enumerate(pairs)}
+    idfs = ranking.dictionary_idfs(index.terms(), docs, terms)
     clauses = []
     for b, (organization, location, span) in enumerate(branches):
         scored = [
-            ranking.Scored(clause, ranking.term_score(F.lit(1), col(f"idf_{b}_{i}")))
+            ranking.Scored(clause, ranking.term_score(F.lit(1), idfs[f"idf_{b}_{i}"]))
             for i, clause in enumerate((organization, location))
         ]
         clauses.append(ranking.all_of(*scored, ranking.constant(span)))

@@ -84,7 +84,7 @@ _WIDE = ", ".join(
 )
 
 
-def _visit_index(table):
+def write_visit_index(table) -> IndexFolder:
     index = IndexFolder(table.spark, scratch_path(table.spark, "visits-index"), visits.VISITS)
     index.write(visits.visits(spread(table("events"))), "id", version=1)
     return index
@@ -93,7 +93,7 @@ def _visit_index(table):
 @query("index_write", f"WITH {sql.VISITS} SELECT doc_id, RowVersion AS stored_RowVersion, {_WIDE} FROM visits")
 def index_write(table):
     """Write the three index tables and read the documents back."""
-    written = _visit_index(table).documents()
+    written = write_visit_index(table).documents()
     return written.drop("version", "RowVersion")
 
 
@@ -105,7 +105,7 @@ def index_write(table):
 )
 def index_write_postings(table):
     """The same write, reading the postings back."""
-    return _visit_index(table).postings().select("doc_id", "field", "ord", "pos", "start_off", "end_off", "term")
+    return write_visit_index(table).postings().select("doc_id", "field", "ord", "pos", "start_off", "end_off", "term")
 
 
 _USERS = IndexDefinition(name="users", indexing={"event_type": Indexing.NOT_ANALYZED}, storage={"event_id": Storage.YES})

@@ -31,3 +31,15 @@ def test_shuffles(spark, plan, name, most):
     """One exchange may be the spreading of a small input; an upsert groups the table, the batch and the batch's keys."""
     text = plan(QUERIES[name](spark, FOLDER))
     assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) <= most
+
+
+@pytest.mark.parametrize("name", ["topk_score", "filter_arg", "sort_with_scores"])
+def test_rarity_comes_from_the_dictionary(spark, plan, name):
+    """Documents are read for hits only: terms are looked up in the dictionary, and the number of documents needs no column."""
+    text = plan(QUERIES[name](spark, FOLDER))
+    scans = re.findall(r"Location: InMemoryFileIndex \[[^\]]*/(\w+)\].*?ReadSchema: struct<([^>]*)>", text, re.S)
+    assert {folder for folder, _ in scans} == {"documents", "terms"}
+    assert all("doc_freq" in columns for folder, columns in scans if folder == "terms")
+    assert "PushedFilters: [In(term, [42,7,error,purchase])]" in text and "events.parquet" not in text
+    wide = [columns for folder, columns in scans if folder == "documents" and columns]
+    assert len(wide) == (1 if name != "sort_with_scores" else 2)

@@ -258,3 +258,20 @@ def test_keyset_pages_and_batches_agree(spark):
         pages.update(dict.fromkeys(page, number))
         after = page[-1]
     assert {r.k: r.page for r in paging.keyset_batches(rows, "k").collect()} == pages
+
+
+def test_rarity_from_a_dictionary(spark):
+    """As counted in the documents; a term that is in none has frequency 0, and equal terms of other fields do not count."""
+    docs = spark.createDataFrame([("1", "a", "b"), ("2", "a", "a"), ("3", "b", "a")], "doc_id string, x string, y string")
+    dictionary = spark.createDataFrame([("x", "a", 2, 2), ("x", "b", 1, 1), ("y", "a", 2, 2), ("y", "b", 1, 1)], "field string, term string, doc_freq long, total_freq long")
+    counted = ranking.with_term_idfs(docs, {"p": F.col("x") == "a", "q": F.col("y") == "b", "r": F.col("x") == "z"}).select("p", "q", "r").first()
+    looked_up = docs.select(ranking.dictionary_idfs(dictionary, docs, {"p": ("x", "a"), "q": ("y", "b"), "r": ("x", "z")}).alias("i")).first()["i"]
+    assert looked_up == counted
+
+
+def test_numbers_with_a_given_count_of_ranges(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(50)], "g long, i long")
+    found = ranking.number_rows(rows, ["i"], "n", group=["g"], partitions=7).collect()
+    assert all(r.n == r.i // 3 + 1 for r in found) and len(found) == 50
+    totals = ranking.running_total(rows, ["i"], F.lit(1), "n", partitions=3).collect()
+    assert all(r.n == r.i + 1 for r in totals) and len(totals) == 50
