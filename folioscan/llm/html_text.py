@@ -30,7 +30,6 @@ ARTICLE = {"article", "main"}
 SECTIONS = {"article", "main", "section", "div", "body", "td", "th", "li", "blockquote", "figure"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-TEXTUAL = set("h1 h2 h3 h4 h5 h6 p ul ol dl li blockquote pre table figure".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 TOKEN = re.compile(
@@ -158,13 +157,29 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
+def _below(parents: list[int], values: np.ndarray) -> np.ndarray:
+    """Sum of each path's own value and those of all paths below it."""
+    out = values.copy()
+    for i in range(len(parents) - 1, 0, -1):  # children come after their parents
+        out[parents[i]] += out[i]
+    return out
+
+
+def _reading(inner: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Whether the innermost article or main element of a path has chosen text of its own."""
+    text = np.bincount(inner[inner >= 0], mass[inner >= 0], len(inner))
+    return (inner >= 0) & (text[inner] > 0)
+
+
 def main_blocks(page: str, spread: float = 0.5, cover: float = 0.8) -> list[str]:
     """The text blocks of the main content, in page order.
 
     Per tag path, text length and punctuation are summed and set in relation to its number of blocks. Both
     ratios, smoothed over the page, are fused by their product; paths under ``spread`` standard deviations
-    below the mean of the page are left out. The content's element is the smallest one around the best path that holds the share
-    ``cover`` of all chosen text; the blocks in it that are not mostly links are returned.
+    below the mean of the page are left out. If the best path lies in an article or main element, and such elements hold the
+    share ``cover`` of all chosen text, all their blocks are returned. Otherwise these are the blocks of the smallest element
+    around the best path that holds all chosen text with its headings, without those that are mostly links. Links
+    in an article or main element with chosen text are part of it.
     """
     found = blocks(page)
     kept = [b for b in found.out if not b[3]]
@@ -175,7 +190,8 @@ def main_blocks(page: str, spread: float = 0.5, cover: float = 0.8) -> list[str]
     links = np.minimum(np.array([b[2] for b in kept], float), chars)
     marks = np.array([len(PUNCTUATION.findall(b[1])) for b in kept], float)
     n_paths = len(found.parents)
-    number = np.maximum(np.bincount(path, minlength=n_paths), 1)
+    number_of = np.bincount(path, minlength=n_paths)
+    number = np.maximum(number_of, 1)
     length_of, marks_of, links_of = (np.bincount(path, w, n_paths) for w in (chars, marks, links))
     own = np.log1p((length_of - links_of) / number)
     fused = smoothed(own[path]) * smoothed(np.log1p(1 + marks_of / number)[path])
@@ -185,23 +201,30 @@ def main_blocks(page: str, spread: float = 0.5, cover: float = 0.8) -> list[str]
     if not mass.any():
         mass = length_of
     best = int(np.argmax(mass * of_path))
-    below = mass.copy()  # children come after their parents
-    for i in range(n_paths - 1, 0, -1):
-        below[found.parents[i]] += below[i]
-    top = best
-    while found.parents[top] >= 0 and below[top] < cover * below[0]:
-        top = found.parents[top]
-    inside = np.zeros(n_paths, bool)
-    for i in range(n_paths):
-        inside[i] = i == top or (found.parents[i] >= 0 and inside[found.parents[i]])
-    # Headings, lists and other text beside a lone chosen path belong to it.
-    around = found.parents[top]
-    if top == best and around > 0:
-        in_article = found.labels[around].split(".")[0] in ARTICLE
+    label = [x.split(".")[0] for x in found.labels]
+    outer, inner = np.full(n_paths, -1), np.full(n_paths, -1)  # outermost and innermost article or main element around a path
+    for i in range(n_paths):  # children come after their parents
+        up = found.parents[i]
+        here = i if label[i] in ARTICLE else -1
+        outer[i] = outer[up] if up >= 0 and outer[up] >= 0 else here
+        inner[i] = here if here >= 0 or up < 0 else inner[up]
+    if outer[best] >= 0 and mass[outer >= 0].sum() >= cover * mass.sum():
+        inside = outer >= 0
+    else:
+        below = _below(found.parents, mass)
+        wanted = mass > 0
         for i in range(n_paths):
             up = found.parents[i]
-            inside[i] |= up == around and (in_article or found.labels[i] in TEXTUAL) or (up >= 0 and up != around and inside[up])
-    choose = inside[path] & ((links <= 0.5 * chars) | (links_of[path] <= 0.5 * length_of[path]))
+            wanted[i] |= number_of[i] > 0 and label[i] in HEADINGS and (label[i] == "h1" or (up >= 0 and below[up] > mass[i]))
+        held = _below(found.parents, wanted.astype(float))
+        top = best
+        while found.parents[top] >= 0 and held[top] < held[0]:
+            top = found.parents[top]
+        inside = np.zeros(n_paths, bool)
+        for i in range(n_paths):
+            inside[i] = i == top or (found.parents[i] >= 0 and inside[found.parents[i]])
+    linked = (links > 0.5 * chars) & (links_of[path] > 0.5 * length_of[path])
+    choose = inside[path] & (~linked | _reading(inner, mass)[path])
     return [b[1] for b, yes in zip(kept, choose, strict=True) if yes]
 
 

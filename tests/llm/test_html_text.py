@@ -65,3 +65,31 @@ def test_column(table):
     found = sorted(rows.select("page_id", extract_text(F.col("html"))).collect())
     assert [tuple(r) for r in found] == [(1, ""), (2, "a"), (2, "a")]
     assert table([], "html string").select(extract_text("html")).collect() == []
+
+
+MENU = '<div><a href="/1">One page</a> <a href="/2">Other page</a></div>'
+
+
+def test_heading_above_a_wrapped_body():
+    body = f"<h1>T</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div>"
+    expected = f"T\n{LONG}\n{LONG}"
+    for page in (f"<article>{body}</article>", f"<div id=c>{body}</div>", f"<h1>T</h1><div class=wrap><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>"):
+        assert main_text(f"<body>{MENU}{page}{MENU}</body>") == expected
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_small_section_beside_a_large_one(element):
+    large, small = f"<section class=a>{f'<p>{LONG}</p>' * 17}</section>", f"<section class=b>{f'<p>{LONG}</p>' * 3}</section>"
+    assert main_text(f"<body>{MENU}<{element}>{large}{small}</{element}>{MENU}</body>") == "\n".join([LONG] * 20)
+
+
+def test_references_inside_an_article():
+    items = "".join(f'<li><a href="/{i}">Reference {i}</a></li>' for i in range(5))
+    page = f"<article><div class=text><p>{LONG}</p><p>{LONG}</p></div><ul class=refs>{items}</ul></article>"
+    assert main_text(f"<body>{MENU}{page}{MENU}</body>") == "\n".join([LONG, LONG, *(f"Reference {i}" for i in range(5))])
+    assert main_text(f"<body><div id=c><p>{LONG}</p><p>{LONG}</p></div><ul>{items}</ul></body>") == f"{LONG}\n{LONG}"
+
+
+def test_several_articles():
+    pages = [f"<article class=post-{i}><h2>Post {i}</h2><p>{LONG}</p></article>" for i in "abc"]
+    assert main_text(f"<body>{MENU}{''.join(pages)}</body>") == "\n".join(f"Post {i}\n{LONG}" for i in "abc")
