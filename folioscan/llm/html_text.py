@@ -19,13 +19,15 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = set("nav menu footer aside form head button label fieldset dialog input".split())
+FURNITURE = set("nav menu footer aside head button label fieldset dialog input".split())
 FURNITURE_WORDS = set(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation "
     "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "signup login comment comments commentlist reply replies respond disqus share sharing social related recommended widget "
     "pagination pager toolbar skip".split()
 )
+# Class words of parts that hold articles which are not the page's own.
+OTHERS_WORDS = set("comment comments commentlist reply replies respond disqus related recommended".split())
 ARTICLE = {"article", "main"}
 SECTIONS = {"article", "main", "section", "div", "body", "td", "th", "li", "blockquote", "figure"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -34,7 +36,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(RAW) + r")\b(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:" + "|".join(RAW) + r")(?=[\s/])(?:[^>=\"'/]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=\s*+[^\s\"'>]++|[=\"']|/(?!>))*+/>"
+    r"|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|<[!?/][^>]*>"
     r"|([^<]+|<)",
@@ -46,17 +49,22 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。]")
 
 
 class _Blocks:
-    """Text blocks of a page in page order, each with its tag path, its share of link text and whether it is page furniture."""
+    """Text blocks of a page in page order, each with its tag path, its link text, the marks of furniture around it and its depth in articles.
+
+    The mark 0 stands for elements that are always furniture, such as ``nav``; others stand for one element each
+    with a class word or of the name form, kept with its depth in articles and whether a word of it speaks of other articles.
+    """
 
     def __init__(self) -> None:
         self.paths: dict[tuple[int, str], int] = {}
         self.parents: list[int] = []
         self.labels: list[str] = []
-        self.out: list[tuple[int, str, int, bool]] = []
+        self.out: list[tuple[int, str, int, tuple[int, ...], int]] = []
+        self.marks: list[tuple[int, bool]] = [(0, False)]
         self.parts: list[str] = []
         self.linked = 0
-        # element, path, dropped, inside an article, inside a link
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", self.path(-1, ""), False, False, False)]
+        # element, path, marks of furniture, depth in articles, inside a link, marks around the outermost header in an article
+        self.stack: list[tuple[str, int, tuple[int, ...], int, bool, tuple[int, ...] | None]] = [("", self.path(-1, ""), (), 0, False, None)]
         self.at = self.stack[0]
 
     def path(self, parent: int, label: str) -> int:
@@ -70,7 +78,7 @@ class _Blocks:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.out.append((self.at[1], text, self.linked, self.at[2]))
+                self.out.append((self.at[1], text, self.linked, self.at[2], self.at[3]))
             self.parts, self.linked = [], 0
 
     def close(self, names: set[str], ends: set[str]) -> None:
@@ -103,31 +111,50 @@ class _Blocks:
             self.close({"p"}, SECTIONS | FURNITURE)
         if name in VOID:
             return
-        _, parent, dropped, article, link = self.stack[-1]
+        _, parent, marks, article, link, before = self.stack[-1]
         label, words = name, set()
         for found in NAMED.finditer(attributes):
             words.update(WORD.findall((found[1] or found[2] or found[3] or "").lower()))
         if words:
             label += "." + "-".join(sorted(words))
-        article = article or name in ARTICLE
         if name == "header":
-            dropped = True
-        elif name in HEADINGS and article and not self.dropped_outside_header():
-            dropped = bool(words & FURNITURE_WORDS)
+            if article and before is None:
+                before = marks
+            marks = (*marks, 0)
         elif name not in ARTICLE and name not in ("body", "html"):
-            dropped = dropped or name in FURNITURE or bool(words & FURNITURE_WORDS)
+            if name in HEADINGS and article and before is not None:
+                marks = before
+            if name in FURNITURE:
+                marks = (*marks, 0)
+            elif name == "form" or words & FURNITURE_WORDS:
+                marks = (*marks, len(self.marks))
+                self.marks.append((article, bool(words & OTHERS_WORDS)))
+        article += name in ARTICLE
         # Inline elements stay on the path of their block, so a block counts once.
         path = self.path(parent, label) if name in BLOCK else parent
-        self.stack.append((name, path, dropped, article, link or name == "a"))
-
-    def dropped_outside_header(self) -> bool:
-        """Whether something other than a header inside an article drops what comes here."""
-        i = len(self.stack) - 1
-        while i > 0 and self.stack[i][2]:
-            if self.stack[i][0] == "header" and self.stack[i][3] and not self.stack[i - 1][2]:
-                return False
-            i -= 1
-        return self.stack[-1][2]
+        self.stack.append((name, path, marks, article, link or name == "a", before))
+
+    def content(self) -> list[tuple[int, str, int]]:
+        """The blocks that are not page furniture.
+
+        Class words and forms do not count on an element that holds an article or main element, or more than half of the
+        text outside of elements that are always furniture. Where a word speaks of other articles, as those of
+        comments do, the element must hold more than half, and all articles with text.
+        """
+        free = [b for b in self.out if 0 not in b[3]]
+        chars, own = [0] * len(self.marks), [0] * len(self.marks)
+        total = articles = 0
+        for _, text, _, marks, depth in free:
+            total += len(text)
+            articles += len(text) if depth else 0
+            for m in marks:
+                chars[m] += len(text)
+                own[m] += len(text) if depth > self.marks[m][0] else 0
+        counts = [True] * len(self.marks)
+        for m, (depth, others) in enumerate(self.marks):
+            most = 2 * chars[m] > total
+            counts[m] = not (most and (depth or own[m] == articles) if others else most or own[m])
+        return [b[:3] for b in free if not any(counts[m] for m in b[3])]
 
     def end(self, name: str) -> None:
         if name in BLOCK:
@@ -182,7 +209,7 @@ def main_blocks(page: str, spread: float = 0.5, cover: float = 0.8) -> list[str]
     in an article or main element with chosen text are part of it.
     """
     found = blocks(page)
-    kept = [b for b in found.out if not b[3]]
+    kept = found.content()
     if not kept:
         return []
     path = np.array([b[0] for b in kept])

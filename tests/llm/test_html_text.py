@@ -93,3 +93,36 @@ def test_references_inside_an_article():
 def test_several_articles():
     pages = [f"<article class=post-{i}><h2>Post {i}</h2><p>{LONG}</p></article>" for i in "abc"]
     assert main_text(f"<body>{MENU}{''.join(pages)}</body>") == "\n".join(f"Post {i}\n{LONG}" for i in "abc")
+
+
+ARTICLE = f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>"
+COMMENTS = f'<div id=comments>{"".join(f"<article class=comment><p>{LONG}</p></article>" for _ in range(9))}</div>'
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<form action=/ method=post>", "</form>"), ("<form><div class='page social'>", "</div></form>"),
+    ("<div class='post comments-open'>", "</div>"),
+])
+def test_furniture_words_around_an_article(start, end):
+    side = f"<div class=sidebar><p>{LONG[:40]}</p></div><form><p>Write to us.</p><input name=q></form>"
+    for content in (ARTICLE, ARTICLE.replace("article", "main"), ARTICLE.replace("article", "div")):
+        assert main_text(f"<body>{MENU}{start}{content}{side}{end}{MENU}</body>") == f"T\n{LONG}\n{LONG}"
+
+
+def test_two_columns_with_an_article_each():
+    page = "".join(f"<div class='banner-{i}'><article><h2>{i}</h2><p>{LONG}</p></article></div>" for i in "ab")
+    assert main_text(f"<body>{MENU}{page}</body>") == f"a\n{LONG}\nb\n{LONG}"
+
+
+def test_comments_beside_an_article_stay_out():
+    assert main_text(f"<body>{ARTICLE}{COMMENTS}</body>") == f"T\n{LONG}\n{LONG}"
+    assert main_text(f"<body>{COMMENTS}</body>") == "\n".join([LONG] * 9)
+
+
+@pytest.mark.parametrize("icon", ["<svg width='1' />", '<svg class="i"/>', "<svg/>", "<math/>", "<script src='/a.js' />", "<svg-icon name=x></svg-icon>"])
+def test_elements_that_close_themselves(icon):
+    assert main_text(f"<article><p>{icon}One.</p><p>Two.</p></article>") == "One.\nTwo."
+
+
+def test_raw_elements_keep_their_end():
+    assert main_text("<article><script src=/a/>var a;</script><p><svg><path d='M0'/><text>no</text></svg>One.</p></article>") == "One."
