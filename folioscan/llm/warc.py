@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -99,6 +100,48 @@ class Salvage:
             self.gaps.append((start, end, reason))
 
 
+DIGESTS = {"sha1", "sha256", "sha512", "md5"}
+CHUNKED = re.compile(rb"^transfer-encoding:[^\r\n]*chunked", re.I | re.M)
+CHUNK = re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n")
+
+
+def _differs(given: str, data: bytes) -> bool:
+    """Whether a digest in hex, base32 or base64 is that of other bytes. One of another kind or length cannot be compared."""
+    kind, _, value = given.partition(":")
+    kind, value = kind.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if kind not in DIGESTS:
+        return False
+    raw = hashlib.new(kind, data).digest()
+    if len(value) == 2 * len(raw):
+        return value.lower() != raw.hex()
+    for text, found in ((base64.b32encode(raw), value.upper()), (base64.b64encode(raw), value)):
+        if len(found) == len(text.rstrip(b"=")):
+            return found != text.rstrip(b"=").decode()
+    return False
+
+
+def _unchunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while found := CHUNK.match(body, at):
+        size = int(found[1], 16)
+        if not size:
+            break
+        parts.append(body[found.end() : found.end() + size])
+        at = found.end() + size + 2
+    return b"".join(parts)
+
+
+def _payload_differs(headers: dict[str, str], block: bytes) -> bool:
+    """Whether a whole response's payload is not the digest's, as stored or freed from its chunks."""
+    given = headers.get("warc-payload-digest", "")
+    if headers.get("warc-type") != "response" or not given or "warc-truncated" in headers or "warc-segment-number" in headers:
+        return False
+    if not headers.get("content-type", "").startswith("application/http"):
+        return _differs(given, block)
+    head, end, body = block.partition(END)
+    return bool(end) and _differs(given, body) and not (CHUNKED.search(head) and not _differs(given, _unchunked(body)))
+
+
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -123,9 +166,10 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if data[stop : stop + len(END)] != END:
         return None, at, "length does not lead to the record's end"
     block = data[start:stop]
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and len(digest) == 45 and hashlib.sha1(block).hexdigest() != digest[5:].lower():
+    if _differs(headers.get("warc-block-digest", ""), block):
         return None, at, "digest differs"
+    if _payload_differs(headers, block):
+        return None, at, "payload digest differs"
     return Record(at, headers, block), stop + len(END), ""
 
 
@@ -185,10 +229,11 @@ def salvage(data: bytes) -> Salvage:
 READ = "kind string, file string, offset long, length long, reason string, record_id string, record_type string, uri string, payload_bytes long, payload_digest string, refers_to string, payload string"
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, glob: str = "*") -> DataFrame:
     """Records (kind ``record``) and quarantined byte gaps (kind ``gap``) of all archives below a path.
 
-    Records are checked by version line, header, length and block digest. A file is read by one task, so
+    All files below it whose name fits ``glob`` are read, but those that Spark hides (names that begin with ``_`` or ``.``).
+    Records are checked by version line, header, length, block digest and, for whole responses, payload digest. A file is read by one task, so
     archives should be written in files that fit its memory. Empty files give no rows. Payloads are decoded
     as UTF-8, bytes that are none by the replacement character; digests and lengths come from the bytes.
     """
@@ -213,7 +258,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     yield pd.DataFrame(rows[i : i + 1000], columns=names).astype({"payload_bytes": "Int64"})
 
     names = [c.split()[0] for c in READ.split(", ")]
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInPandas(run, READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, READ)
 
 
 def page_of(record_id: Column) -> Column:

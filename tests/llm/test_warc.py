@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 
@@ -96,3 +97,36 @@ def test_gaps_are_rows(spark, tmp_path):
     (tmp_path / "part-0.warc").write_bytes(one + b"lost bytes" + two)
     rows = sorted((r.kind, r.offset, r.length) for r in read_warc(spark, str(tmp_path)).collect())
     assert rows == [("gap", len(one), 10), ("record", 0, 1), ("record", len(one) + 10, 1)]
+
+
+def response(body: bytes, name: str, coded, block: bool, head: bytes = b"HTTP/1.1 200 OK", payload: bytes | None = None) -> bytes:
+    """A response with a payload digest, and a block digest where asked for."""
+    whole = head + b"\r\n\r\n" + body
+    digests = f"WARC-Payload-Digest: sha1:{coded(body if payload is None else payload)}\r\n" + (f"WARC-Block-Digest: sha1:{coded(whole)}\r\n" if block else "")
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\n{digests}Content-Type: application/http\r\nContent-Length: {len(whole)}\r\n\r\n".encode() + whole + b"\r\n\r\n"
+
+
+def base32(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_digests_in_base32_and_of_payloads():
+    for coded in (base32, lambda data: hashlib.sha1(data).hexdigest()):
+        for block in (True, False):
+            one, two = response(b"first page", "1", coded, block), response(b"other page", "2", coded, block)
+            assert names(salvage(one + two)) == ["<1>", "<2>"]
+            found = salvage(one.replace(b"first page", b"f1rst page") + two)
+            assert names(found) == ["<2>"] and found.gaps[0][:2] == (0, len(one)) and "digest differs" in found.gaps[0][2]
+    chunked = response(b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n", "3", base32, True, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked", b"abcde")
+    assert names(salvage(chunked)) == ["<3>"]
+
+
+def test_archives_of_any_name(spark, tmp_path):
+    good, bad = response(b"first page", "1", base32, True), response(b"other page", "2", base32, True).replace(b"other page", b"0ther page")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "x.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(bad))
+    (tmp_path / "y.warc").write_bytes(good)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    found = sorted((r.kind, r.file.rsplit("/", 1)[1]) for r in read_warc(spark, str(tmp_path)).collect())
+    assert found == [("gap", "x.warc.gz"), ("record", "x.warc.gz"), ("record", "y.warc")]
+    assert read_warc(spark, str(tmp_path), glob="*.warc").count() == 1
