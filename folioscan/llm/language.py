@@ -43,13 +43,13 @@ def grams(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """Centroids (buckets x centroids), the language of each, idf by bucket, and the least cosine of each language."""
+    """Centroids (buckets x centroids), the language of each, idf by bucket, and the least cosine of each language by length class."""
 
     bits: int
     idf: np.ndarray
     centroids: np.ndarray
     language: np.ndarray
-    least: dict[str, float]
+    least: dict[str, list[float]]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected)."""
@@ -61,7 +61,7 @@ class LanguageModel:
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
         name = str(self.language[best])
-        return name, score, score < self.least[name]
+        return name, score, score < self.least[name][len(buckets).bit_length()]
 
 
 def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -78,11 +78,24 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 400, centroids: int = 3, bits: int = 14, slack: float = 0.25) -> LanguageModel:
+def least_by_length(cosines: np.ndarray, sizes: np.ndarray, bits: int, slack: float, low: float, share: float, enough: int) -> list[float]:
+    """Bounds of a language's cosines by the bit length of a text's number of distinct buckets.
+
+    ``share`` times the ``low`` quantile of the sample's texts of a class. A class with fewer than ``enough`` texts has the
+    bound of the class below; the lowest one is ``slack`` times the least cosine of all.
+    """
+    bounds, classes = [slack * float(cosines.min())], np.array([int(n).bit_length() for n in sizes])
+    for c in range(1, bits + 2):
+        own = cosines[classes == c]
+        bounds.append(max(bounds[0], share * float(np.quantile(own, low))) if len(own) >= enough else bounds[-1])
+    return bounds
+
+
+def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 400, centroids: int = 3, bits: int = 14, slack: float = 0.25, low: float = 0.05, share: float = 0.5, enough: int = 20) -> LanguageModel:
     """Centroids from at most ``per_language`` rows of each language, those with the least hashes of their ids.
 
     Rows with a null id, text or label, or without letters, teach nothing. A language's texts are rejected
-    under ``slack`` times the least cosine of its sample. Only ids are ranked; texts become bucket counts on
+    under a bound for their length (``least_by_length``). Only ids are ranked; texts become bucket counts on
     the executors, so at most ``per_language`` bounded vectors for each language reach the driver, which lays
     them out in full for one language at a time. ``bits`` goes up to 15.
     """
@@ -124,7 +137,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_lan
         made = spherical_means(tf, centroids)
         means.extend(made)
         names.extend([name] * len(made))
-        least[str(name)] = slack * float((tf @ made.T).max(axis=1).min())
+        sizes_of = np.count_nonzero(tf, axis=1)
+        least[str(name)] = least_by_length((tf @ made.T).max(axis=1), sizes_of, bits, slack, low, share, enough)
     matrix = np.array(means, np.float32).reshape(len(names), width).T
     return LanguageModel(bits, idf, np.ascontiguousarray(matrix), np.array(names), least)
 

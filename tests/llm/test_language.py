@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm import language
-from folioscan.llm.queries import QUERIES
+from folioscan.llm.queries import QUERIES, language_model
 
 SCHEMA = "doc_id long, text string, lang string, score double, label string"
 ROWS = [(i, f"the cat and the dog number {'abcdefghij'[i % 10]} sat there", "en", 0.0, "") for i in range(40)]
@@ -55,3 +57,29 @@ def test_centroids_are_unit_vectors_of_clusters():
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     made = language.spherical_means(rows, 2)
     assert np.allclose(np.linalg.norm(made, axis=1), 1) and sorted(np.argmax(rows @ made.T, axis=1).tolist()) in ([0, 0, 1, 1],)
+
+
+UNLEARNED = [
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. ",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ",
+]
+
+
+def test_long_texts_of_unlearned_languages_and_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_model(docs)
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (50, 200, 1000)]
+    noise += ["".join(rng.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef") for n in (1200, 6000)]
+    for text in [u * n for u in UNLEARNED for n in (1, 4)] + noise:
+        assert model.predict(text)[2], (text[:40], model.predict(text))
+    found = docs.filter("text is not null").select("text", language.predict(spark, model, F.col("text")).alias("p")).select("p.*", F.length("text").alias("n")).toPandas()
+    print("rejected", int(found.rejected.sum()), "of", len(found), found[found.rejected].n.tolist())
+    assert found.rejected.mean() < 0.001
+
+
+def test_bounds_grow_with_length_and_ignore_a_junk_row():
+    cosines, sizes = np.array([0.3] * 40 + [0.8] * 40 + [0.05]), np.array([40] * 40 + [600] * 40 + [600])
+    bounds = language.least_by_length(cosines, sizes, 14, 0.25, 0.05, 0.5, 20)
+    assert np.allclose(bounds[:6], 0.0125) and np.allclose(bounds[6:10], 0.15) and np.allclose(bounds[10:], 0.4) and len(bounds) == 16
