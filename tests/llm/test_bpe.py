@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,20 @@ def test_long_words_are_merged_alike(encoder):
     assert encoder.merge_long(b"") == []
 
 
+def test_words_merged_side_by_side(encoder, monkeypatch):
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b" etaoinshr\xc3\xa9") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for rows in (4096, 7):
+        monkeypatch.setattr(bpe, "ROWS", rows)
+        assert [np.frombuffer(b, "<i4").tolist() for b in encoder.merge_many(words)] == [encoder.merge(w) for w in words]
+
+
+def test_texts_cut_at_blanks(library, encoder):
+    for text in ("a  b", "a   b ", "a \nb", "a\n b", "a\n\n b", "a\n ", " a", "  ", "a \t", "x\u00a0 y", "x \u00a0y", "it 's I'll", "a <|endoftext|> b"):
+        encoder.learn([text])
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_known_words_are_bounded(encoder, monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 10)
     text = " ".join(f"w{i}" for i in range(100))
