@@ -113,6 +113,12 @@ def links_within(prints: DataFrame, radius: int = 3, per_tile: int = 2048, fp: s
     return pairs.select("a", "fps").mapInPandas(compare, "a long, b long")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """Add to distinct fingerprints the ``root`` that linked ones share."""
+    roots = components(links_within(distinct.select("fp"), radius), "a", "b")
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """(id, fp, component): documents whose fingerprints are linked at ``radius`` bits or fewer share a component.
 
@@ -123,20 +129,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies are brought down to one row per fingerprint before anything is compared.
     """
     prints = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links_within(distinct.select("fp"), radius), "a", "b")
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("id").alias("least")), radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_print = written(rooted.join(named, "root").select("fp", "component"), "simhash-components")
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The document with the least id of every component, all columns kept.
+    """One document of every component, all columns kept: the one with the least id, null ids last.
 
-    Of rows with one id, one stays. A row without an id cannot be told apart from its copies and stays.
+    Rows are told apart by id and text, so the different texts of one id are documents of their own and rows without an
+    id are reduced like others. Of rows with the least id of a component the one with the least hash of its text stays,
+    and of repeated rows that differ elsewhere the one with the least hash of all columns: the same on each run. Null and
+    wordless texts form one component. An empty table gives no rows.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius)
-    keep = found.filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    id_, text = F.col(id_col), F.col(text_col)
+    key = [F.xxhash64(id_.isNull(), id_, text).alias("_k1"), F.xxhash64(text, id_, F.lit(1)).alias("_k2")]
+    prints = written(docs.select(id_.alias("id"), *key, fingerprint(text, words).alias("fp")), "simhash")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_k1", "_k2")).alias("first")
+    named = _rooted(prints.groupBy("fp").agg(first), radius).groupBy("root").agg(F.min("first").alias("first"))
+    # Copies leave a task as one row; the texts are shuffled once, as both steps have the same key.
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    unique = docs.select("*", *key).groupBy("_k1", "_k2").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    return unique.join(named.select("first._k1", "first._k2"), ["_k1", "_k2"], "left_semi").select("_row.*")

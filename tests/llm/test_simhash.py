@@ -85,5 +85,21 @@ def test_odd_rows(table):
     assert found == sorted([(1, 1), (2, 1), (3, 1), (None, 1), (5, 4), (4, 4), (4, 4), (None, None), (9, 9)], key=repr)
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 4, 9, None, None], key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 4, 9, None], key=repr)
     assert near_duplicates(table([], SCHEMA)).collect() == []
+
+
+def test_texts_of_repeated_and_null_ids(table):
+    a, b, c = "one two three four five six", "zwei drei vier fünf acht neun", "lorem ipsum dolor sit amet elit"
+    cases = [
+        ([(5, a), (5, b), (6, a), (9, b)], [(5, a), (5, b)]),
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(None, a), (None, a), (None, a), (None, c), (7, c), (None, "")], [(None, a), (7, c), (None, "")]),
+        ([(2, a)] * 40 + [(2, b)] * 3 + [(1, b)], [(2, a), (1, b)]),
+    ]
+    for rows, expected in cases:
+        docs = table([(i, t, f"s{n}", "y", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+        found = [tuple(r) for r in one_of_each(docs).collect()]
+        assert sorted((f[:2] for f in found), key=repr) == sorted(expected, key=repr)
+        again = table([(i, t, f"s{n}", "y", n) for n, (i, t) in reversed(list(enumerate(rows)))], SCHEMA)
+        assert sorted(map(repr, found)) == sorted(repr(tuple(r)) for r in one_of_each(again).collect())
