@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import bpe, fingerprints, html_text, language, packing, simhash, topk, toxicity, url_rules, warc
+from folioscan.llm import bpe, fingerprints, html_text, language, ngram_join, packing, simhash, topk, toxicity, trie, url_rules, warc, whitening
 from folioscan.session import scratch_path
 from folioscan.sources.tables import parquet_table
 
@@ -115,11 +115,26 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(parquet_table(spark, folder, "pages"), RULES)
 
 
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.linked_documents(parquet_table(spark, folder, "documents"), words=3, at_least=90, of=100)
+    return found.withColumnRenamed("component", "component_id")
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.ordered_turns(parquet_table(spark, folder, "conversations"))
+    return trie.prefix_trie(*trie.with_shared_heads(turns, share=5, most=9))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(parquet_table(spark, folder, "embeddings"), components=16, scale=64.0, shift=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_html_text, op3_best_fit_packing, op4_language_id, op5_fingerprints,
         op6_warc, op7_simhash, op8_bpe, op9_toxicity, op10_url_filter,
+        op11_ngram_join, op12_prefix_trie, op13_whitening,
     )
 }
 
@@ -148,4 +163,30 @@ fits AS (SELECT u.*, r.verdict, rh, rp, rh || rp AS rule FROM u LEFT JOIN r
   ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(rh) DESC) AS n FROM fits) WHERE n = 1""",
+    "op11_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (max(na.n) + max(nb.n) - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id""",
+    "op12_prefix_trie": """
+WITH ids AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)), 4294967295), 4294967295) % 9 AS h FROM ids),
+o AS (SELECT CAST(conv_id AS BIGINT) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+pieces AS (SELECT h.c, 0 AS part, i, turn FROM h JOIN o ON o.c = h.c - h.c % 5 AND o.i <= h.h UNION ALL SELECT h.c, 1, i, turn FROM h JOIN o ON o.c = h.c AND o.i > h.h),
+seqs AS (SELECT ids.c, coalesce(list(turn ORDER BY part, i) FILTER (turn IS NOT NULL), []) AS s FROM ids LEFT JOIN pieces ON pieces.c = ids.c GROUP BY ids.c),
+p AS (SELECT c, d, s[:d] AS prefix, len(s) AS size, s[d] AS turn FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT d, prefix, min(c) AS rep, count(*) AS n_convs, max(CASE WHEN d > 0 THEN octet_length(encode(turn.t)) ELSE 0 END) AS bytes,
+  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '') AS ends FROM p GROUP BY d, prefix),
+named AS (SELECT n.*, parents.rep AS parent, (SELECT count(*) FROM nodes k WHERE k.d = n.d + 1 AND k.prefix[:n.d] = n.prefix) AS kids
+  FROM nodes n LEFT JOIN nodes parents ON parents.d = n.d - 1 AND n.prefix[:n.d - 1] = parents.prefix),
+up AS (SELECT u.kids, u.n_convs, u.bytes, a.d, a.prefix FROM named u JOIN p a ON a.c = u.rep AND a.d <= u.d)
+SELECT rep AS conv_id, d AS depth, parent AS parent_conv_id, named.n_convs, kids AS n_children, sums.n_leaves, sums.saved_tokens, sha256(ends) AS ends_sha256
+FROM named JOIN (SELECT d, prefix, count(*) FILTER (kids = 0) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens FROM up GROUP BY d, prefix) sums USING (d, prefix)""",
 }

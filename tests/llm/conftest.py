@@ -7,7 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "labels"):
+    for name in ("documents", "embeddings", "pages", "labels", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     return connection
 
