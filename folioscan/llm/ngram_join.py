@@ -271,7 +271,7 @@ def _groups(prefixes: DataFrame, limit: Limit) -> DataFrame:
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
     """Every two tiles of an n-gram, once, and each with itself; those that lie in one component alone do not meet."""
-    a = tiles.select("token", F.col("tile").alias("a_tile"), F.col("rows").alias("a_rows"), *[F.col(c).alias("a_" + c) for c in tiles.columns if c in ("low", "high")])
+    a = tiles.select("token", F.col("tile").alias("a_tile"), F.col("rows").alias("a_rows"), *[F.col(c).alias("a_" + c) for c in tiles.columns if c in ("low", "high", "labels")])
     pairs = a.join(tiles, "token").filter("a_tile <= tile")
     return pairs.filter("not (a_low = low and a_high = high and low = high)") if "low" in tiles.columns else pairs
 
