@@ -1,13 +1,18 @@
-"""An index as a folder of Parquet tables: documents, fields, postings and terms.
+"""An index as a folder of Parquet tables: documents, fields, postings, terms, bounds and what later versions replaced.
 
-A write adds a ``version`` folder to each table and replaces nothing. Readers take the
-state of one version, so a write is seen whole or not at all. A row is live unless a
-later version holds its document; as the first version supersedes nothing, only the ids
-of later ones are looked at. ``compact`` rewrites the live rows as a new first version.
+A write or a delete adds a ``version`` folder to each table and replaces nothing. Readers take the state of one
+version, so a change is seen whole or not at all. Each version also writes down which live documents it takes the place
+of or removes, and in which version they stood (``left``); a row is live unless it is listed there. The dictionary
+adds up what versions bring and take away. ``compact`` rewrites the live rows as a new first version.
+
+Postings and ``left`` are bucketed by document, so that dead postings are left out, and terms counted, bucket by bucket
+without a shuffle. Spark knows buckets from its catalog only: the tables are registered there under names made from
+the folder's path, by the session that writes or reads them, and hold no data of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -17,18 +22,20 @@ from pyspark.sql import types as T
 
 from folioscan.definition import IndexDefinition
 from folioscan.operators.fields import FIELD_SCHEMA, document_table, field_rows
-from folioscan.operators.postings import field_postings, posting_term_stats
+from folioscan.operators.postings import field_postings
 from folioscan.operators.upsert import latest
 from folioscan.session import written
 
 # Types in which a column may grow from version to version.
 _WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 
-POSTING_ORDER = ["field", "term", "doc_id", "ord", "pos"]
+POSTING_ORDER = ["term", "rng", "doc_id", "ord", "pos"]
 # Bytes of a row group of fields: a file is read by several tasks, as making words of it takes long.
 FIELD_BLOCK = 4 << 20
-POSTING_SCHEMA = "doc_id string, term string, field string"
+POSTING_SCHEMA = "doc_id string, ord int, pos int, start_off int, end_off int, term string, rng int, field string"
 TERM_SCHEMA = "term string, doc_freq bigint, total_freq bigint, field string, version int"
+SUMMED = ("documents", "fields", "postings", "terms", "bounds")
+BOUND_SCHEMA = "term string, rng int, most bigint, field string, version int"
 
 
 def merged_type(a: T.DataType, b: T.DataType, name: str) -> T.DataType:
@@ -49,16 +56,66 @@ def merged_schema(schemas: list[T.StructType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @dataclass(frozen=True)
 class IndexFolder:
+    """``buckets`` and ``ranges`` (of documents in each bucket) are set by the first version written; later ones keep them."""
+
     spark: SparkSession
     path: str
     definition: IndexDefinition
+    buckets: int | None = None
+    ranges: int = 64
+
+    # --- places ------------------------------------------------------------------------------
 
     def _table(self, name: str, version: int | None = None) -> str:
         base = f"{self.path.rstrip('/')}/{name}"
         return base if version is None else f"{base}/version={version}"
 
+    def _folders(self, path: str) -> list[str]:
+        """Names of the folders in a folder; none if it is not there."""
+        paths = self.spark._jvm.org.apache.hadoop.fs
+        root = paths.Path(path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in files.listStatus(root) if s.isDirectory()) if files.exists(root) else []
+
+    def _of_table(self, name: str) -> list[int]:
+        """The versions that a table has a folder of."""
+        return sorted(int(f.removeprefix("version=")) for f in self._folders(self._table(name)) if f.startswith("version="))
+
+    def versions(self) -> list[int]:
+        """The versions whose documents have been written to the end."""
+        paths = self.spark._jvm.org.apache.hadoop.fs
+        files = paths.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [v for v in self._of_table("documents") if files.exists(paths.Path(self._table("documents", v), "_SUCCESS"))]
+
+    def _catalog_name(self, name: str) -> str:
+        return f"folioscan_{hashlib.md5(self.path.rstrip('/').encode()).hexdigest()[:16]}_{name}"
+
+    def _layout(self) -> tuple[int, int] | None:
+        """(buckets, ranges) of the index; None before the first version and for an index written without buckets."""
+        for version in self.versions()[:1]:
+            row = self._batch(version)
+            if row is not None and "buckets" in row:
+                return row["buckets"], row["ranges"]
+            return None
+        return None
+
+    def _batch(self, version: int):
+        try:
+            return self.spark.read.parquet(self._table("batches", version)).first()
+        except AnalysisException:  # written without one
+            return None
+
+    # --- writing -----------------------------------------------------------------------------
+
     def write(
         self, source: DataFrame, doc_id: str, version: int, seq: str | list[str] | None = None, batch_id: str | None = None, partitions: int | None = None
     ) -> bool:
@@ -70,25 +127,22 @@ class IndexFolder:
         ``batch_id`` or else by a hash of its rows; then, and for an empty batch, nothing is written and
         the answer is False. Ids must not be null, and without ``seq`` they must be
         unique. A column may be new, or a wider whole number than before; other changes
-        of type are refused. ``partitions`` is the number of ranges of postings.
+        of type are refused. ``partitions`` is the number of buckets, for the first version only.
         """
         id_ = F.lower(F.col(doc_id).cast("string"))
-        content = F.sum(F.xxhash64(F.to_json(F.struct(*source.columns))).cast("decimal(38,0)"))
-        rows, null_ids, content = source.agg(F.count("*"), F.count_if(id_.isNull()), content).first()
+        # One pass over the source; what follows looks at ids and hashes alone.
+        ids = written(source.select(id_.alias("doc_id"), F.xxhash64(F.to_json(F.struct(*source.columns))).alias("hash")), "ids")
+        rows, null_ids, content = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.sum(F.col("hash").cast("decimal(38,0)"))).first()
         batch_id = batch_id or f"{rows} rows, {content}"
-        if rows and version in (done := self.versions()):
-            if self._batch_of(version) == batch_id:
-                return False
-            raise ValueError(f"version {version} is already written")
-        if not rows:
+        if not rows or self._is_written(version, batch_id):
             return False
         if null_ids:
             raise ValueError(f"{null_ids} rows have a null id")
-        if seq is None and (twice := source.groupBy(id_.alias("id")).count().filter("count > 1").head()):
-            raise ValueError(f"several rows of id {twice.id!r}: give seq")
-        if done:
-            known = [self._schema("documents", v) for v in done]
-            merged_schema([*known, document_table(source, doc_id, self.definition).schema])
+        if seq is None and (twice := ids.groupBy("doc_id").count().filter("count > 1").head()):
+            raise ValueError(f"several rows of id {twice.doc_id!r}: give seq")
+        if done := self.versions():
+            merged_schema([*[self._schema("documents", v) for v in done], document_table(source, doc_id, self.definition).schema])
+        buckets, ranges = self._layout() or (partitions or self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.ranges)
         batch = source
         if seq is not None:
             # Written once, as both the fields and the documents are made from it.
@@ -97,53 +151,188 @@ class IndexFolder:
         fields = field_rows(batch, doc_id, self.definition).hint("rebalance", F.col("field"))
         fields.write.mode("overwrite").option("parquet.block.size", FIELD_BLOCK).partitionBy("field").parquet(self._table("fields", version))
         stored = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
-        self._write_postings(field_postings(stored, self.definition), version, partitions)
-        self._write_terms(version)
-        self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(self._table("batches", version))
+        self._write_postings(field_postings(stored, self.definition), version, buckets, ranges)
+        self._write_left(ids.select("doc_id"), version, buckets)
+        self._write_terms(version, buckets)
+        self._write_batch(version, batch_id, buckets, ranges)
         documents = document_table(batch, doc_id, self.definition)
         documents.write.mode("overwrite").parquet(self._table("documents", version))
+        self.write_sums(version)
         return True
 
-    def _write_postings(self, postings: DataFrame, version: int, partitions: int | None = None) -> None:
-        # Ranges over the whole key: a frequent term is spread over several files.
-        ordered = postings.repartitionByRange(*([partitions] if partitions else []), *POSTING_ORDER).sortWithinPartitions(*POSTING_ORDER)
-        ordered.write.mode("overwrite").partitionBy("field").parquet(self._table("postings", version))
+    def delete(self, ids: DataFrame, doc_id: str, version: int, batch_id: str | None = None) -> bool:
+        """Remove the live documents of some ids under a new version; a later version may write them again.
 
-    def _write_terms(self, version: int) -> None:
-        # Counted from the stored postings, whose terms lie together: nearly all counting is done before the shuffle.
-        stored = self.spark.read.schema(POSTING_SCHEMA).parquet(self._table("postings", version))
-        stats = posting_term_stats(stored).hint("rebalance", F.col("field")).sortWithinPartitions("field", "term")
-        stats.write.mode("overwrite").partitionBy("field").parquet(self._table("terms", version))
+        Null, unknown and repeated ids are no matter. The same rules hold for a version that is there already. If no document
+        is live under any of the ids, nothing is written and the answer is False.
+        """
+        wanted = ids.select(F.lower(F.col(doc_id).cast("string")).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
+        wanted = written(wanted, "ids")
+        rows, content = wanted.agg(F.count("*"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))).first()
+        batch_id = batch_id or f"{rows} deleted, {content}"
+        if not rows or self._is_written(version, batch_id):
+            return False
+        layout = self._layout()
+        if layout is None:
+            raise ValueError("compact an index without buckets before deleting from it")
+        self._write_left(wanted, version, layout[0])
+        if not self._folders(self._table("left", version)):
+            return False
+        self._write_terms(version, layout[0])
+        self._write_batch(version, batch_id, *layout)
+        schema = merged_schema([self._schema("documents", v) for v in self.versions()])
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._table("documents", version))
+        self.write_sums(version)
+        return True
 
-    def versions(self) -> list[int]:
-        """The versions whose documents have been written to the end."""
-        paths = self.spark._jvm.org.apache.hadoop.fs
-        root = paths.Path(self._table("documents"))
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        folders = [s.getPath() for s in files.listStatus(root)]
-        whole = [p.getName() for p in folders if files.exists(paths.Path(p, "_SUCCESS"))]
-        return sorted(int(name.removeprefix("version=")) for name in whole)
+    def _is_written(self, version: int, batch_id: str) -> bool:
+        done = self.versions()
+        if version in done:
+            row = self._batch(version)
+            if row is not None and row["batch_id"] == batch_id:
+                return True
+            raise ValueError(f"version {version} is already written")
+        if done and version < done[-1]:
+            raise ValueError(f"version {version} is older than version {done[-1]}")
+        return False
+
+    def _write_batch(self, version: int, batch_id: str, buckets: int, ranges: int) -> None:
+        row = [F.lit(batch_id).alias("batch_id"), F.lit(buckets).alias("buckets"), F.lit(ranges).alias("ranges")]
+        self.spark.range(1).select(*row).write.mode("overwrite").parquet(self._table("batches", version))
+
+    def _save(self, rows: DataFrame, name: str, version: int, buckets: int, partition: str, order: list[str]) -> None:
+        """Write rows in buckets of documents, each sorted. The write itself asks Spark for the sort."""
+        writer = rows.repartition(buckets, "doc_id").write.mode("overwrite").format("parquet").partitionBy(partition)
+        writer = writer.bucketBy(buckets, "doc_id").sortBy(*order).option("path", self._table(name, version))
+        writer.saveAsTable(self._catalog_name(f"{name}_{version}"))
+
+    def _write_postings(self, postings: DataFrame, version: int, buckets: int, ranges: int) -> None:
+        # The bucket that the write chooses, and a range of its documents.
+        bucket = F.pmod(F.hash("doc_id"), F.lit(buckets))
+        rng = bucket * ranges + F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")
+        self._save(postings.withColumn("rng", rng), "postings", version, buckets, "field", POSTING_ORDER)
+
+    def _write_left(self, ids: DataFrame, version: int, buckets: int) -> None:
+        """Write down which live documents of earlier versions have these ids, and the version of each."""
+        if not self.versions():
+            return
+        live = self._live("documents", None).select("doc_id", F.col("version").alias("was"))
+        self._save(live.join(ids, "doc_id", "left_semi"), "left", version, buckets, "was", ["doc_id"])
+
+    def _frequencies(self, version: int, buckets: int) -> DataFrame:
+        """How often each document of a version has each term; counted within buckets."""
+        return self._bucketed_postings(version, buckets).groupBy("field", "term", "rng", "doc_id").agg(F.count("*").alias("tf"))
+
+    def term_bounds(self, version: int, buckets: int) -> DataFrame:
+        return self._frequencies(version, buckets).groupBy("field", "term", "rng").agg(F.max("tf").alias("most"))
+
+    def term_changes(self, version: int, buckets: int) -> DataFrame:
+        """(field, term, doc_freq, total_freq): what a version adds to the dictionary, less what it takes from it."""
+        signed = []
+        if version in self._of_table("postings"):
+            signed.append(self._frequencies(version, buckets).withColumn("sign", F.lit(1)))
+        for was in self._left_of([version]):
+            gone = self._bucketed_postings(was, buckets).join(self._left(was, [version], buckets), "doc_id", "left_semi")
+            signed.append(gone.groupBy("field", "term", "rng", "doc_id").agg(F.count("*").alias("tf")).withColumn("sign", F.lit(-1)))
+        stats = union_all(signed).groupBy("field", "term").agg(F.sum("sign").cast("bigint").alias("doc_freq"), F.sum(F.col("sign") * F.col("tf")).alias("total_freq"))
+        return stats.filter("doc_freq != 0 or total_freq != 0")
+
+    def _write_terms(self, version: int, buckets: int) -> None:
+        tables = {"terms": (self.term_changes(version, buckets), ["field", "term"])}
+        if version in self._of_table("postings"):
+            tables["bounds"] = (self.term_bounds(version, buckets), ["field", "term", "rng"])
+        for name, (rows, order) in tables.items():
+            ordered = rows.hint("rebalance", F.col("field")).sortWithinPartitions(*order)
+            ordered.write.mode("overwrite").partitionBy("field").parquet(self._table(name, version))
+
+    def content_sums(self, name: str, versions: list[int]) -> DataFrame:
+        """(version, name, field, rows, content) of stored rows, in any order of them: a sum of hashes for each version and field."""
+        if name == "documents":
+            # Each version has columns of its own.
+            return union_all([self._sums(self.spark.read.parquet(self._table(name, v)).withColumns({"version": F.lit(v), "field": F.lit("")}), name) for v in versions])
+        rows = self.spark.read.schema(self._stored_schema(name)).parquet(self._table(name))
+        return self._sums(rows.filter(F.col("version").isin(*versions)), name)
+
+    def _sums(self, rows: DataFrame, name: str) -> DataFrame:
+        columns = sorted(c for c in rows.columns if c != "version")
+        sums = [F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("content")]
+        return rows.groupBy("version", F.lit(name).alias("name"), "field").agg(*sums)
+
+    def _stored_schema(self, name: str) -> T.StructType:
+        """Columns of a table whose fields lie in folders; the type of a field's name is not for Spark to guess."""
+        known = {"fields": FIELD_SCHEMA, "postings": POSTING_SCHEMA, "terms": TERM_SCHEMA, "bounds": BOUND_SCHEMA}[name]
+        schema = known if isinstance(known, T.StructType) else T.StructType.fromDDL(known)
+        return schema if "version" in schema.names else T.StructType([*schema, T.StructField("version", T.IntegerType())])
+
+    def write_sums(self, version: int) -> None:
+        """Keep the content sums of a version beside it, for ``index_check``; documents' columns are summed as they are stored."""
+        sums = [self.content_sums(name, [version]) for name in SUMMED if version in self._of_table(name)]
+        union_all(sums).drop("version").coalesce(1).write.mode("overwrite").parquet(self._table("sums", version))
+
+    # --- reading -----------------------------------------------------------------------------
 
     def _schema(self, name: str, version: int) -> T.StructType:
         schema = self.spark.read.parquet(self._table(name, version)).schema
         return T.StructType([T.StructField("field", T.StringType()) if f.name == "field" and name != "documents" else f for f in schema])
 
-    def _batch_of(self, version: int) -> str | None:
-        try:
-            return self.spark.read.parquet(self._table("batches", version)).first()[0]
-        except AnalysisException:  # written without one
-            return None
+    def _registered(self, name: str, path: str, columns: str, partitions: str, buckets: int, again: bool = False) -> DataFrame:
+        """A bucketed table by way of the catalog; ``again`` looks for new folders."""
+        table = self._catalog_name(name)
+        known = self.spark.catalog.tableExists(table)
+        if not known:
+            quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY ({partitions}) CLUSTERED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+        if again or not known:
+            self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        return self.spark.table(table)
+
+    def _bucketed_postings(self, version: int, buckets: int) -> DataFrame:
+        return self._registered(f"postings_{version}", self._table("postings", version), POSTING_SCHEMA, "field", buckets)
+
+    def _left_of(self, by: list[int]) -> dict[int, list[int]]:
+        """version -> the versions, among some, that took the place of documents of it."""
+        out: dict[int, list[int]] = {}
+        for version in by:
+            for folder in self._folders(self._table("left", version)):
+                if folder.startswith("was="):
+                    out.setdefault(int(folder.removeprefix("was=")), []).append(version)
+        return out
+
+    def _left(self, was: int, by: list[int], buckets: int) -> DataFrame:
+        """Ids of documents of a version that some later versions replaced or removed."""
+        rows = self._registered("left", self._table("left"), "doc_id string, version int, was int", "version, was", buckets, again=True)
+        return rows.filter((F.col("was") == was) & F.col("version").isin(*by)).select("doc_id")
 
     def _live(self, name: str, version: int | None) -> DataFrame:
-        """The live rows of a table; filters on them reach the scan."""
-        seen = [v for v in self.versions() if version is None or v <= version]
+        """The live rows of a table; filters on them reach the scan.
+
+        Versions from which nothing was taken are read as they are. For the others, dead documents are left out: postings
+        version by version, bucket to bucket, other tables by a join on document and version.
+        """
+        done = [v for v in self.versions() if version is None or v <= version]
+        there = set(self._of_table(name))
+        seen = [v for v in done if v in there]
         # The columns of all versions; a version without one of them reads as nulls.
         known = merged_schema([self._schema(name, v) for v in seen])
         rows = self.spark.read.schema(T.StructType([*known, T.StructField("version", T.IntegerType())])).parquet(self._table(name)).filter(F.col("version").isin(*seen))
-        if len(seen) < 2:
+        if len(done) < 2:
             return rows
+        layout = self._layout()
+        if layout is None:
+            return self._live_without_buckets(rows, seen)
+        buckets = layout[0]
+        taken = {was: by for was, by in self._left_of(done).items() if was in seen}
+        if not taken:
+            return rows
+        if name == "postings":
+            parts = [self._bucketed_postings(w, buckets).withColumn("version", F.lit(w)).join(self._left(w, by, buckets), "doc_id", "left_anti") for w, by in taken.items()]
+            clean = [v for v in seen if v not in taken]
+            return union_all([rows.filter(F.col("version").isin(*clean)), *parts] if clean else parts).select(*rows.columns)
+        gone = union_all([self._left(w, by, buckets).withColumn("was", F.lit(w)) for w, by in taken.items()]).withColumnRenamed("doc_id", "_id")
+        return rows.join(gone, (rows["doc_id"] == gone["_id"]) & (rows["version"] == gone["was"]), "left_anti")
+
+    def _live_without_buckets(self, rows: DataFrame, seen: list[int]) -> DataFrame:
+        """Of an index written before versions told what they replace: a row is live unless a later version holds its document."""
         log = self.spark.read.parquet(self._table("documents"))
         later = log.filter(F.col("version").isin(*seen[1:])).groupBy(F.col("doc_id").alias("_id"))
         newest = later.agg(F.max("version").alias("_newest"))
@@ -162,23 +351,36 @@ class IndexFolder:
         return rows if field is None else rows.filter(F.col("field") == field)
 
     def terms(self, field: str | None = None, version: int | None = None) -> DataFrame:
-        """The dictionary: (field, term, doc_freq, total_freq).
-
-        Counts are those at the time of writing: documents that a later version holds again stay counted
-        until ``compact``. So it names every live term, and some that are live no more.
-        """
+        """The dictionary of the live documents: (field, term, doc_freq, total_freq)."""
         seen = [v for v in self.versions() if version is None or v <= version]
         rows = self.spark.read.schema(TERM_SCHEMA).parquet(self._table("terms")).filter(F.col("version").isin(*seen))
         rows = rows if field is None else rows.filter(F.col("field") == field)
-        return rows.groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
+        counts = rows.groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
+        return counts.filter("doc_freq > 0")
+
+    def replaced(self, after: int) -> DataFrame | None:
+        """(doc_id, was): documents that versions after one took the place of or removed; None if there are none."""
+        taken = self._left_of([v for v in self.versions() if v > after])
+        if not taken:
+            return None
+        buckets = self._layout()[0]
+        return union_all([self._left(w, by, buckets).withColumn("was", F.lit(w)) for w, by in taken.items()])
+
+    def bounds(self, field: str) -> DataFrame:
+        """(term, rng, most): no document of the range has the term more often. Replaced documents may have had it as often."""
+        rows = self.spark.read.schema(BOUND_SCHEMA).parquet(self._table("bounds"))
+        return rows.filter(F.col("version").isin(*self.versions()) & (F.col("field") == field)).groupBy("term", "rng").agg(F.max("most").alias("most"))
 
     def compact(self, path: str, version: int = 0) -> IndexFolder:
         """Rewrite the live rows of all versions as the first version of another folder."""
-        target = IndexFolder(self.spark, path, self.definition)
+        target = IndexFolder(self.spark, path, self.definition, self.buckets, self.ranges)
+        buckets = self.buckets or (self._layout() or (int(self.spark.conf.get("spark.sql.shuffle.partitions")), 0))[0]
         fields = self.fields().drop("version").hint("rebalance", F.col("field"))
         fields.write.mode("overwrite").partitionBy("field").parquet(target._table("fields", version))
-        target._write_postings(self.postings().drop("version"), version)
-        target._write_terms(version)
+        target._write_postings(self.postings().drop("version"), version, buckets, self.ranges)
+        target._write_terms(version, buckets)
+        target._write_batch(version, "compacted", buckets, self.ranges)
         documents = self.documents().drop("version").hint("rebalance")
         documents.write.mode("overwrite").parquet(target._table("documents", version))
+        target.write_sums(version)
         return target

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from folioscan.operators import fields, maintenance, upsert
+from folioscan.definition import IndexDefinition, Indexing
+from folioscan.operators import fields, index_check, maintenance, upsert
+from folioscan.operators.index_store import POSTING_ORDER, IndexFolder
 from folioscan.plans import sql
 from folioscan.plans.posting_plans import document_postings
 from folioscan.plans.registry import query
-from folioscan.session import written
+from folioscan.session import scratch_path, written
 from folioscan.sources import paging, visits
 
 _CUT = "2024-01-16"
@@ -161,3 +163,59 @@ def document_dump(table):
     return fields.document_dump(visits.visits(table("events")), "id", visits.VISITS)
 
 
+# --- a kept index --------------------------------------------------------------------------
+
+_PARTS = IndexDefinition(name="parts", indexing={"p_name": Indexing.ANALYZED})
+
+
+def _part_index(table) -> IndexFolder:
+    index = IndexFolder(table.spark, scratch_path(table.spark, "parts-index"), _PARTS)
+    index.write(table("part").select("p_partkey", "p_name"), "p_partkey", version=1)
+    return index
+
+
+def _part_words(table, where=""):
+    return f"SELECT doc_id, pos, term FROM ({sql.words(table, 'p_partkey', 'p_name')}) WHERE term NOT IN {sql.STOPS} {where}"
+
+
+@query(
+    "delete_from_index",
+    f"""WITH live AS (SELECT p_partkey, p_name FROM part WHERE p_size <= 40
+      UNION ALL SELECT p_partkey, 'again ' || p_name FROM part WHERE p_size > 45)
+    {_part_words("live")}""",
+)
+def delete_from_index(table):
+    """Large parts are deleted from a kept index, and the largest written again; a search sees what is live."""
+    index, parts = _part_index(table), table("part")
+    index.delete(parts.filter(col("p_size") > 40), "p_partkey", version=2)
+    again = parts.filter(col("p_size") > 45).select("p_partkey", F.concat(F.lit("again "), "p_name").alias("p_name"))
+    index.write(again, "p_partkey", version=3)
+    return index.postings("p_name").select("doc_id", "pos", "term")
+
+
+def _damaged_index(table) -> IndexFolder:
+    """Two versions, the second with the names of small parts once more; then the first one's postings lose some terms."""
+    index = _part_index(table)
+    index.write(table("part").filter(col("p_size") < 10).select("p_partkey", "p_name"), "p_partkey", version=2)
+    buckets, _ = index._layout()
+    kept = index._bucketed_postings(1, buckets).filter(~col("term").startswith("b"))
+    index._save(written(kept, "kept"), "postings", 1, buckets, "field", POSTING_ORDER)
+    return index
+
+
+@query(
+    "check_kept_index",
+    f"""SELECT 1 AS version, 'postings' AS name, 'p_name' AS field, 'rows' AS problem, count(*) AS expected,
+      count(*) FILTER (term NOT LIKE 'b%') AS found FROM ({_part_words("part")})""",
+)
+def check_kept_index(table):
+    """What a check of stored postings finds."""
+    return index_check.check_kept_index(_damaged_index(table)).filter("name = 'postings'")
+
+
+@query("repair_kept_index", _part_words("part"))
+def repair_kept_index(table):
+    """The live postings after repair."""
+    index = _damaged_index(table)
+    index_check.repair_kept_index(index)
+    return index.postings("p_name").select("doc_id", "pos", "term")

@@ -26,12 +26,30 @@ def document_postings(table, mode="standard", offsets=False):
 
 
 _TEXTS = IndexDefinition(name="documents", indexing={"text": Indexing.ANALYZED})
-_kept: dict[tuple[str, str, str], IndexFolder] = {}
+_kept: dict[tuple, IndexFolder] = {}
+
+
+def _stamps(table) -> tuple:
+    """Path, size and time of the files of a folder's tables."""
+    paths = table.spark._jvm.org.apache.hadoop.fs
+    root = paths.Path(table.folder)
+    files = root.getFileSystem(table.spark._jsc.hadoopConfiguration())
+    found, waiting = [], [root]
+    while waiting:
+        for s in files.listStatus(waiting.pop()):
+            if s.isDirectory():
+                waiting.append(s.getPath())
+            else:
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def kept_index(table, write) -> IndexFolder:
-    """The index that ``write`` makes of a folder's tables: written by the first query of a session that searches it, kept for the others."""
-    key = (table.spark.sparkContext.applicationId, table.folder, write.__name__)
+    """The index that ``write`` makes of a folder's tables: written by the first query of a session that searches it, kept for the others.
+
+    It is written anew once any file of the folder is another than it was.
+    """
+    key = (table.spark.sparkContext.applicationId, table.folder, write.__name__, _stamps(table))
     if key not in _kept:
         _kept[key] = write(table)
     return _kept[key]
@@ -158,6 +176,16 @@ def term_dictionary(table):
     return compacted.terms("text").drop("field")
 
 
+@query(
+    "term_dictionary_live",
+    f"""SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq
+    FROM ({sql.words("documents", "doc_id", "text")}) WHERE term NOT IN {sql.STOPS} GROUP BY term""",
+)
+def term_dictionary_live(table):
+    """The stored dictionary of an index of two versions: what the second replaced is no longer counted."""
+    return text_index(table).terms("text").drop("field")
+
+
 @query(
     "term_stats",
     f"""SELECT 'text' AS field, term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq

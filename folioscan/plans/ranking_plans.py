@@ -8,11 +8,14 @@ from pyspark.sql.functions import col
 from folioscan.definition import Sort
 from folioscan.operators import predicates as q
 from folioscan.operators import ranking
+from folioscan.operators.bounded_topk import top_documents
+from folioscan.operators.index_store import IndexFolder
 from folioscan.plans import sql
 from folioscan.plans.posting_plans import kept_index, text_index
 from folioscan.plans.predicate_plans import VISIT_MATCH, VISIT_TERMS, visit_branches, visit_table
 from folioscan.plans.registry import query
-from folioscan.plans.source_plans import write_visit_index
+from folioscan.session import scratch_path
+from folioscan.sources import visits
 
 PAGE = 50
 TERMS = ["from", "les", "under"]
@@ -25,9 +28,27 @@ def _score(name="score"):
 # --- relevance -------------------------------------------------------------------------------
 
 
+def write_changed_visit_index(table) -> IndexFolder:
+    """An index of the visits in four versions: two write other kinds of a third of them, the last two write what they are."""
+    index = IndexFolder(table.spark, scratch_path(table.spark, "changed-visits-index"), visits.VISITS)
+    events = table("events")
+    third, half = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0, F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+
+    def kinds(kind, where):
+        # Visits are not made of one kind of event; that one stays as it is.
+        change = where & (col("event_type") != "signup")
+        return events.withColumn("event_type", F.when(change, kind).otherwise(col("event_type")))
+
+    index.write(visits.visits(kinds("purchase", third)), "id", version=1)
+    index.write(visits.visits(kinds("error", third).filter(third & half)), "id", version=2)
+    index.write(visits.visits(events.filter(third)), "id", version=3)
+    index.write(visits.visits(events.filter(half)), "id", version=4)
+    return index
+
+
 def _scored_visits(table):
     """The sample query with scores over the stored index: exact terms by rarity, time ranges a constant 1."""
-    index = kept_index(table, write_visit_index)
+    index = kept_index(table, write_changed_visit_index)
     docs = index.documents()
     branches = visit_branches()
     terms = {f"idf_{b}_{i}": pair for b, pairs in enumerate(VISIT_TERMS) for i, pair in enumerate(pairs)}
@@ -81,6 +102,19 @@ def score_tfidf(table):
     return scores.select("doc_id", "matched", _score())
 
 
+@query(
+    "topk_bounded",
+    f"""WITH t AS ({sql.words("documents", "doc_id", "text")}),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('from', 'les', 'under') GROUP BY ALL),
+    idf AS (SELECT term, 1 + ln((SELECT count(*) FROM documents) / (count(*) + 1)) AS idf FROM tf GROUP BY term)
+    SELECT doc_id, count(*) AS matched, round(sum(sqrt(tf) * idf * idf) * count(*) / 3, 6) AS score
+    FROM tf JOIN idf USING (term) GROUP BY doc_id ORDER BY round(sum(sqrt(tf) * idf * idf) * count(*) / 3, 9) DESC, doc_id LIMIT {PAGE}""",
+)
+def topk_bounded(table):
+    """The best documents for three terms over an index with replaced documents, by bounds of ranges."""
+    return top_documents(text_index(table), "text", TERMS, PAGE).select("doc_id", "matched", _score())
+
+
 @query(
     "score_constant",
     """SELECT p_partkey, ((CASE WHEN p_size BETWEEN 10 AND 20 THEN 1 ELSE 0 END) + (CASE WHEN p_name LIKE 'bl%' THEN 1 ELSE 0 END))

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from folioscan.definition import Sort
-from folioscan.operators import fields, ranking
+from folioscan.operators import fields
 from folioscan.operators import predicates as q
 from folioscan.operators.index_store import IndexFolder
-from folioscan.operators.upsert import latest
 from folioscan.plans import sql
 from folioscan.plans.maintenance_plans import _USER_STATE
 from folioscan.plans.predicate_plans import VISIT_MATCH, visit_branches
@@ -18,6 +16,7 @@ from folioscan.plans.source_plans import _USERS
 from folioscan.session import scratch_path
 from folioscan.sources import visits
 from folioscan.streaming import upsert
+from folioscan.streaming.poll import IndexPoll
 
 _SEQ = ["ts", "event_id"]
 
@@ -75,15 +74,15 @@ def stream_index(table):
     WHERE {VISIT_MATCH} ORDER BY VisitDateTime, doc_id LIMIT 50""",
 )
 def stream_poll_query(table):
-    """The sample query over what a stream of visits has written so far."""
-    sink, checkpoint = scratch_path(table.spark, "log"), scratch_path(table.spark, "progress")
-
-    def documents(rows):
-        return fields.document_table(visits.visits(rows), "id", visits.VISITS)
-
-    upsert.run_upserts(table.stream("events"), sink, checkpoint, documents)
-    log = table.spark.read.parquet(sink).withColumn("_version", col("stored_RowVersion").cast("bigint"))
-    current = latest(log, "doc_id", "_version")
-    clause = q.should(*[q.must(*branch) for branch in visit_branches()])
-    hits = current.filter(clause).select("doc_id", "VisitDateTime_Range")
-    return ranking.top_sorted(hits, ranking.sort_order(col("VisitDateTime_Range"), Sort.LONG), 50)
+    """The sample query, asked after each round of a stream of visits into an index."""
+    spark, events = table.spark, table("events")
+    folder, progress = scratch_path(spark, "arrivals"), scratch_path(spark, "progress")
+    index = IndexFolder(spark, scratch_path(spark, "visit-stream-index"), visits.VISITS)
+    poll = IndexPoll(index, q.should(*[q.must(*branch) for branch in visit_branches()]), ["VisitDateTime_Range"], size=50)
+    early = col("ts") < F.lit("2024-01-16")
+    for part in (events.filter(early), events.filter(~early)):
+        part.write.mode("append").parquet(folder)
+        stream = upsert.file_stream(spark, folder, events.schema)
+        upsert.index_stream(visits.visits(stream), index, "id", "RowVersion", progress).awaitTermination()
+        found = poll.poll()
+    return found

@@ -1,0 +1,202 @@
+"""Deletes, replaced documents, the dictionary, bounded top-k, polls and checks of a kept index."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscan import IndexDefinition, Indexing
+from folioscan.operators import index_check, ranking
+from folioscan.operators import predicates as q
+from folioscan.operators.bounded_topk import range_bounds, term_idfs, top_documents
+from folioscan.operators.index_store import POSTING_ORDER, IndexFolder
+from folioscan.operators.postings import text_term_stats
+from folioscan.session import scratch_path
+from folioscan.streaming.poll import IndexPoll
+
+TEXTS = IndexDefinition("texts", indexing={"body": Indexing.ANALYZED})
+WORDS = ["blue", "red", "green", "rod", "ring", "nut", "bolt", "axle"]
+
+
+class Model:
+    """The index as a dictionary of live bodies."""
+
+    def __init__(self, spark, **layout):
+        self.spark, self.live = spark, {}
+        self.index = IndexFolder(spark, scratch_path(spark, "changes"), TEXTS, **layout)
+
+    def write(self, version, bodies):
+        assert self.index.write(self.spark.createDataFrame([(k, v, len(v)) for k, v in bodies.items()], "id string, body string, size int"), "id", version)
+        self.live.update({k.lower(): v for k, v in bodies.items()})
+
+    def delete(self, version, ids):
+        done = self.index.delete(self.spark.createDataFrame([(i,) for i in ids], "id string"), "id", version)
+        assert done == any(i is not None and i.lower() in self.live for i in ids)
+        for i in ids:
+            self.live.pop((i or "").lower(), None)
+
+    def check(self, index=None):
+        index = index or self.index
+        assert sorted(r.doc_id for r in index.documents().collect()) == sorted(self.live)
+        postings = sorted((r.doc_id, r.pos, r.term) for r in index.postings("body").collect())
+        assert postings == sorted((k, i, t) for k, v in self.live.items() for i, t in enumerate(v.split()))
+        docs = self.spark.createDataFrame(list(self.live.items()) or [("", "")], "id string, body string")
+        expected = {tuple(r) for r in text_term_stats(docs, "body", F.col("body")).collect()}
+        assert {tuple(r) for r in index.terms("body").select("field", "term", "doc_freq", "total_freq").collect()} == expected
+        assert {r.doc_id for r in index.fields().collect()} == set(self.live)
+
+
+@pytest.fixture
+def model(spark):
+    rng = random.Random(4)
+    model = Model(spark, buckets=3)
+    model.write(1, {f"d{i}": " ".join(rng.choices(WORDS, k=rng.randint(1, 6))) for i in range(40)})
+    return model
+
+
+def test_changes_over_many_versions(model, spark):
+    rng = random.Random(5)
+    model.check()
+    model.delete(2, ["d1", "D2", "d2", "nobody", None])
+    model.check()
+    model.write(3, {"d1": "blue again", "d5": "red red red", "new": "axle"})
+    model.check()
+    model.write(4, {f"d{i}": " ".join(rng.choices(WORDS, k=3)) for i in range(0, 40, 3)})
+    model.delete(5, ["d1", "new", "d6"])
+    model.write(6, {"d1": "blue once more", "d7": "nut"})
+    model.check()
+    before = {r.doc_id: r.body for r in model.index.documents(3).collect()}
+    assert before["d1"] == ["blue", "again"] and "d2" not in before and before["new"] == ["axle"] and len(before) == 40
+    assert not model.index.delete(spark.createDataFrame([("d2",)], "id string"), "id", 7) and model.index.versions()[-1] == 6
+    model.check(model.index.compact(scratch_path(spark, "compact")))
+    with pytest.raises(ValueError, match="older"):
+        model.index.write(spark.createDataFrame([("x", "y")], "id string, body string"), "id", 0)
+    with pytest.raises(ValueError, match="already"):
+        model.index.delete(spark.createDataFrame([("d7",)], "id string"), "id", 6)
+
+
+def test_a_session_that_did_not_write_reads_the_same(model, spark):
+    model.delete(2, ["d1", "d2"])
+    for name in ("postings_1", "left", "left_2"):
+        spark.sql(f"DROP TABLE IF EXISTS {model.index._catalog_name(name)}")
+    model.check(IndexFolder(spark, model.index.path + "/", TEXTS))
+
+
+def test_an_unfinished_change_is_not_seen(model, spark, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(IndexFolder, "_write_batch", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            model.index.delete(spark.createDataFrame([("d3",), ("d4",)], "id string"), "id", 2)
+    model.check()
+    model.delete(2, ["d3"])
+    model.check()
+
+
+def test_postings_are_not_shuffled(model, spark, plan):
+    model.delete(2, ["d1"])
+    model.write(3, {"d2": "blue", "d3": "red"})
+    model.write(4, {"d2": "blue rod"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(model.index.postings("body").filter(F.col("term") == "blue"))
+        assert "Exchange" not in text and "SortMergeJoin LeftAnti" in text and "Bucketed: true" in text
+        assert not re.search(r"/documents\b", text) and "EqualTo(term,blue)" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scores_after_documents_are_written_again(model, spark):
+    for version in (2, 3, 4):
+        model.write(version, {f"d{i}": "blue blue rod" for i in range(10)})
+    docs = model.index.documents()
+    idfs = ranking.dictionary_idfs(model.index.terms(), docs, {"blue": ("body", "blue")})
+    found = docs.select(idfs["blue"].alias("idf")).first().idf
+    with_blue = sum("blue" in v.split() for v in model.live.values())
+    expected = spark.range(1).select(ranking.idf(F.lit(with_blue), F.lit(len(model.live)))).first()[0]
+    assert found == expected == term_idfs(model.index, "body", ["blue", "none"])["blue"]
+
+
+def test_bounded_top_documents(spark):
+    rng = random.Random(6)
+    model = Model(spark, buckets=4, ranges=5)
+    bodies = {f"d{i}": " ".join(rng.choices(WORDS, weights=[1, 1, 1, 30, 30, 30, 9, 9], k=rng.randint(1, 30))) for i in range(150)}
+    model.write(1, bodies)
+    model.write(2, {k: "rod" for k in list(bodies)[:20]})
+    model.delete(3, list(bodies)[20:30])
+    cases = [(["blue"], 1, 1), (["blue", "red", "rod"], 5, 2), (["blue", "red", "rod"], 200, 1), (["blue", "nothing"], 7, 100), (["nothing"], 5, 2), ([], 5, 2)]
+    for terms, size, first in cases:
+        found = [tuple(r) for r in top_documents(model.index, "body", terms, size, first).collect()]
+        if not set(terms) - {"nothing"}:
+            assert found == []
+            continue
+        whole = ranking.tfidf_scores(model.index.postings("body"), model.index.documents(), terms)
+        expected = [tuple(r) for r in whole.orderBy(F.round("score", 9).desc(), "doc_id").limit(size).collect()]
+        assert found == expected
+
+
+def test_ranges_that_cannot_reach_the_top_are_not_read(spark):
+    model = Model(spark, buckets=4, ranges=8)
+    model.write(1, {f"d{i}": "rod " * (20 if i < 5 else 1) + "x" * (i % 7 + 1) for i in range(300)})
+    bounds = range_bounds(model.index, "body", term_idfs(model.index, "body", ["rod"]), ["rod"])
+    high = bounds.orderBy(F.col("bound").desc()).limit(5).collect()
+    text = top_documents(model.index, "body", ["rod"], 3, first=4)._jdf.queryExecution().toString()
+    named = {int(n) for group in re.findall(r"rng#\d+ (?:IN|INSET) \(?([\d, ]+)", text) for n in group.split(",") if n.strip()}
+    assert len(high) == 5 and len(named) <= 5 and bounds.count() == 32
+    assert {r.doc_id for r in top_documents(model.index, "body", ["rod"], 3, first=4).collect()} <= {f"d{i}" for i in range(5)}
+
+
+def test_polls_equal_full_searches(model, spark, plan):
+    clause = q.term(q.SearchField("body", "standard", multi=True), "rod")
+    poll = IndexPoll(model.index, clause, ["-size_Range"], size=5)
+
+    def full():
+        hits = model.index.documents().filter(clause).orderBy(F.col("size_Range").desc_nulls_last(), "doc_id").limit(5)
+        return [(r.doc_id, r.size_Range) for r in hits.collect()]
+
+    def found():
+        return [(r.doc_id, r.size_Range) for r in poll.poll().collect()]
+
+    assert found() == full() and poll.searches == 1 and found() == full() and poll.searches == 1
+    model.write(2, {"n1": "rod " * 9, "n2": "rod", "n3": "nut"})
+    assert found() == full() and poll.searches == 1  # nothing that was kept is gone
+    model.write(3, {"n1": "rod nut " * 12, "n4": "rod " * 11})
+    assert found() == full() and poll.searches == 1  # what took the places stands ahead of the last one
+    model.delete(4, [found()[0][0]])
+    assert found() == full() and poll.searches == 2  # an older hit moved up
+    model.delete(5, list(model.live)[:-2])
+    assert found() == full()
+    model.write(6, {"d1": "rod rod", "d2": "nut"})
+    assert found() == full()
+
+
+def test_planted_damage_is_found_and_repaired(model, spark):
+    index = model.index
+    model.write(2, {"d1": "blue rod", "d2": "red"})
+    model.delete(3, ["d3"])
+    assert index_check.check_kept_index(index).collect() == [] and index_check.repair_kept_index(index) == []
+
+    def faults():
+        return {(r.version, r["name"], r.problem) for r in index_check.check_kept_index(index).collect()}
+
+    buckets, _ = index._layout()
+    kept = spark.createDataFrame(index._bucketed_postings(1, buckets).filter("term != 'rod'").collect(), index._bucketed_postings(1, buckets).schema)
+    index._save(kept, "postings", 1, buckets, "field", POSTING_ORDER)
+    assert {(1, "postings", "rows"), (1, "terms", "terms")} <= faults()
+    assert index_check.repair_kept_index(index) == [] and faults() == set()
+    model.check()
+    for name, change in (("terms", {"doc_freq": F.col("doc_freq") + 1}), ("bounds", {"most": F.lit(0).cast("bigint")})):
+        path = index._table(name, 2)
+        rows = spark.read.parquet(path)
+        spark.createDataFrame(rows.withColumns(change).collect(), rows.schema).write.mode("overwrite").partitionBy("field").parquet(path)
+        assert (2, name, "content") in faults()
+        assert index_check.repair_kept_index(index) == [] and faults() == set()
+    model.check()
+    path = index._table("documents", 2)
+    rows = spark.read.parquet(path)
+    spark.createDataFrame(rows.filter("doc_id != 'd1'").collect(), rows.schema).write.mode("overwrite").parquet(path)
+    assert (2, "documents", "rows") in faults() and index_check.repair_kept_index(index) == [(2, "documents")]
+
+
+def test_a_check_of_no_index(spark):
+    assert index_check.check_kept_index(IndexFolder(spark, scratch_path(spark, "none"), TEXTS)).collect() == []
