@@ -23,7 +23,7 @@ def _sum(values: list[Column]) -> Column:
 
 def term_idfs(index: IndexFolder, field: str, terms: list[str]) -> dict[str, float]:
     """Rarity of each term that live documents have, from the dictionary."""
-    total = index.documents().count()
+    total = index.document_count()
     entries = index.terms(field).filter(F.col("term").isin(*terms))
     return {r.term: r.idf for r in entries.select("term", idf(F.col("doc_freq"), F.lit(total)).alias("idf")).collect()}
 

@@ -143,10 +143,11 @@ class IndexFolder:
         if done := self.versions():
             merged_schema([*[self._schema("documents", v) for v in done], document_table(source, doc_id, self.definition).schema])
         buckets, ranges = self._layout() or (partitions or self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.ranges)
-        batch = source
+        batch, added = source, rows
         if seq is not None:
             # Written once, as both the fields and the documents are made from it.
             batch = written(latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq), "batch")
+            added = batch.count()
         # Brought together by field, so that files follow the fields' sizes and not the number of tasks.
         fields = field_rows(batch, doc_id, self.definition).hint("rebalance", F.col("field"))
         fields.write.mode("overwrite").option("parquet.block.size", FIELD_BLOCK).partitionBy("field").parquet(self._table("fields", version))
@@ -154,7 +155,7 @@ class IndexFolder:
         self._write_postings(field_postings(stored, self.definition), version, buckets, ranges)
         self._write_left(ids.select("doc_id"), version, buckets)
         self._write_terms(version, buckets)
-        self._write_batch(version, batch_id, buckets, ranges)
+        self._write_batch(version, batch_id, buckets, ranges, added)
         documents = document_table(batch, doc_id, self.definition)
         documents.write.mode("overwrite").parquet(self._table("documents", version))
         self.write_sums(version)
@@ -179,7 +180,7 @@ class IndexFolder:
         if not self._folders(self._table("left", version)):
             return False
         self._write_terms(version, layout[0])
-        self._write_batch(version, batch_id, *layout)
+        self._write_batch(version, batch_id, *layout, 0)
         schema = merged_schema([self._schema("documents", v) for v in self.versions()])
         self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self._table("documents", version))
         self.write_sums(version)
@@ -196,8 +197,11 @@ class IndexFolder:
             raise ValueError(f"version {version} is older than version {done[-1]}")
         return False
 
-    def _write_batch(self, version: int, batch_id: str, buckets: int, ranges: int) -> None:
-        row = [F.lit(batch_id).alias("batch_id"), F.lit(buckets).alias("buckets"), F.lit(ranges).alias("ranges")]
+    def _write_batch(self, version: int, batch_id: str, buckets: int, ranges: int, added: int) -> None:
+        """What a version is, and by how much it changes the number of live documents."""
+        taken = [self._left(was, [version], buckets) for was in self._left_of([version])]
+        gained = added - (union_all(taken).count() if taken else 0)
+        row = [F.lit(batch_id).alias("batch_id"), F.lit(buckets).alias("buckets"), F.lit(ranges).alias("ranges"), F.lit(gained).cast("bigint").alias("gained")]
         self.spark.range(1).select(*row).write.mode("overwrite").parquet(self._table("batches", version))
 
     def _save(self, rows: DataFrame, name: str, version: int, buckets: int, partition: str, order: list[str]) -> None:
@@ -342,6 +346,14 @@ class IndexFolder:
         """Current documents, or those of an earlier version."""
         return self._live("documents", version)
 
+    def document_count(self, version: int | None = None) -> int:
+        """How many documents are live, from what the versions say; no document is read."""
+        seen = [v for v in self.versions() if version is None or v <= version]
+        if self._layout() is None:
+            return self.documents(version).count() if seen else 0
+        told = self.spark.read.schema("gained bigint, version int").parquet(self._table("batches")).filter(F.col("version").isin(*seen))
+        return told.agg(F.sum("gained")).first()[0]
+
     def fields(self, version: int | None = None) -> DataFrame:
         return self._live("fields", version)
 
@@ -379,7 +391,7 @@ class IndexFolder:
         fields.write.mode("overwrite").partitionBy("field").parquet(target._table("fields", version))
         target._write_postings(self.postings().drop("version"), version, buckets, self.ranges)
         target._write_terms(version, buckets)
-        target._write_batch(version, "compacted", buckets, self.ranges)
+        target._write_batch(version, "compacted", buckets, self.ranges, self.document_count())
         documents = self.documents().drop("version").hint("rebalance")
         documents.write.mode("overwrite").parquet(target._table("documents", version))
         target.write_sums(version)

@@ -92,15 +92,17 @@ def with_term_idfs(docs: DataFrame, terms: dict[str, Column]) -> DataFrame:
     return docs.select("*", *[idfs[n].alias(n) for n in terms])
 
 
-def dictionary_idfs(dictionary: DataFrame, documents: DataFrame, terms: dict[str, tuple[str, str]]) -> Column:
+def dictionary_idfs(dictionary: DataFrame, documents: DataFrame | int, terms: dict[str, tuple[str, str]]) -> Column:
     """One struct with an idf per name, for named (field, term) pairs of a stored dictionary.
 
-    Only these terms' entries are read, and the documents are only counted. A term that the dictionary lacks is in no document.
+    Only these terms' entries are read, and the documents are only counted, if their number is not given. A term that the
+    dictionary lacks is in no document.
     """
     pairs = {name: (F.col("field") == field) & (F.col("term") == term) for name, (field, term) in terms.items()}
     wanted = dictionary.filter(F.col("field").isin(*{f for f, _ in terms.values()}) & F.col("term").isin(*{t for _, t in terms.values()}))
     found = wanted.agg(*[F.coalesce(F.sum(F.when(pair, F.col("doc_freq"))), F.lit(0)).alias(name) for name, pair in pairs.items()])
-    frequencies, total = one_row(found), documents.agg(F.count("*").alias("n")).scalar()
+    frequencies = one_row(found)
+    total = F.lit(documents) if isinstance(documents, int) else documents.agg(F.count("*").alias("n")).scalar()
     return F.struct(*[idf(frequencies[name], total).alias(name) for name in terms])
 
 

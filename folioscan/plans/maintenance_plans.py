@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from folioscan.definition import IndexDefinition, Indexing
-from folioscan.operators import fields, index_check, maintenance, upsert
+from folioscan.operators import fields, index_check, maintenance, upsert, zorder
 from folioscan.operators.index_store import POSTING_ORDER, IndexFolder
 from folioscan.plans import sql
 from folioscan.plans.posting_plans import document_postings
@@ -62,6 +62,14 @@ def compact_table(table):
     return written(maintenance.compacted(fragments, ["o_orderkey"]), "compacted")
 
 
+@query("compact_zorder", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 90000 AND o_custkey < 100")
+def compact_zorder(table):
+    """The table compacted by two columns at once, read with a filter on both."""
+    columns = ["o_totalprice", "o_custkey"]
+    stored = written(zorder.zorder_compacted(table("orders").repartition(32), columns), "compacted")
+    return stored.filter(col("o_totalprice").between(50000, 90000) & (col("o_custkey") < 100)).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query(
     "ingest_stats",
     """SELECT count(*) AS attempts, count(id) FILTER (trim(id) <> '') AS successes,

@@ -7,16 +7,20 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from folioscan.definition import IndexDefinition, Indexing
+from folioscan.definition import STOP_WORDS, IndexDefinition, Indexing
 from folioscan.functions import analysis
 from folioscan.functions.literals import decode_column
 from folioscan.operators import fields
 from folioscan.operators import predicates as q
-from folioscan.operators.postings import phrase_documents
+from folioscan.operators.postings import phrase_documents, text_term_stats
+from folioscan.operators.stored_searches import StoredSearches, named_term
+from folioscan.operators.term_lookup import GramTable, VariantTable, documents_with
 from folioscan.plans import sql
 from folioscan.plans.posting_plans import documents_with_text, text_index
 from folioscan.plans.registry import query
+from folioscan.session import scratch_path
 from folioscan.sources import visits
+from folioscan.sources.tables import spread
 
 STATUS = q.SearchField("o_orderstatus", "keyword")
 PRIORITY = q.SearchField("o_orderpriority", "keyword")
@@ -262,6 +266,54 @@ def q_fuzzy_terms(table):
     return q.fuzzy_documents(index.postings("text"), "thering", 0.7, terms=index.terms("text"))
 
 
+@query(
+    "q_fuzzy_variants",
+    f"""SELECT DISTINCT doc_id FROM ({sql.words("documents", "doc_id", "text")})
+    WHERE term NOT IN {sql.STOPS}
+      AND 1 - levenshtein(term, 'thering') / CAST(least(length(term), 7) AS DOUBLE) > 0.7""",
+)
+def q_fuzzy_variants(table):
+    """The same search by equality of what terms become when letters are left out."""
+    index = text_index(table)
+    variants = VariantTable(table.spark, scratch_path(table.spark, "variants"), letters=2).write(index.terms("text"))
+    return documents_with(index.postings("text"), variants.near("thering", 0.7))
+
+
+@query(
+    "q_wildcard_terms",
+    f"""SELECT DISTINCT doc_id FROM ({sql.words("documents", "doc_id", "text")})
+    WHERE term NOT IN {sql.STOPS} AND (term LIKE '%ther%ng' OR term LIKE '_here%')""",
+)
+def q_wildcard_terms(table):
+    """Patterns that open with a wildcard, by letter triples of the dictionary."""
+    index = text_index(table)
+    grams = GramTable(table.spark, scratch_path(table.spark, "grams")).write(index.terms("text"))
+    return documents_with(index.postings("text"), grams.matching("*ther*ng").union(grams.matching("?here*")))
+
+
+@query(
+    "stored_searches",
+    f"""WITH seq AS (SELECT doc_id, term, min(pos) AS p FROM ({sql.words("documents", "doc_id", "text")}) WHERE term NOT IN {sql.STOPS} GROUP BY ALL),
+    f AS (SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, n_chars, list(term ORDER BY p) AS ts FROM seq JOIN documents d ON CAST(d.doc_id AS VARCHAR) = seq.doc_id GROUP BY ALL)
+    SELECT s.doc_id AS search_id, d.doc_id FROM f s JOIN f d ON list_contains(d.ts, s.ts[1]) AND list_contains(d.ts, s.ts[2])
+      AND NOT list_contains(d.ts, coalesce(s.ts[3], '')) AND d.n_chars >= s.n_chars // 2 WHERE len(s.ts) >= 2""",
+)
+def stored_searches(table):
+    """A search of each document's first words, kept, and all documents met with all of them."""
+    words = F.array_distinct(F.filter(analysis.analyze(col("text"), "standard"), lambda t: t.isNotNull() & ~t.isin(*STOP_WORDS)))
+    docs = spread(table("documents")).select(col("doc_id").cast("string").alias("doc_id"), "n_chars", words.alias("words"))
+
+    def some(first, count):
+        return F.transform(F.slice("words", first, count), lambda t: F.struct(F.lit("text").alias("field"), t.alias("term")))
+
+    longer = F.struct(F.lit("n_chars").alias("field"), F.floor(col("n_chars") / 2).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
+    searches = docs.filter(F.size("words") >= 2).select(col("doc_id").alias("search_id"), some(1, 2).alias("must"), some(3, 1).alias("must_not"), F.array(longer).alias("ranges"))
+    dictionary = text_term_stats(table("documents"), "text", col("text"))
+    kept = StoredSearches(table.spark, scratch_path(table.spark, "searches")).write(searches, dictionary)
+    terms = F.transform("words", lambda t: named_term(F.lit("text"), t))
+    return kept.matches(docs.select("doc_id", terms.alias("terms"), F.create_map(F.lit("n_chars"), "n_chars").alias("numbers")), numbers="numbers")
+
+
 _WORDS = IndexDefinition(name="documents", indexing={"words": Indexing.ANALYZED})
 
 

@@ -52,7 +52,7 @@ def _scored_visits(table):
     docs = index.documents()
     branches = visit_branches()
     terms = {f"idf_{b}_{i}": pair for b, pairs in enumerate(VISIT_TERMS) for i, pair in enumerate(pairs)}
-    idfs = ranking.dictionary_idfs(index.terms(), docs, terms)
+    idfs = ranking.dictionary_idfs(index.terms(), index.document_count(), terms)
     clauses = []
     for b, (organization, location, span) in enumerate(branches):
         scored = [

@@ -39,6 +39,7 @@ class Model:
     def check(self, index=None):
         index = index or self.index
         assert sorted(r.doc_id for r in index.documents().collect()) == sorted(self.live)
+        assert index.document_count() == len(self.live)
         postings = sorted((r.doc_id, r.pos, r.term) for r in index.postings("body").collect())
         assert postings == sorted((k, i, t) for k, v in self.live.items() for i, t in enumerate(v.split()))
         docs = self.spark.createDataFrame(list(self.live.items()) or [("", "")], "id string, body string")
@@ -110,6 +111,8 @@ def test_scores_after_documents_are_written_again(model, spark):
     for version in (2, 3, 4):
         model.write(version, {f"d{i}": "blue blue rod" for i in range(10)})
     docs = model.index.documents()
+    counted = ranking.dictionary_idfs(model.index.terms(), model.index.document_count(), {"blue": ("body", "blue")})
+    assert docs.select(counted["blue"]).first()[0] == docs.select(ranking.dictionary_idfs(model.index.terms(), docs, {"blue": ("body", "blue")})["blue"]).first()[0]
     idfs = ranking.dictionary_idfs(model.index.terms(), docs, {"blue": ("body", "blue")})
     found = docs.select(idfs["blue"].alias("idf")).first().idf
     with_blue = sum("blue" in v.split() for v in model.live.values())
