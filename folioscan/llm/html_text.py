@@ -24,10 +24,17 @@ FURNITURE_WORDS = set(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation "
     "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "signup login comment comments commentlist reply replies respond disqus share sharing social related recommended widget "
-    "pagination pager toolbar skip".split()
+    "pagination pager toolbar skip warning "
+    # the same in French, Spanish and German
+    "publicite annonce annonces commentaire commentaires reponses partager avertissement bandeau inscription "
+    "publicidad anuncio anuncios comentario comentarios respuestas compartir aviso suscripcion boletin patrocinado "
+    "werbung anzeige anzeigen kommentar kommentare antworten teilen hinweis warnung seitenleiste fusszeile kopfzeile navigationsleiste".split()
 )
 # Class words of parts that hold articles which are not the page's own.
-OTHERS_WORDS = set("comment comments commentlist reply replies respond disqus related recommended".split())
+OTHERS_WORDS = set(
+    "comment comments commentlist reply replies respond disqus related recommended "
+    "commentaire commentaires reponses comentario comentarios respuestas kommentar kommentare antworten".split()
+)
 ARTICLE = {"article", "main"}
 SECTIONS = {"article", "main", "section", "div", "body", "td", "th", "li", "blockquote", "figure"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -44,14 +51,27 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(
+    r"""(?:^|\s)hidden(?=\s|$|=|/)|\bstyle\s*=\s*(?:"[^"]*(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden))""",
+    re.I,
+)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 WORD = re.compile(r"[a-z]+")
+
+
+def is_hidden(attributes: str) -> bool:
+    """Whether an element is not shown: by the attribute, outside of other attributes' values, or by its own style."""
+    found = HIDDEN.search(attributes) if "hidden" in (low := attributes.lower()) or "none" in low else None
+    return found is not None and (found[0].strip().lower() != "hidden" or HIDDEN.search(QUOTED.sub('""', attributes)) is not None)
+
+
 PUNCTUATION = re.compile(r"[.,;:!?…、。]")
 
 
 class _Blocks:
     """Text blocks of a page in page order, each with its tag path, its link text, the marks of furniture around it and its depth in articles.
 
-    The mark 0 stands for elements that are always furniture, such as ``nav``; others stand for one element each
+    The mark 0 stands for elements that are always furniture, such as ``nav``, and those that are not shown; others stand for one element each
     with a class word or of the name form, kept with its depth in articles and whether a word of it speaks of other articles.
     """
 
@@ -117,6 +137,8 @@ class _Blocks:
             words.update(WORD.findall((found[1] or found[2] or found[3] or "").lower()))
         if words:
             label += "." + "-".join(sorted(words))
+        if attributes and is_hidden(attributes) and name not in ("body", "html"):
+            marks, before = (*marks, 0), None
         if name == "header":
             if article and before is None:
                 before = marks

@@ -89,14 +89,15 @@ def fit(
 ) -> ToxicityModel:
     """Learn from at most ``most_rows`` labelled rows, those with the least hashes of their ids, in that order.
 
-    Rows with a null id, text or label teach nothing; labels other than 0 count as 1. Only ids and labels are
-    ranked; texts become bucket numbers on the executors.
+    Rows with a null id, text or label teach nothing; labels other than 0 count as 1. Of the rows of one id one
+    teaches, that with the least hash of its text. Only ids are ranked; texts become bucket numbers on the executors.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(
         "id is not null and text is not null and label is not null"
     )
-    ids = rows.select("id", "label").orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
-    least = F.broadcast(ids.select("id").distinct())
+    least = F.broadcast(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_rows))
+    # At most one row of an id leaves a task.
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), (F.col("label") != 0).cast("int").alias("label"), "text")).alias("row")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -106,7 +107,9 @@ def fit(
 
     found = (
         rows.join(least, "id", "left_semi")
-        .select(F.xxhash64("id").alias("h"), (F.col("label") != 0).cast("int").alias("label"), "text")
+        .groupBy("id")
+        .agg(first)
+        .select(F.xxhash64("id").alias("h"), "row.label", "row.text")
         .mapInPandas(vectors, "h long, label int, data binary")
         .toPandas()
         .sort_values(["h", "label", "data"], ignore_index=True)

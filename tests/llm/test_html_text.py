@@ -126,3 +126,26 @@ def test_elements_that_close_themselves(icon):
 
 def test_raw_elements_keep_their_end():
     assert main_text("<article><script src=/a/>var a;</script><p><svg><path d='M0'/><text>no</text></svg>One.</p></article>") == "One."
+
+
+PARAGRAPHS = "".join(f"<p>Absatz {i} mit etwas mehr Text, der gelesen werden soll, und einem Punkt.</p>" for i in range(6))
+
+
+def test_furniture_named_in_other_languages_and_hidden_elements():
+    expected = "\n".join(f"Absatz {i} mit etwas mehr Text, der gelesen werden soll, und einem Punkt." for i in range(6))
+    for furniture in (
+        '<div class="publicite"><p>Achetez maintenant, pas cher, ici et tout de suite!</p></div>',
+        "<div class='commentaires'><p>Premier commentaire, je ne suis pas du tout d'accord.</p></div>",
+        '<div id="werbung"><p>Jetzt kaufen, nur heute, so billig wie nie zuvor!</p></div>',
+        '<section class="comentarios"><p>Un comentario de un lector, bastante largo y con comas.</p></section>',
+        '<div class="hinweis"><p>Diese Seite verwendet Dinge, denen man zustimmen muss.</p></div>',
+        "<div hidden><p>Nicht zu sehen, aber lang genug, um Text zu sein.</p></div>",
+        '<div class="x" hidden=""><p>Nicht zu sehen, aber lang genug, um Text zu sein.</p></div>',
+        '<div style="color:red; display: none"><p>Nicht zu sehen, aber lang genug, um Text zu sein.</p></div>',
+        "<p style='visibility:hidden'>Nicht zu sehen, aber lang genug, um Text zu sein.</p>",
+        '<div class="warning"><p>Bitte beachten: das hier ist ein Hinweis und kein Artikel.</p></div>',
+    ):
+        for page in (f"<body><article>{PARAGRAPHS}{furniture}</article></body>", f"<body><article>{PARAGRAPHS}</article>{furniture}</body>", f"<body><div>{furniture}{PARAGRAPHS}</div></body>"):
+            assert main_text(page) == expected, page[:60] + furniture
+    for shown in ('<div data-x="hidden">', '<div class="overflow" style="overflow:hidden">', '<div data-state=\'is hidden here\'>', '<div style="display:block">'):
+        assert main_text(f"<article>{shown}{PARAGRAPHS}</div></article>") == expected, shown
