@@ -90,18 +90,19 @@ class IndexDefinition:
         candidates = (name, ALL_FIELDS, name.removesuffix(RANGE_SUFFIX))
         return next((self.sorting[c] for c in candidates if c in self.sorting), Sort.NONE)
 
-    def analyzer_of(self, name: str) -> str:
-        """The analyzer run on an analysed field.
+    def analyzer_of(self, name: str, querying: bool = False) -> str:
+        """The analyzer run on an analysed field, or on search text for it.
 
         Only an entry for the field itself chooses the keyword or the word
         analyzer; fields that are analysed through ``__all_fields`` and fields
         with a custom name run the lowercase keyword analyzer, unless a custom
-        analyzer of that name has been registered.
+        analyzer of that name has been registered. One that is not for queries is
+        passed over for search text, which then runs the lowercase keyword analyzer.
         """
-        from folioscan.functions.analysis import is_registered
+        from folioscan.functions.analysis import is_for_queries, is_registered
 
         custom = self.analyzers.get(name)
-        if custom is not None and is_registered(custom):
+        if custom is not None and is_registered(custom) and (not querying or is_for_queries(custom)):
             return custom
         own = self.indexing.get(name)
         if own is Indexing.NOT_ANALYZED:

@@ -23,11 +23,20 @@ _PATTERNS = {"standard": WORD_PATTERN, "stop": LETTER_PATTERN, "simple": LETTER_
 _DROPS_STOP_WORDS = {"standard", "stop"}
 _WHOLE_VALUE = {"keyword", "lowercase_keyword"}
 _custom: dict[str, Analyzer] = {}
+_not_for_queries: set[str] = set()
 
 
-def register_analyzer(name: str, analyzer: Analyzer) -> None:
-    """Make a custom analyzer available under the name used in ``IndexDefinition.analyzers``."""
+def register_analyzer(name: str, analyzer: Analyzer, for_queries: bool = True) -> None:
+    """Give a name to a function from a text column to an array of terms (null for a dropped one).
+
+    Without ``for_queries`` it runs on documents alone, and search text of its fields is analysed as if they had none.
+    """
     _custom[name] = analyzer
+    (_not_for_queries.discard if for_queries else _not_for_queries.add)(name)
+
+
+def is_for_queries(name: str) -> bool:
+    return name not in _not_for_queries
 
 
 def is_registered(name: str) -> bool:

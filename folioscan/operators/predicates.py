@@ -17,7 +17,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.definition import NULL_TERM, STOP_WORDS
+from folioscan.definition import NULL_TERM, STOP_WORDS, IndexDefinition
 from folioscan.functions import analysis
 from folioscan.functions.literals import Number, decode, is_typed
 
@@ -53,6 +53,12 @@ class SearchField:
         return terms[0][1]
 
 
+def search_field(definition: IndexDefinition, name: str) -> SearchField:
+    """How a definition's field is searched: its search text may run another analyzer than its documents did."""
+    multi = not analysis.is_whole_value(definition.analyzer_of(name))
+    return SearchField(name, definition.analyzer_of(name, querying=True), multi, definition.stop_words)
+
+
 # --- boolean combination ---------------------------------------------------------------------
 
 

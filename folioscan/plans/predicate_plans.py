@@ -266,6 +266,18 @@ def q_fuzzy_terms(table):
     return q.fuzzy_documents(index.postings("text"), "thering", 0.7, terms=index.terms("text"))
 
 
+# Documents keep the beginnings of their words; search text is taken as it is.
+analysis.register_analyzer("beginnings", lambda text: F.transform(F.split(F.lower(text), " "), lambda w: F.substring(w, 1, 3)), for_queries=False)
+_BEGINNINGS = IndexDefinition(name="parts", indexing={"p_name": Indexing.ANALYZED}, analyzers={"p_name": "beginnings"})
+
+
+@query("q_search_analyzer", "SELECT CAST(p_partkey AS VARCHAR) AS doc_id FROM part WHERE p_name LIKE 'blu%' OR p_name LIKE '% blu%'")
+def q_search_analyzer(table):
+    """A field whose documents run an analyzer that search text does not."""
+    docs = fields.document_table(table("part").select("p_partkey", "p_name"), "p_partkey", _BEGINNINGS)
+    return docs.filter(q.term(q.search_field(_BEGINNINGS, "p_name"), "blu")).select("doc_id")
+
+
 @query(
     "q_fuzzy_variants",
     f"""SELECT DISTINCT doc_id FROM ({sql.words("documents", "doc_id", "text")})

@@ -146,3 +146,19 @@ def test_phrases(spark, phrase):
     wanted = analysis.query_terms(phrase, "standard", STOP_WORDS)
     found = {int(r.doc_id) for r in p.phrase_documents(postings, wanted).collect()}
     assert found == ({i for i, t in enumerate(texts) if phrases(t, wanted)} if wanted else set())
+
+
+def test_an_analyzer_for_documents_alone(spark, monkeypatch):
+    from folioscan import IndexDefinition, Indexing
+    from folioscan.operators import predicates as q
+
+    monkeypatch.setattr(analysis, "_custom", {})
+    monkeypatch.setattr(analysis, "_not_for_queries", set())
+    definition = IndexDefinition("t", indexing={"a": Indexing.ANALYZED, "b": Indexing.ANALYZED, "c": Indexing.NOT_ANALYZED}, analyzers={"a": "halves"})
+    for for_queries, mode in ((False, "lowercase_keyword"), (True, "halves")):
+        analysis.register_analyzer("halves", lambda text: F.split(text, "-"), for_queries)
+        field = q.search_field(definition, "a")
+        assert field.multi and field.mode == mode and definition.analyzer_of("a") == "halves"
+    assert [t for _, t in q.search_field(definition, "a").analyze("x-y")] == ["x", "y"]
+    assert q.search_field(definition, "b").mode == "standard" and q.search_field(definition, "b").multi
+    assert q.search_field(definition, "c").mode == "keyword" and not q.search_field(definition, "c").multi
