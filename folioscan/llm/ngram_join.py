@@ -24,6 +24,8 @@ PER_TILE = 2048
 CELLS = 1 << 21
 HELD = 1 << 20
 MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("b1", "<u8"), ("b2", "<u8"), ("n", "<i8"), ("pos", "<i8")])
+# Bits of the broadcast table that tells which texts are read again: at most a million words, 16 MB.
+FILTER_BITS = 1 << 26
 PAIR = "a1 long, a2 long, b1 long, b2 long"
 
 
@@ -50,6 +52,21 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist())
 
 
+def odd_bits(hashes: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bytes of bits that tell whether the number of n-grams with that place (the hash modulo the bits) is odd.
+
+    Two sets differ at least in as many n-grams as there are bits that differ. Half as many bits as n-grams, but 128 at least
+    and a power of two, tell sets of little in common apart; ``fold`` brings more bits down to fewer.
+    """
+    bits = bits or max(128, 1 << (max(len(hashes), 1) // 2 - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def fold(odd: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(odd.reshape(-1, size), axis=0)
+
+
 @dataclass(frozen=True)
 class Order:
     """The global order of n-grams: by the count of their counter, rarest first, then by hash.
@@ -128,8 +145,8 @@ def _nearest(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """(id, k1, k2, n) of every text, and beside it a task's counts (counter, count) of the n-grams of its texts."""
-    schema = "id string, k1 long, k2 long, n long, counter int, count long"
+    """(id, k1, k2, n, odd) of every text, and beside it a task's counts (counter, count) of the n-grams of its texts."""
+    schema = "id string, k1 long, k2 long, n long, odd binary, counter int, count long"
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, held, waiting = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
@@ -138,10 +155,11 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
             return np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
 
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, odd = [], [], []
             for text in batch["text"]:
                 hashes = ngram_hashes(text, words)
                 keys.append(set_key(hashes))
+                odd.append(odd_bits(hashes).tobytes())
                 sizes.append(len(hashes))
                 held.append(hashes)
                 waiting += len(hashes)
@@ -149,11 +167,11 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
                     counts += count()
                     held, waiting = [], 0
             k1, k2 = zip(*keys, strict=True) if keys else ((), ())
-            yield pd.DataFrame({"id": batch["id"], "k1": pd.Series(k1, dtype="int64"), "k2": pd.Series(k2, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "counter": None, "count": None})
+            yield pd.DataFrame({"id": batch["id"], "k1": pd.Series(k1, dtype="int64"), "k2": pd.Series(k2, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "odd": odd, "counter": None, "count": None})
         if held:
             counts += count()
         some = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": None, "k1": None, "k2": None, "n": None, "counter": some, "count": counts[some]})
+        yield pd.DataFrame({"id": None, "k1": None, "k2": None, "n": None, "odd": None, "counter": some, "count": counts[some]})
 
     return docs.mapInPandas(describe, schema)
 
@@ -174,7 +192,7 @@ def _prefixes(docs: DataFrame, words: int, limit: Limit, shared) -> DataFrame:
                 k1, k2 = set_key(hashes)
                 sorted_, counters = order.sort(hashes)
                 p = limit.prefix(n)
-                odd = np.packbits((np.bincount((hashes & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8))
+                odd = odd_bits(hashes, 128)
                 rows = np.zeros(p, MEMBER)
                 rows["k1"], rows["k2"], rows["n"], rows["pos"] = k1, k2, n, np.arange(p)
                 rows["b1"], rows["b2"] = odd.view("<u8")
@@ -315,16 +333,49 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(_node("a1", "a2").alias("a"), _node("b1", "b2").alias("b")).distinct()
 
 
+def id_filter(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id may be among some: those whose hash's bit is set in a table of at most FILTER_BITS bits.
+
+    The table is broadcast as 64-bit words, so its size is bounded however many ids there are; a few others pass too.
+    """
+
+    def placed(name: str):
+        place = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+        return F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int")
+
+    word, bit = placed("id")
+    bits = ids.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    marked = docs.select("*", word, bit.alias("bit"))
+    is_set = F.expr("shiftright(bits, bit) & 1L") == 1
+    return marked.join(F.broadcast(bits), "word").filter(is_set).select(*docs.columns)
+
+
 @dataclass
 class _Texts:
-    """Where the n-grams of a set are found again."""
+    """Where the n-grams of a set are found again: the texts, and (node, n, odd, least) of each set, ``least`` being its least id."""
 
     docs: DataFrame
-    prints: DataFrame
+    sets: DataFrame
     words: int
     shared: object
     fragments: int
 
+    def possible(self, pairs: DataFrame, limit: Limit) -> DataFrame:
+        """The pairs that may be linked by all odd bits of their sets."""
+
+        def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keep = []
+                for x, y, total in zip(batch["a_odd"], batch["b_odd"], (batch["a_n"] + batch["b_n"]).tolist(), strict=True):
+                    size = min(len(x), len(y))
+                    differ = np.bitwise_count(fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)).sum()
+                    keep.append(differ <= total - 2 * limit.overlap(total))
+                yield batch.loc[keep, ["a", "b", "a_n", "b_n"]]
+
+        for side in ("a", "b"):
+            pairs = pairs.join(self.sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("odd").alias(f"{side}_odd")), side)
+        return pairs.mapInPandas(sieve, "a string, b string, a_n long, b_n long")
+
     def segments(self, nodes: DataFrame) -> DataFrame:
         """(node, fragment, grams): the sets of some nodes, cut by the fragments of the order."""
         words, shared = self.words, self.shared
@@ -342,27 +393,27 @@ class _Texts:
                     yield pd.DataFrame({"node": key, "fragment": [int(fragment[e - 1]) for e in ends], "grams": parts})
 
         # One text for each set is enough, found by the least id that has it.
-        ids = self.prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").cast("string").alias("_id")).distinct()
-        texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+        ids = written(self.sets.join(nodes, "node", "left_semi").select(F.col("least").cast("string").alias("id")).distinct(), "ngram-ids")
+        near = id_filter(self.docs, ids).join(ids.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        # Copies of a text leave a task as one row.
+        texts = near.groupBy("id", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text")).select("text")
         found = texts.mapInPandas(cut, "node string, fragment int, grams array<long>").join(nodes, "node", "left_semi")
         return written(found.dropDuplicates(["node", "fragment"]), "ngram-segments")
 
     def links(self, pairs: DataFrame, limit: Limit) -> DataFrame:
         """The pairs that are linked: partial overlaps are counted fragment by fragment and summed for each pair."""
-        pairs = written(pairs, "ngram-candidates")
+        pairs = written(self.possible(pairs, limit), "ngram-candidates")
         nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ngram-nodes")
         segments = self.segments(nodes)
-        pieces = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(self.fragments - 1))).alias("fragment"))
+        pieces = pairs.select("a", "b", "a_n", "b_n", F.explode(F.sequence(F.lit(0), F.lit(self.fragments - 1))).alias("fragment"))
 
         def of_side(side: str) -> DataFrame:
             counts = pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs"))
             return segments.join(counts, "node").select(F.col("node").alias(side), "fragment", F.col("grams").alias(f"{side}_grams"), "pairs")
 
         both = join_to_one(join_to_one(pieces, of_side("a"), ["a", "fragment"], "pairs"), of_side("b"), ["b", "fragment"], "pairs")
-        partial = both.select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
-        sizes = self.prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"))
-        total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-        total = total.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b")
+        partial = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
+        total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"))
         linked = F.lit(limit.of) * F.col("common") >= F.lit(limit.at_least) * (F.col("a_n") + F.col("b_n") - F.col("common"))
         return written(total.filter(linked).select("a", "b"), "ngram-links")
 
@@ -412,7 +463,7 @@ def linked_documents(
     Texts with equal sets are one set from the start. All n-grams stand in one order, rarest first by a sketch of their counts
     over all texts; the order is cut into ``fragments`` of equal mass. Linked sets share an n-gram among the first few of each,
     so sets meet there, in small groups as they stream by and in tiles of large ones. Of the pairs that sizes, places and odd
-    bits leave possible, those that are nearest to one of the two come first: their overlaps are counted fragment by fragment,
+    bits leave possible (128 bits where sets meet, then as many as suit their sizes), those that are nearest to one of the two come first: their overlaps are counted fragment by fragment,
     summed, and the links give components. Then all other possible pairs between different components are counted in
     the same way, so no link between components is missed, and a dense group makes few pairs.
 
@@ -436,7 +487,10 @@ def linked_documents(
     shared = spark.sparkContext.broadcast((order.count, order.place, order.fragment))
     prints = described.filter("n is not null").select(F.col("id").cast(id_type).alias("id"), "n", _node("k1", "k2").alias("node"))
     met = written(_groups(_prefixes(docs, words, limit, shared), limit), "ngram-met")
-    texts = _Texts(docs, prints, words, shared, fragments)
+    distinct = described.filter("n > 0").groupBy(_node("k1", "k2").alias("node"))
+    sets = distinct.agg(F.min("n").alias("n"), F.min("odd").alias("odd"), F.min(F.col("id").cast(id_type)).alias("least"), F.count("*").alias("rows"))
+    sets = written(sets, "ngram-distinct")
+    texts = _Texts(docs, sets, words, shared, fragments)
     pair, tiles = ["a1", "a2", "b1", "b2"], met.filter("kind = 2").select("token", "tile", "rows")
     first = met.filter("kind = 0").select(*pair).unionByName(_compare(_tile_pairs(tiles), limit, nearest=True))
     links = texts.links(_named(first), limit)
@@ -448,7 +502,6 @@ def linked_documents(
     more = _named(_compare(_tile_pairs(_labelled_tiles(tiles, labels)), limit, nearest=False))
     links = links.unionByName(texts.links(rest.unionByName(more).distinct(), limit))
     roots = components(links, "a", "b")
-    sets = prints.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     sets = written(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-roots")
     named = sets.groupBy("root").agg(F.min("least").alias("component"))
     of_set = written(sets.join(named, "root").select("node", "rows", "component"), "ngram-components")

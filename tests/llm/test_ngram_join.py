@@ -74,8 +74,8 @@ def test_dense_groups_and_odd_rows(spark, table, monkeypatch, settings):
     rows = list(enumerate(texts)) + [(500, None), (501, ""), (502, " \n"), (None, "x y z"), (None, "p q r s"), (3, texts[40]), (3, texts[40]), (None, None)]
     rng.shuffle(rows)
     docs = table([(*r, "a", "b", "c") for r in rows], SCHEMA)
-    assert of(ngram_join.linked_documents(docs)) == slow_groups(rows)
-    assert of(ngram_join.linked_documents(docs, words=2, at_least=70)) == slow_groups(rows, 2, 70)
+    words, at_least = (2, 70) if settings.get("SMALL") == 3 else (3, 90)
+    assert of(ngram_join.linked_documents(docs, words=words, at_least=at_least)) == slow_groups(rows, words, at_least)
 
 
 def test_empty_tables_and_limits(table):
@@ -94,3 +94,24 @@ def test_hashes_and_order():
     order = ngram_join.Order.of(counts, 8)
     mass = np.bincount(order.fragment, counts, minlength=8)
     assert mass.max() < 1.01 * mass.min() and (np.diff(order.fragment[np.argsort(order.place)]) >= 0).all()
+
+
+def test_odd_bits_bound_the_difference():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    for size, changed in ((3, 1), (300, 20), (5000, 0), (5000, 700), (4000, 4000)):
+        a, b = base[:size], np.r_[base[: size - changed], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]
+        x, y = ngram_join.odd_bits(a), ngram_join.odd_bits(b[: len(b) // 2 + 1])
+        assert len(x) * 8 >= max(128, size // 2) and (ngram_join.fold(x, 16) == ngram_join.odd_bits(a, 128)).all()
+        size = min(len(x), len(y))
+        differ = np.bitwise_count(ngram_join.fold(x, size) ^ ngram_join.fold(y, size)).sum()
+        assert differ <= len(np.setxor1d(a, b[: len(b) // 2 + 1]))
+
+
+def test_ids_that_may_be_wanted(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i) if i else None, "x") for i in range(500)], "id string, text string")
+    wanted = spark.createDataFrame([(None,), ("7",), ("499",)], "id string")
+    found = {r.id for r in ngram_join.id_filter(docs, wanted).collect()}
+    assert found >= {None, "7", "499"} and len(found) < 10
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)
+    assert {r.id for r in ngram_join.id_filter(docs, wanted).collect()} >= {None, "7", "499"}
