@@ -44,6 +44,23 @@ def test_repeated_queries_are_answered_as_often(table):
     assert run(table, rows) == sorted([(0, 1, 1, 131072), (0, 2, 1, 131072)] * 2)
 
 
+def test_floors_of_other_tiles_leave_out_what_cannot_be_among_the_best():
+    rng = np.random.default_rng(5)
+    q, c = (np.floor(rng.normal(size=(40, n)) * 80).astype(np.int64) for n in (70, 3000))
+    q_ids, c_ids = np.arange(70) + 10_000, np.arange(3000)
+    whole = {(i, j, s) for i, _, j, s in tile_search(q_ids, q, c_ids, c, 5, 8)}
+    floors = np.array([sorted((s for i, _, s in whole if i == n), reverse=True)[2] for n in range(70)], float)
+    kept = {(i, j, s) for i, _, j, s in tile_search(q_ids, q, c_ids, c, 5, 8, floors)}
+    assert kept == {(i, j, s) for i, j, s in whole if s >= floors[i]} and len(kept) < len(whole)
+    assert not list(tile_search(q_ids, q, c_ids, c, 5, 8, floors * 0 + 1e9))
+    assert {(i, j, s) for i, _, j, s in tile_search(q_ids, q, c_ids, c, 5, 8, floors * 0 - np.inf)} == whole
+
+
+def test_a_tie_with_a_floor_stays(table):
+    rows = [(i, [1.0, 0.0]) for i in range(0, 600, 10)] + [(i, [1.0, 0.0]) for i in range(1, 40, 2)]
+    assert run(table, rows, rows_per_tile=7, queries_per_tile=50, step=1) == brute(rows)
+
+
 def test_large_components_stay_exact():
     big = np.array([[1 << 40], [3]], dtype=np.int64)
     rows = np.array([[1 << 22, (1 << 22) + 1], [5, 4]], dtype=np.int64)
