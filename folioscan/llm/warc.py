@@ -10,7 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ GZIP = b"\x1f\x8b\x08"
 PART = 1 << 14
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+# Bytes after which a task goes on with another file, and the folder column that counts a task's files. A file is
+# read as one value of at most 2 GB, as is the longest text of a table.
+FILE_BYTES = 64 << 20
+FILE = "part-file"
 # Most groups of copies that are sent to every executor; more are joined by a shuffle.
 SENT_GROUPS = 200_000
 
@@ -62,16 +69,37 @@ def records_of(pages: DataFrame, id_col: str, url_col: str, body_col: str, least
     return rows.select(F.concat(head, F.lit("\r\n"), F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, per_file: int = 5000, date: str | None = None) -> None:
-    """Write one record per page as plain WARC files of at most ``per_file`` records below ``path``.
+def cut_by_bytes(records: DataFrame, file_bytes: int) -> DataFrame:
+    """``records`` with the number, within its task, of the file that each record goes to.
+
+    A file takes the records that begin in the same ``file_bytes`` of a task's running sum, so it is longer
+    than that by less than one record.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + len(END)
+            ends = before + np.cumsum(sizes)
+            files = pa.array((ends - sizes) // file_bytes, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("value"), files], names=["value", FILE])
+            before = int(ends[-1]) if len(ends) else before
+
+    return records.select("value").mapInArrow(number, f"value string, `{FILE}` long")
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, per_file: int = 0, date: str | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Write one record per page as plain WARC files below ``path``, of ``file_bytes`` and less than one record more.
 
     Of pages with the same payload of at least ``least`` bytes, that with the largest id becomes a response;
     the others become revisits that name it. Null payloads are empty ones, null urls too. Rows that repeat the
     response's id and payload are responses as well. A group of copies without any id is all responses.
     ``date`` is the time of capture as ISO 8601 text in UTC, by default that of the call; tasks that run again write the same.
+    ``per_file`` also bounds the records of a file, where it is not 0.
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    records_of(pages, id_col, url_col, body_col, least, date).write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    records = cut_by_bytes(records_of(pages, id_col, url_col, body_col, least, date), file_bytes)
+    records.write.partitionBy(FILE).option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
 @dataclass
@@ -234,7 +262,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, glob: s
 
     All files below it whose name fits ``glob`` are read, but those that Spark hides (names that begin with ``_`` or ``.``).
     Records are checked by version line, header, length, block digest and, for whole responses, payload digest. A file is read by one task, so
-    archives should be written in files that fit its memory. Empty files give no rows. Payloads are decoded
+    archives should be written in files that fit its memory, as ``write_warc`` does; one above 2 GB fails the job and is not left out. Empty files give no rows. Payloads are decoded
     as UTF-8, bytes that are none by the replacement character; digests and lengths come from the bytes.
     """
 

@@ -44,6 +44,18 @@ def test_records_have_the_named_fields(spark, table):
         assert r.headers["warc-date"] == "2020-02-03T04:05:06Z"
 
 
+def test_files_are_cut_by_bytes(spark, table):
+    """No file is longer than the budget and one record, also where a record is longer than the budget."""
+    rows = [(i, "u", chr(97 + i % 26) * (30_000 if i % 10 == 0 else 400) + str(i)) for i in range(200)]
+    path = archive(spark, table, rows, file_bytes=8000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()]
+    found = [salvage(data) for data in files]
+    assert sum(len(f.records) for f in found) == len(rows) and not any(f.gaps for f in found)
+    for data, f in zip(files, found, strict=True):
+        assert max(r.offset for r in f.records) < 8000 and len(data) < 8000 + 32_000
+    assert len(files) > 30 and {page_of_text(r.headers["warc-record-id"]) for f in found for r in f.records} == {str(i) for i in range(200)}
+
+
 def test_ties_and_missing_ids(spark, table):
     body = "z" * 2000
     path = archive(spark, table, [(5, "a", body), (5, "a", body), (3, "a", body), (None, "a", body)])
