@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ FIELD_BLOCK = 4 << 20
 POSTING_SCHEMA = "doc_id string, ord int, pos int, start_off int, end_off int, term string, rng int, field string"
 TERM_SCHEMA = "term string, doc_freq bigint, total_freq bigint, field string, version int"
 SUMMED = ("documents", "fields", "postings", "terms", "bounds")
-BOUND_SCHEMA = "term string, rng int, most bigint, field string, version int"
+BOUND_SCHEMA = "term string, rng int, most bigint, docs bigint, total bigint, field string, version int"
 
 
 def merged_type(a: T.DataType, b: T.DataType, name: str) -> T.DataType:
@@ -56,6 +57,14 @@ def merged_schema(schemas: list[T.StructType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
+def sum_of_hashes(values: Column) -> Column:
+    """The exact sum of longs, as a decimal; three sums of 22 bits or less each, as sums of decimals are slow by the row."""
+    low = F.lit((1 << 22) - 1)
+    parts = [F.sum(values.bitwiseAND(low)), F.sum(F.shiftright(values, 22).bitwiseAND(low)), F.sum(F.shiftright(values, 44))]
+    whole = [part.cast("decimal(20,0)") * F.lit(1 << 22 * i).cast("decimal(15,0)") for i, part in enumerate(parts)]
+    return reduce(lambda a, b: a + b, whole).cast("decimal(38,0)")
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -132,7 +141,7 @@ class IndexFolder:
         id_ = F.lower(F.col(doc_id).cast("string"))
         # One pass over the source; what follows looks at ids and hashes alone.
         ids = written(source.select(id_.alias("doc_id"), F.xxhash64(F.to_json(F.struct(*source.columns))).alias("hash")), "ids")
-        rows, null_ids, content = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.sum(F.col("hash").cast("decimal(38,0)"))).first()
+        rows, null_ids, content = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), sum_of_hashes(F.col("hash"))).first()
         batch_id = batch_id or f"{rows} rows, {content}"
         if not rows or self._is_written(version, batch_id):
             return False
@@ -169,7 +178,7 @@ class IndexFolder:
         """
         wanted = ids.select(F.lower(F.col(doc_id).cast("string")).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
         wanted = written(wanted, "ids")
-        rows, content = wanted.agg(F.count("*"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))).first()
+        rows, content = wanted.agg(F.count("*"), sum_of_hashes(F.xxhash64("doc_id"))).first()
         batch_id = batch_id or f"{rows} deleted, {content}"
         if not rows or self._is_written(version, batch_id):
             return False
@@ -228,26 +237,39 @@ class IndexFolder:
         return self._bucketed_postings(version, buckets).groupBy("field", "term", "rng", "doc_id").agg(F.count("*").alias("tf"))
 
     def term_bounds(self, version: int, buckets: int) -> DataFrame:
-        return self._frequencies(version, buckets).groupBy("field", "term", "rng").agg(F.max("tf").alias("most"))
+        """(field, term, rng, most, docs, total): the greatest frequency of a term in a range of documents, its documents and occurrences there."""
+        counts = [F.max("tf").alias("most"), F.count("*").alias("docs"), F.sum("tf").alias("total")]
+        return self._frequencies(version, buckets).groupBy("field", "term", "rng").agg(*counts)
+
+    def term_changes(self, version: int, buckets: int, bounds: DataFrame | None = None) -> DataFrame:
+        """(field, term, doc_freq, total_freq): what a version adds to the dictionary, less what it takes from it.
 
-    def term_changes(self, version: int, buckets: int) -> DataFrame:
-        """(field, term, doc_freq, total_freq): what a version adds to the dictionary, less what it takes from it."""
+        What it adds is counted from its postings, or added up from the ``bounds`` of the version, if given.
+        """
         signed = []
-        if version in self._of_table("postings"):
-            signed.append(self._frequencies(version, buckets).withColumn("sign", F.lit(1)))
+        if bounds is not None:
+            signed.append(bounds.select("field", "term", F.col("docs").alias("doc_freq"), F.col("total").alias("total_freq")))
+        elif version in self._of_table("postings"):
+            added = self._frequencies(version, buckets)
+            signed.append(added.select("field", "term", F.lit(1).cast("bigint").alias("doc_freq"), F.col("tf").alias("total_freq")))
         for was in self._left_of([version]):
             gone = self._bucketed_postings(was, buckets).join(self._left(was, [version], buckets), "doc_id", "left_semi")
-            signed.append(gone.groupBy("field", "term", "rng", "doc_id").agg(F.count("*").alias("tf")).withColumn("sign", F.lit(-1)))
-        stats = union_all(signed).groupBy("field", "term").agg(F.sum("sign").cast("bigint").alias("doc_freq"), F.sum(F.col("sign") * F.col("tf")).alias("total_freq"))
+            taken = gone.groupBy("field", "term", "rng", "doc_id").agg(F.count("*").alias("tf"))
+            signed.append(taken.select("field", "term", F.lit(-1).cast("bigint").alias("doc_freq"), (-F.col("tf")).alias("total_freq")))
+        stats = union_all(signed).groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
         return stats.filter("doc_freq != 0 or total_freq != 0")
 
     def _write_terms(self, version: int, buckets: int) -> None:
-        tables = {"terms": (self.term_changes(version, buckets), ["field", "term"])}
+        """Bounds from the postings, in one pass over them, and the dictionary from the bounds."""
+        bounds = None
         if version in self._of_table("postings"):
-            tables["bounds"] = (self.term_bounds(version, buckets), ["field", "term", "rng"])
-        for name, (rows, order) in tables.items():
-            ordered = rows.hint("rebalance", F.col("field")).sortWithinPartitions(*order)
-            ordered.write.mode("overwrite").partitionBy("field").parquet(self._table(name, version))
+            self._write_by_field(self.term_bounds(version, buckets), "bounds", version, ["term", "rng"])
+            bounds = self.spark.read.schema(self._stored_schema("bounds")).parquet(self._table("bounds")).filter(F.col("version") == version)
+        self._write_by_field(self.term_changes(version, buckets, bounds), "terms", version, ["term"])
+
+    def _write_by_field(self, rows: DataFrame, name: str, version: int, order: list[str]) -> None:
+        ordered = rows.hint("rebalance", F.col("field")).sortWithinPartitions("field", *order)
+        ordered.write.mode("overwrite").partitionBy("field").parquet(self._table(name, version))
 
     def content_sums(self, name: str, versions: list[int]) -> DataFrame:
         """(version, name, field, rows, content) of stored rows, in any order of them: a sum of hashes for each version and field."""
@@ -259,7 +281,7 @@ class IndexFolder:
 
     def _sums(self, rows: DataFrame, name: str) -> DataFrame:
         columns = sorted(c for c in rows.columns if c != "version")
-        sums = [F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("content")]
+        sums = [F.count("*").alias("rows"), sum_of_hashes(F.xxhash64(*columns)).alias("content")]
         return rows.groupBy("version", F.lit(name).alias("name"), "field").agg(*sums)
 
     def _stored_schema(self, name: str) -> T.StructType:

@@ -204,3 +204,11 @@ def test_planted_damage_is_found_and_repaired(model, spark):
 
 def test_a_check_of_no_index(spark):
     assert index_check.check_kept_index(IndexFolder(spark, scratch_path(spark, "none"), TEXTS)).collect() == []
+
+
+def test_sums_of_hashes_are_exact(spark):
+    """Also at both ends of a long, for nulls, and without rows."""
+    values = [-(2**63), 2**63 - 1, -1, 0, 1, None, -(2**44), 2**22 - 1, 2**63 - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "h long")
+    assert int(rows.agg(sum_of_hashes(F.col("h"))).first()[0]) == sum(v for v in values if v is not None)
+    assert rows.filter("h = 5").agg(sum_of_hashes(F.col("h"))).first()[0] is None
