@@ -10,7 +10,7 @@ from folioscan import IndexDefinition, Indexing
 from folioscan.operators import index_check, ranking
 from folioscan.operators import predicates as q
 from folioscan.operators.bounded_topk import range_bounds, term_idfs, top_documents
-from folioscan.operators.index_store import POSTING_ORDER, IndexFolder
+from folioscan.operators.index_store import POSTING_ORDER, IndexFolder, sum_of_hashes
 from folioscan.operators.postings import text_term_stats
 from folioscan.session import scratch_path
 from folioscan.streaming.poll import IndexPoll
