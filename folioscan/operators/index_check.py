@@ -77,7 +77,7 @@ def repair_kept_index(index: IndexFolder) -> list[tuple[int, str]]:
     for v in whole:
         if (v, "postings") in faults:
             stored = index.spark.read.schema(index._stored_schema("fields")).parquet(index._table("fields")).filter(F.col("version") == v).drop("version")
-            index._write_postings(field_postings(written(stored, "fields"), index.definition), v, *layout)
+            index._write_postings(field_postings(written(stored, "fields").repartition(layout[0], "doc_id"), index.definition), v, *layout, dealt=True)
     mended = {v for v, name in faults if name in DERIVED | {"sums"}}
     later = {by for was, bys in index._left_of(index.versions()).items() if was in mended for by in bys}
     for v in sorted(mended | later):

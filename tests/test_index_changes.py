@@ -212,3 +212,19 @@ def test_sums_of_hashes_are_exact(spark):
     rows = spark.createDataFrame([(v,) for v in values], "h long")
     assert int(rows.agg(sum_of_hashes(F.col("h"))).first()[0]) == sum(v for v in values if v is not None)
     assert rows.filter("h = 5").agg(sum_of_hashes(F.col("h"))).first()[0] is None
+
+
+def test_buckets_follow_postings(spark, plan, monkeypatch):
+    """Buckets stay small enough to sort in memory, and counts of many of them are dealt over as many tasks."""
+    monkeypatch.setattr("folioscan.operators.index_store.BUCKET_POSTINGS", 20)
+    rng = random.Random(8)
+    model = Model(spark)
+    model.write(1, {f"d{i}": " ".join(rng.choices(WORDS, k=6)) for i in range(30)})
+    buckets, _ = model.index._layout()
+    assert buckets > 8
+    assert re.search(rf"hashpartitioning\(field#\d+, term#\d+, rng#\d+, {buckets}\), REPARTITION_BY_NUM", plan(model.index.term_bounds(1, buckets)))
+    model.check()
+    model.write(2, {f"d{i}": "blue axle" for i in range(0, 30, 4)})
+    model.delete(3, ["d1", "d2"])
+    model.check()
+    assert model.index._layout()[0] == buckets
