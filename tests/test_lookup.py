@@ -64,6 +64,28 @@ def test_likeness_by_variants(dictionary, variants, plan):
         variants.near("something", 0.1)
 
 
+def test_variants_take_about_a_row_a_letter(spark, dictionary, variants):
+    letters = dictionary.filter("term is not null and term != '' and length(term) <= 32").agg(F.sum(F.length("term") + 2)).first()[0]
+    assert spark.read.parquet(variants.path).filter("variant is not null").count() <= letters
+
+
+def test_searches_meet_documents_without_a_shuffle(spark, plan, monkeypatch):
+    """No shuffle of what meets; the same answers when searches take several passes; ids that repeat."""
+    clause = [("f", "a"), ("f", "b")]
+    searches = [(i, clause[: 1 + i % 2], [("f", "c")] if i % 3 == 0 else None, [("n", i, None)]) for i in range(12)]
+    kept = StoredSearches(spark, scratch_path(spark, "searches")).write(spark.createDataFrame(searches, SEARCHES), spark.createDataFrame([], "field string, term string, doc_freq bigint"))
+    rows = [(f"d{i}", [f"f\x01{t}" for t in "abc"[: 1 + i % 3]], {"n": i}) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, terms array<string>, numbers map<string,bigint>")
+    answers = sorted((s, f"d{d}") for s, must, none, _ in searches for d in range(20) if len(must) <= 1 + d % 3 and not (none and d % 3 == 2) and d >= s)
+    found = kept.matches(docs, numbers="numbers")
+    assert "Exchange hashpartitioning" not in plan(found) and "Exchange (" not in plan(found).replace("BroadcastExchange (", "")
+    assert sorted(map(tuple, found.collect())) == answers and len(answers) > 20
+    monkeypatch.setattr("folioscan.operators.stored_searches.AT_ONCE", 5)
+    assert sorted(map(tuple, kept.matches(docs, numbers="numbers").collect())) == answers
+    twice = sorted(map(tuple, kept.matches(docs.union(docs.filter("doc_id = 'd9'")), numbers="numbers").collect()))
+    assert twice == sorted(answers + [a for a in answers if a[1] == "d9"] * 3)
+
+
 def test_texts_with_letters_left_out(spark):
     for text in ("", "a", "abca", "wörd"):
         for letters in (0, 1, 2):
