@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.operators.predicates import fuzzy_term, wildcard_regex
+from folioscan.session import written
 
 # They stand before the first and after the last letter of a term; no analyzer puts them in one.
 FIRST, LAST = "\x02", "\x03"
 GRAM = 3
+# Rows of a table that a task sorts.
+RANGE_ROWS = 4_000_000
 
 
 def _sorted(rows: DataFrame, path: str, *order: str, partitions: int | None = None) -> None:
@@ -22,6 +25,13 @@ def _sorted(rows: DataFrame, path: str, *order: str, partitions: int | None = No
     ranged.write.mode("errorifexists").parquet(path)
 
 
+def _known(terms: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct terms, written once, as finding ranges reads them twice; and ranges enough for a row a letter."""
+    known = written(terms.select("term").filter("term is not null and term != ''").distinct(), "terms")
+    letters = known.agg(F.sum(F.length("term"))).first()[0] or 0
+    return known, max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(letters / RANGE_ROWS))
+
+
 def term_grams(term: Column) -> Column:
     """The distinct letter triples of a term with a mark before and after it."""
     marked = F.concat(F.lit(FIRST), term, F.lit(LAST))
@@ -43,8 +53,8 @@ class GramTable:
 
     def write(self, terms: DataFrame, partitions: int | None = None) -> GramTable:
         """Make the table from the ``term`` column of a dictionary. Null and empty terms have no triples."""
-        known = terms.select("term").filter("term is not null and term != ''").distinct()
-        _sorted(known.select(F.explode(term_grams(F.col("term"))).alias("gram"), "term"), self.path, "gram", "term", partitions=partitions)
+        known, ranges = _known(terms)
+        _sorted(known.select(F.explode(term_grams(F.col("term"))).alias("gram"), "term"), self.path, "gram", "term", partitions=partitions or ranges)
         return self
 
     def matching(self, pattern: str, terms: DataFrame | None = None) -> DataFrame:
@@ -83,12 +93,30 @@ def shortened_text(text: str, letters: int) -> set[str]:
     return {"".join(c for i, c in enumerate(text) if i not in gone) for n in range(min(letters, len(text)) + 1) for gone in combinations(range(len(text)), n)}
 
 
+def halves(term: Column) -> list[Column]:
+    """The two halves of a term; the second has the odd letter."""
+    middle = F.floor(F.length(term) / 2).cast("int")
+    return [F.substring(term, F.lit(1), middle), F.substring(term, middle + 1, F.length(term))]
+
+
+def half_texts(wanted: str, edits: int, left_out: int, longest: int) -> set[tuple[int, int, str]]:
+    """(half, length of the term, text) that a term within some edits may share with a text: one half has at most half of the edits."""
+    out = set()
+    for length in range(max(1, len(wanted) - edits), min(longest, len(wanted) + edits) + 1):
+        for cut in range(max(0, length // 2 - edits), min(len(wanted), length // 2 + edits) + 1):
+            for half, part in enumerate((wanted[:cut], wanted[cut:])):
+                out |= {(half, length, text) for text in shortened_text(part, left_out)}
+    return out
+
+
 @dataclass(frozen=True)
 class VariantTable:
-    """(variant, term): hashes of what a term becomes when up to ``letters`` letters are left out, sorted by hash.
+    """(variant, term): hashes of what each half of a term becomes when letters are left out, sorted by hash.
 
-    Two terms within that edit distance share a variant, so like terms meet by equality. Terms of more than ``longest``
-    letters, which would have very many variants, have one row with a null hash and are compared one by one.
+    Of two terms within ``letters`` edits, one half has at most half of the edits, so it is enough to leave so many letters out of
+    each half: a row or so a letter, where leaving two out of whole terms makes some fifty rows a term. Terms
+    that share half, length and what is left are compared. Terms of more than ``longest`` letters have one row
+    with a null hash and are compared one by one.
     """
 
     spark: SparkSession
@@ -96,13 +124,18 @@ class VariantTable:
     letters: int = 2
     longest: int = 32
 
+    @staticmethod
+    def _marked(half: int):
+        return lambda text: F.struct(F.lit(half).alias("half"), F.length("term").alias("length"), text.alias("text"))
+
     def write(self, terms: DataFrame, partitions: int | None = None) -> VariantTable:
-        known = terms.select("term").filter("term is not null and term != ''").distinct()
+        known, ranges = _known(terms)
         short = F.length("term") <= self.longest
-        hashed = known.filter(short).select(F.explode(shortened(F.col("term"), self.letters)).alias("text"), "term")
-        rows = hashed.select(F.xxhash64("text").alias("variant"), "term")
+        texts = [F.transform(shortened(part, self.letters // 2), self._marked(half)) for half, part in enumerate(halves(F.col("term")))]
+        hashed = known.filter(short).select(F.explode(F.concat(*texts)).alias("m"), "term")
+        rows = hashed.select(F.xxhash64("m.half", "m.length", "m.text").alias("variant"), "term")
         rows = rows.unionByName(known.filter(~short).select(F.lit(None).cast("bigint").alias("variant"), "term"))
-        _sorted(rows, self.path, "variant", "term", partitions=partitions)
+        _sorted(rows, self.path, "variant", "term", partitions=partitions or ranges)
         return self
 
     def near(self, wanted: str, min_similarity: float = 0.5, prefix_length: int = 0, terms: DataFrame | None = None) -> DataFrame:
@@ -120,8 +153,9 @@ class VariantTable:
         rows = self.spark.read.schema("variant bigint, term string").parquet(self.path)
         meets = F.col("variant").isNull()
         if len(wanted) <= self.longest + edits:
-            texts = self.spark.createDataFrame([(t,) for t in sorted(shortened_text(wanted, edits))], "text string")
-            hashes = [r[0] for r in texts.select(F.xxhash64("text")).collect()]
+            shared = sorted(half_texts(wanted, edits, self.letters // 2, self.longest))
+            texts = self.spark.createDataFrame(shared, "half int, length int, text string")
+            hashes = [r[0] for r in texts.select(F.xxhash64("half", "length", "text")).collect()]
             meets = F.col("variant").isin(*hashes) | meets if len(wanted) + edits > self.longest else F.col("variant").isin(*hashes)
         return rows.filter(meets).filter(rule).select("term").distinct()
 
