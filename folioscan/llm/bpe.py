@@ -269,6 +269,13 @@ def worker_encoder(key: str, shared: Broadcast) -> Encoder:
     return _encoders[key]
 
 
+def slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches in slices of ``TEXTS`` rows, so that a worker holds the ids of one slice only and hands it on."""
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def encode(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
     """Token ids (array<int>) of whole texts. Null and empty texts have none. Special tokens' strings become their ids."""
     shared, key = spark.sparkContext.broadcast(vars(vocabulary)), uuid.uuid4().hex
@@ -276,12 +283,10 @@ def encode(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = worker_encoder(key, shared)
-        for batch in batches:
-            found = []
-            for at in range(0, len(batch), TEXTS):
-                some = [t or "" for t in batch.slice(at, TEXTS).to_pylist()]
-                encoder.learn(some)
-                found += map(encoder.encode, some)
+        for some in slices(batches):
+            known = [t or "" for t in some.to_pylist()]
+            encoder.learn(known)
+            found = [*map(encoder.encode, known)]
             ends = np.cumsum([0, *map(len, found)])
             if ends[-1] < 1 << 31:
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
@@ -303,19 +308,15 @@ def decode(spark: SparkSession, vocabulary: Vocabulary, ids: Column) -> Column:
         n = len(shared.value)
         # One more token, without bytes, stands for null and unknown ids.
         tokens = pa.array([*shared.value, b""], pa.binary())
-        for batch in batches:
-            out = []
-            for at in range(0, len(batch), TEXTS):
-                lists = batch.slice(at, TEXTS)
-                places = pc.fill_null(lists.flatten(), n).to_numpy(zero_copy_only=False)
-                places = np.where((places >= 0) & (places < n), places, n)
-                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.take(pa.array(places))), b"")
-                try:
-                    found = joined.cast(pa.string())
-                except pa.ArrowInvalid:  # some text is no UTF-8
-                    found = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
-                out.append(pc.if_else(lists.is_valid(), found, pa.scalar(None, pa.string())))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.string())
+        for lists in slices(batches):
+            places = pc.fill_null(lists.flatten(), n).to_numpy(zero_copy_only=False)
+            places = np.where((places >= 0) & (places < n), places, n)
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.take(pa.array(places))), b"")
+            try:
+                found = joined.cast(pa.string())
+            except pa.ArrowInvalid:  # some text is no UTF-8
+                found = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+            yield pc.if_else(lists.is_valid(), found, pa.scalar(None, pa.string()))
 
     return texts(ids)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,9 @@ def test_columns(spark, table, library):
     odd = table([([220, None, 10**6, -1],), (None,), ([126, 250],), ([],)], "ids array<int>").select(bpe.decode(spark, vocabulary, F.col("ids"))).collect()
     assert sorted((r[0] for r in odd), key=repr) == sorted([" ", None, library.decode([126, 250], skip_special_tokens=False), ""], key=repr)
     assert table([], "text string").select(bpe.encode(spark, vocabulary, F.col("text"))).collect() == []
+
+
+def test_batches_are_handed_on_in_slices():
+    """A worker holds the ids of a few texts, not of a whole batch."""
+    found = [len(part) for part in bpe.slices(iter([pa.array(["a"] * 1200), pa.array([], pa.string()), pa.array(["b"])]))]
+    assert found == [500, 500, 200, 1]
