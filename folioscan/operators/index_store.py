@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 
 from folioscan.definition import IndexDefinition
 from folioscan.functions import analysis
-from folioscan.operators.fields import FIELD_SCHEMA, document_table, field_rows
+from folioscan.operators.fields import FIELD_SCHEMA, FieldRule, document_id, document_table, field_rows, field_rules, items_of, source_term
 from folioscan.operators.postings import field_postings
 from folioscan.operators.upsert import latest
-from folioscan.session import written
+from folioscan.session import settings, written
 
 # Types in which a column may grow from version to version.
 _WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
@@ -37,8 +37,12 @@ POSTING_ORDER = ["term", "rng", "doc_id", "ord", "pos"]
 BUCKET_POSTINGS = 2_000_000
 # Bytes of text for each word of it, the blank after it included; a low guess makes more buckets.
 WORD_BYTES = 6
-# Bytes of a row group of fields: a file is read by several tasks, as making words of it takes long.
+# Bytes of a row group of fields; a task holds one for each of its open files.
 FIELD_BLOCK = 4 << 20
+# Files that a task holds open at once, one for each field; with more fields Spark sorts the rows instead.
+OPEN_FILES = 64
+# Of what an index keeps; about a fourth smaller than Spark's default.
+COMPRESSION = "zstd"
 POSTING_SCHEMA = "doc_id string, ord int, pos int, start_off int, end_off int, term string, rng int, field string"
 TERM_SCHEMA = "term string, doc_freq bigint, total_freq bigint, field string, version int"
 SUMMED = ("documents", "fields", "postings", "terms", "bounds")
@@ -146,9 +150,10 @@ class IndexFolder:
         are as many as the session's shuffles have partitions, or more for a large batch (``BUCKET_POSTINGS``).
         """
         id_ = F.lower(F.col(doc_id).cast("string"))
-        # One pass over the source; what follows looks at ids and hashes alone.
-        ids = written(source.select(id_.alias("doc_id"), F.xxhash64(F.to_json(F.struct(*source.columns))).alias("hash")), "ids")
-        rows, null_ids, content = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), sum_of_hashes(F.col("hash"))).first()
+        # One pass over the source; what follows looks at ids, hashes and numbers of postings alone.
+        about = [id_.alias("doc_id"), F.xxhash64(F.to_json(F.struct(*source.columns))).alias("hash"), self._posting_count(source, doc_id).alias("postings")]
+        ids = written(source.select(*about), "ids")
+        rows, null_ids, content, postings = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), sum_of_hashes(F.col("hash")), F.sum("postings")).first()
         batch_id = batch_id or f"{rows} rows, {content}"
         if not rows or self._is_written(version, batch_id):
             return False
@@ -163,18 +168,18 @@ class IndexFolder:
             # Written once, as both the fields and the documents are made from it.
             batch = written(latest(source.withColumn(doc_id, F.lower(F.col(doc_id).cast("string"))), doc_id, seq), "batch")
             added = batch.count()
-        # Brought together by field, so that files follow the fields' sizes and not the number of tasks.
-        fields = field_rows(batch, doc_id, self.definition).hint("rebalance", F.col("field"))
-        fields.write.mode("overwrite").option("parquet.block.size", FIELD_BLOCK).partitionBy("field").parquet(self._table("fields", version))
-        stored = self.spark.read.schema(FIELD_SCHEMA).parquet(self._table("fields", version))
-        buckets, ranges = self._layout() or (partitions or self.buckets or self._buckets_for(stored), self.ranges)
-        # Values are dealt to their buckets before words are made of them: a text is far smaller than its postings.
-        self._write_postings(field_postings(stored.repartition(buckets, "doc_id"), self.definition), version, buckets, ranges, dealt=True)
+        buckets, ranges = self._layout() or (partitions or self.buckets or self._buckets_for(postings), self.ranges)
+        # Rows of the source are dealt to the buckets of their documents once, before fields and words are made of them: they
+        # are fewer than their fields, and smaller than their postings.
+        stored = self._write_fields(self._dealt(batch, doc_id, buckets), doc_id, version, buckets)
+        with settings(self.spark, {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}):
+            # A task of the write reads a bucket; Spark would else cut the files as it likes.
+            self._write_postings(field_postings(stored, self.definition), version, buckets, ranges, dealt=True)
         self._write_left(ids.select("doc_id"), version, buckets)
         self._write_terms(version, buckets)
         self._write_batch(version, batch_id, buckets, ranges, added)
         documents = document_table(batch, doc_id, self.definition)
-        documents.write.mode("overwrite").parquet(self._table("documents", version))
+        documents.write.mode("overwrite").option("compression", COMPRESSION).parquet(self._table("documents", version))
         self.write_sums(version)
         return True
 
@@ -224,16 +229,40 @@ class IndexFolder:
     def _shuffle_partitions(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _buckets_for(self, fields: DataFrame) -> int:
+    def _posting_count(self, source: DataFrame, doc_id: str) -> Column:
+        """About how many postings a row of the source makes, one at least for each field."""
+
+        def count(rule: FieldRule) -> Column:
+            value = F.col(f"`{rule.column}`")
+            items = items_of(rule, value) if rule.depth else F.array(value)
+            if rule.mode in ("none", *analysis.WHOLE_VALUE):
+                return F.greatest(F.size(items), F.lit(1)).cast("double") if rule.depth else F.lit(1.0)
+            words = F.transform(items, lambda x: F.octet_length(source_term(rule, x)) / WORD_BYTES + 1)
+            return F.coalesce(F.aggregate(words, F.lit(0.0), lambda total, x: total + x), F.lit(1.0))
+
+        return reduce(lambda a, b: a + b, [F.lit(0.0), *[count(r) for r in field_rules(source, self.definition, skip=(doc_id,))]])
+
+    def _buckets_for(self, postings: float | None) -> int:
         """Buckets for a first version: no fewer than shuffles have partitions, and enough that each can be sorted in memory."""
-        whole = F.col("mode").isin("none", *analysis.WHOLE_VALUE)
-        postings = F.when(whole, 1).otherwise(F.octet_length("term") / WORD_BYTES + 1)
-        return max(self._shuffle_partitions(), ceil((fields.agg(F.sum(postings)).first()[0] or 0) / BUCKET_POSTINGS))
+        return max(self._shuffle_partitions(), ceil((postings or 0) / BUCKET_POSTINGS))
+
+    @staticmethod
+    def _dealt(batch: DataFrame, doc_id: str, buckets: int) -> DataFrame:
+        """Rows of the source in the buckets of their documents."""
+        return batch.repartition(buckets, document_id(F.col(doc_id)))
+
+    def _write_fields(self, dealt: DataFrame, doc_id: str, version: int, buckets: int) -> DataFrame:
+        """Write the fields of dealt rows as they come, a file for each field and bucket, and read them back by bucket."""
+        writer = field_rows(dealt, doc_id, self.definition).write.mode("overwrite").format("parquet").partitionBy("field").bucketBy(buckets, "doc_id")
+        writer = writer.options(compression=COMPRESSION, **{"parquet.block.size": FIELD_BLOCK}).option("path", self._table("fields", version))
+        with settings(self.spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+            writer.saveAsTable(self._catalog_name(f"fields_{version}"))
+        return self.spark.table(self._catalog_name(f"fields_{version}"))
 
     def _save(self, rows: DataFrame, name: str, version: int, buckets: int, partition: str, order: list[str], dealt: bool = False) -> None:
         """Write rows in buckets of documents, each sorted; ``dealt`` rows lie by bucket already. The write itself asks Spark for the sort."""
         writer = (rows if dealt else rows.repartition(buckets, "doc_id")).write.mode("overwrite").format("parquet").partitionBy(partition)
-        writer = writer.bucketBy(buckets, "doc_id").sortBy(*order).option("path", self._table(name, version))
+        writer = writer.bucketBy(buckets, "doc_id").sortBy(*order).options(compression=COMPRESSION, path=self._table(name, version))
         writer.saveAsTable(self._catalog_name(f"{name}_{version}"))
 
     def _write_postings(self, postings: DataFrame, version: int, buckets: int, ranges: int, dealt: bool = False) -> None:
@@ -274,7 +303,8 @@ class IndexFolder:
             added = self._frequencies(version, buckets)
             signed.append(added.select("field", "term", F.lit(1).cast("bigint").alias("doc_freq"), F.col("tf").alias("total_freq")))
         for was in self._left_of([version]):
-            gone = self._bucketed_postings(was, buckets).join(self._left(was, [version], buckets), "doc_id", "left_semi")
+            # The ids of a bucket are looked up; a merge would sort all postings of the earlier version.
+            gone = self._bucketed_postings(was, buckets).join(self._left(was, [version], buckets).hint("shuffle_hash"), "doc_id", "left_semi")
             taken = gone.groupBy("field", "term", "rng", "doc_id").agg(F.count("*").alias("tf"))
             signed.append(taken.select("field", "term", F.lit(-1).cast("bigint").alias("doc_freq"), (-F.col("tf")).alias("total_freq")))
         stats = union_all(signed).groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
@@ -291,7 +321,7 @@ class IndexFolder:
     def _write_by_field(self, rows: DataFrame, name: str, version: int, order: list[str]) -> None:
         """Write counts as their grouping has dealt them."""
         ordered = rows.sortWithinPartitions("field", *order)
-        ordered.write.mode("overwrite").partitionBy("field").parquet(self._table(name, version))
+        ordered.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("field").parquet(self._table(name, version))
 
     def content_sums(self, name: str, versions: list[int]) -> DataFrame:
         """(version, name, field, rows, content) of stored rows, in any order of them: a sum of hashes for each version and field."""
