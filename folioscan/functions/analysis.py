@@ -134,9 +134,10 @@ def running_sums(values: Column, levels: int = 2) -> Column:
 
         def fill(ends: Column) -> Column:
             def inside(b: Column) -> Column:
-                before = F.coalesce(F.get(ends, b - 1), zero)
+                before = F.array(F.coalesce(F.get(ends, b - 1), zero))
                 block = F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))
-                return F.transform(block, lambda _, i: before + total(F.slice(v, b * _BLOCK + 1, i + 1)))
+                sums = F.aggregate(block, before, lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+                return F.slice(sums, F.lit(2), F.lit(_BLOCK))
 
             return F.flatten(F.transform(blocks, inside))
 
