@@ -16,6 +16,7 @@ from folioscan.plans.predicate_plans import VISIT_MATCH, VISIT_TERMS, visit_bran
 from folioscan.plans.registry import query
 from folioscan.session import scratch_path
 from folioscan.sources import visits
+from folioscan.sources.tables import spread
 
 PAGE = 50
 TERMS = ["from", "les", "under"]
@@ -31,7 +32,7 @@ def _score(name="score"):
 def write_changed_visit_index(table) -> IndexFolder:
     """An index of the visits in four versions: two write other kinds of a third of them, the last two write what they are."""
     index = IndexFolder(table.spark, scratch_path(table.spark, "changed-visits-index"), visits.VISITS)
-    events = table("events")
+    events = spread(table("events"))
     third, half = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0, F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
 
     def kinds(kind, where):
