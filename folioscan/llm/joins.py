@@ -17,11 +17,12 @@ def join_to_one(rows: DataFrame, one: DataFrame, keys: list[str], count: str) ->
     shuffled, at most as many of a key as make it hot. Both tables are read twice if there are hot keys, so they should be
     written ones.
     """
-    total = one.agg(F.sum(count)).first()[0] or 0
-    is_hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
-    hot = one.filter(is_hot)
-    if hot.isEmpty():
+    total, most = one.agg(F.sum(count), F.max(count)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
         return rows.join(one.drop(count), keys)
+    is_hot = F.col(count) > bound
+    hot = one.filter(is_hot)
     warm = rows.join(F.broadcast(hot.drop(count)), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.filter(~is_hot).drop(count), keys)
     return warm.unionByName(rest)

@@ -12,9 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm import joins
 from folioscan.llm.components import components
 from folioscan.llm.joins import join_to_one
-from folioscan.session import written
+from folioscan.session import gathered, written
 
 # Counters of the sketch of n-gram counts (2 to this power): 2 MB on the driver and in each task.
 SKETCH_BITS = 18
@@ -377,8 +378,9 @@ class _Texts:
         return pairs.mapInPandas(sieve, "a string, b string, a_n long, b_n long")
 
     def segments(self, nodes: DataFrame) -> DataFrame:
-        """(node, fragment, grams): the sets of some nodes, cut by the fragments of the order."""
+        """(node, fragment, grams): the sets of some nodes (node, least, n), cut by the fragments of the order."""
         words, shared = self.words, self.shared
+        grams = nodes.agg(F.sum("n")).first()[0]
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             order = Order(*shared.value)
@@ -392,30 +394,35 @@ class _Texts:
                     parts = np.split(grams.view(np.int64), ends[:-1]) if len(grams) else []
                     yield pd.DataFrame({"node": key, "fragment": [int(fragment[e - 1]) for e in ends], "grams": parts})
 
-        # One text for each set is enough, found by the least id that has it.
-        ids = written(self.sets.join(nodes, "node", "left_semi").select(F.col("least").cast("string").alias("id")).distinct(), "ngram-ids")
-        near = id_filter(self.docs, ids).join(ids.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        # One text for each set is enough, found by the least id that has it. The sets of the few other texts that
+        # the filter lets pass are none of the nodes, or are found twice.
+        near = id_filter(self.docs, nodes.select(F.col("least").cast("string").alias("id")))
         # Copies of a text leave a task as one row.
         texts = near.groupBy("id", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text")).select("text")
-        found = texts.mapInPandas(cut, "node string, fragment int, grams array<long>").join(nodes, "node", "left_semi")
-        return written(found.dropDuplicates(["node", "fragment"]), "ngram-segments")
+        found = gathered(texts, grams).mapInPandas(cut, "node string, fragment int, grams array<long>").join(nodes, "node", "left_semi")
+        return written(gathered(found.dropDuplicates(["node", "fragment"]), grams), "ngram-segments")
 
     def links(self, pairs: DataFrame, limit: Limit) -> DataFrame:
         """The pairs that are linked: partial overlaps are counted fragment by fragment and summed for each pair."""
         pairs = written(self.possible(pairs, limit), "ngram-candidates")
-        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ngram-nodes")
+        rows = pairs.count()
+        if not rows:
+            return pairs.select("a", "b")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        nodes = written(gathered(self.sets.join(ends, "node", "left_semi").select("node", "least", "n"), 2 * rows), "ngram-nodes")
         segments = self.segments(nodes)
-        pieces = pairs.select("a", "b", "a_n", "b_n", F.explode(F.sequence(F.lit(0), F.lit(self.fragments - 1))).alias("fragment"))
-
-        def of_side(side: str) -> DataFrame:
-            counts = pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("pairs"))
-            return segments.join(counts, "node").select(F.col("node").alias(side), "fragment", F.col("grams").alias(f"{side}_grams"), "pairs")
-
-        both = join_to_one(join_to_one(pieces, of_side("a"), ["a", "fragment"], "pairs"), of_side("b"), ["b", "fragment"], "pairs")
+        both = pairs.select("a", "b", "a_n", "b_n", F.explode(F.sequence(F.lit(0), F.lit(self.fragments - 1))).alias("fragment"))
+        for side in ("a", "b"):
+            of_side = segments.select(F.col("node").alias(side), "fragment", F.col("grams").alias(f"{side}_grams"))
+            if rows <= joins.HOT_ROWS:  # so no set is in as many pairs as make it hot
+                both = both.join(of_side, [side, "fragment"])
+            else:
+                counts = pairs.groupBy(side).agg(F.count("*").alias("pairs"))
+                both = join_to_one(both, of_side.join(counts, side), [side, "fragment"], "pairs")
         partial = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
         total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"))
         linked = F.lit(limit.of) * F.col("common") >= F.lit(limit.at_least) * (F.col("a_n") + F.col("b_n") - F.col("common"))
-        return written(total.filter(linked).select("a", "b"), "ngram-links")
+        return written(gathered(total.filter(linked).select("a", "b"), rows), "ngram-links")
 
 
 def _labelled_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
@@ -494,17 +501,20 @@ def linked_documents(
     pair, tiles = ["a1", "a2", "b1", "b2"], met.filter("kind = 2").select("token", "tile", "rows")
     first = met.filter("kind = 0").select(*pair).unionByName(_compare(_tile_pairs(tiles), limit, nearest=True))
     links = texts.links(_named(first), limit)
-    labels = written(components(links, "a", "b"), "ngram-labels")
+    labels = components(links, "a", "b")
     # What is left: possible pairs between components that are still different.
     a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("a_root")), labels.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
     apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
-    rest = _named(met.filter("kind = 1").select(*pair)).join(a, "a", "left").join(b, "b", "left").filter(apart).select("a", "b")
-    more = _named(_compare(_tile_pairs(_labelled_tiles(tiles, labels)), limit, nearest=False))
-    links = links.unionByName(texts.links(rest.unionByName(more).distinct(), limit))
+    more = _compare(_tile_pairs(_labelled_tiles(tiles, labels)), limit, nearest=False)
+    rest = _named(met.filter("kind = 1").select(*pair).unionByName(more))
+    rest = rest.join(a, "a", "left").join(b, "b", "left").filter(apart).select("a", "b")
+    # The components found so far stand for their links.
+    links = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(texts.links(rest, limit))
     roots = components(links, "a", "b")
-    sets = written(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-roots")
+    sets, rows = sets.select("node", "least", "rows"), sets.count()
+    sets = written(gathered(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), rows), "ngram-roots")
     named = sets.groupBy("root").agg(F.min("least").alias("component"))
-    of_set = written(sets.join(named, "root").select("node", "rows", "component"), "ngram-components")
+    of_set = written(gathered(sets.join(named, "root").select("node", "rows", "component"), rows), "ngram-components")
     linked = join_to_one(prints.filter("n > 0"), of_set, ["node"], "rows").select("id", "n", "component")
     out = linked.unionByName(prints.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component")

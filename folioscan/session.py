@@ -6,10 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Short rows that a task is given at least before a table takes more tasks than there are cores.
+TASK_ROWS = 250_000
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "folioscan") -> SparkSession:
     """A session for one machine: tests, the bench and trial runs. It sets its own shared folder."""
@@ -66,6 +70,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many short rows, in no more tasks than these need, but as many as the session has cores.
+
+    For a small outcome of a shuffle that would else be one task and one file for each of the shuffle's partitions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / TASK_ROWS)))
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings of a session for what runs inside, put back afterwards."""
