@@ -41,6 +41,9 @@ WORD_BYTES = 6
 FIELD_BLOCK = 4 << 20
 # Files that a task holds open at once, one for each field; with more fields Spark sorts the rows instead.
 OPEN_FILES = 64
+# Bytes of a method that Java still compiles. Fields and tokens of a row are made by more code than that in one stage, which
+# would be interpreted row by row; beyond the limit Spark runs the operators of the stage one after the other.
+COMPILED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 # Of what an index keeps; about a fourth smaller than Spark's default.
 COMPRESSION = "zstd"
 POSTING_SCHEMA = "doc_id string, ord int, pos int, start_off int, end_off int, term string, rng int, field string"
@@ -149,6 +152,10 @@ class IndexFolder:
         of type are refused. ``partitions`` is the number of buckets, for the first version only; without it there
         are as many as the session's shuffles have partitions, or more for a large batch (``BUCKET_POSTINGS``).
         """
+        with settings(self.spark, COMPILED):
+            return self._write(source, doc_id, version, seq, batch_id, partitions)
+
+    def _write(self, source: DataFrame, doc_id: str, version: int, seq: str | list[str] | None, batch_id: str | None, partitions: int | None) -> bool:
         id_ = F.lower(F.col(doc_id).cast("string"))
         # One pass over the source; what follows looks at ids, hashes and numbers of postings alone.
         about = [id_.alias("doc_id"), F.xxhash64(F.to_json(F.struct(*source.columns))).alias("hash"), self._posting_count(source, doc_id).alias("postings")]
