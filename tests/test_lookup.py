@@ -12,6 +12,7 @@ from folioscan.operators.postings import text_term_stats
 from folioscan.operators.stored_searches import StoredSearches, named_term
 from folioscan.operators.term_lookup import GramTable, VariantTable, documents_with, pattern_grams, shortened, shortened_text
 from folioscan.operators.zorder import interleaved, zorder_compacted
+from folioscan.plans import QUERIES
 from folioscan.session import scratch_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,6 +87,15 @@ def test_searches_meet_documents_without_a_shuffle(spark, plan, monkeypatch):
     assert twice == sorted(answers + [a for a in answers if a[1] == "d9"] * 3)
 
 
+def test_every_document_is_a_search(spark):
+    """Also documents whose id is no multiple of 50 are kept as searches."""
+    folder = scratch_path(spark, "asked")
+    rows = [(7, "red cat sat", 11), (50, "red cat", 7), (51, "cat of red", 10), (53, "dog", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    found = {tuple(r) for r in QUERIES["stored_searches"](spark, folder).select("search_id", "doc_id").collect()}
+    assert found == {("7", "50"), ("7", "51"), ("50", "7"), ("50", "50"), ("50", "51"), ("51", "7"), ("51", "50"), ("51", "51")}
+
+
 def test_texts_with_letters_left_out(spark):
     for text in ("", "a", "abca", "wörd"):
         for letters in (0, 1, 2):
