@@ -13,7 +13,7 @@ from folioscan.operators.stored_searches import StoredSearches, named_term
 from folioscan.operators.term_lookup import GramTable, VariantTable, documents_with, pattern_grams, shortened, shortened_text
 from folioscan.operators.zorder import interleaved, zorder_compacted
 from folioscan.plans import QUERIES
-from folioscan.session import scratch_path
+from folioscan.session import scratch_path, settings
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -87,6 +87,32 @@ def test_searches_meet_documents_without_a_shuffle(spark, plan, monkeypatch):
     assert twice == sorted(answers + [a for a in answers if a[1] == "d9"] * 3)
 
 
+def test_checks_of_searches_are_compiled(spark, plan, monkeypatch):
+    """What meets is checked by generated code that Java compiles; in any number of passes, and with lists longer than are checked in line."""
+    clause = [("f", f"w{i}") for i in range(6)]
+    searches = [(i, clause[: 1 + i % 2], clause[2:3] if i % 3 else None, [("n", i, None)]) for i in range(12)]
+    kept = StoredSearches(spark, scratch_path(spark, "searches")).write(spark.createDataFrame(searches, SEARCHES), spark.createDataFrame([], "field string, term string, doc_freq bigint"))
+    rows = [(i, [f"f\x01w{j}" for j in range(1 + i % 3)] + ([None] if i == 9 else []), {"n": i}) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>, numbers map<string,bigint>")
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        found = kept.matches(docs, numbers="numbers")
+        assert re.search(r"BroadcastHashJoin \[codegen id : \d+\]", plan(found))
+        code = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+    answers = sorted((s, d) for s, must, none, _ in searches for d in range(20) if len(must) <= 1 + d % 3 and not (none and (d % 3 == 2 or d == 9)) and d >= s)
+    assert sorted(map(tuple, found.collect())) == answers and len(answers) > 20
+    monkeypatch.setattr("folioscan.operators.stored_searches.AT_ONCE", 2)
+    monkeypatch.setattr("folioscan.operators.stored_searches.TOGETHER", 4)
+    found = kept.matches(docs, numbers="numbers")
+    assert plan(found).count("BroadcastHashJoin") == 0 and sorted(map(tuple, found.collect())) == answers
+    # One search of six terms, and a term that is null or has the name of a number.
+    odd = [(0, clause, clause[:0], None), (1, clause, [("f", "x")], None), (2, [("f", "w0"), ("f", None)], None, None), (3, clause[:1], [(None, "x")], None)]
+    kept = StoredSearches(spark, scratch_path(spark, "searches")).write(spark.createDataFrame(odd, SEARCHES), spark.createDataFrame([], "field string, term string, doc_freq bigint"))
+    rows = [(i, [f"f\x01w{j}" for j in range(4 + i)], {}) for i in range(4)] + [(9, [f"f\x01{w}" for w in "w0 w1 w2 w3 w4 w5 x".split()], {})]
+    found = kept.matches(spark.createDataFrame(rows, "doc_id long, terms array<string>, numbers map<string,bigint>"), numbers="numbers")
+    assert sorted(map(tuple, found.collect())) == [(0, 2), (0, 3), (0, 9), (1, 2), (1, 3)]
+
+
 def test_every_document_is_a_search(spark):
     """Also documents whose id is no multiple of 50 are kept as searches."""
     folder = scratch_path(spark, "asked")
