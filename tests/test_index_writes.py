@@ -50,6 +50,30 @@ def test_kept_files_are_compressed_well(spark, index):
         assert kept.inputFiles() and all(".zstd" in f for f in kept.inputFiles())
 
 
+def test_compaction_goes_bucket_by_bucket(spark, index, plan, monkeypatch):
+    """No shuffle of postings, one file for each bucket and field, and all that is rewritten compressed well."""
+    index.write(rows(spark, {f"d{i}": "blue the rod" for i in range(40)}), "id", 1)
+    index.write(rows(spark, {f"d{i}": "red rod" for i in range(9)}), "id", 2)
+    index.write(rows(spark, {f"d{i}": "green" for i in range(5, 12)}), "id", 3)
+    index.delete(spark.createDataFrame([("d0",), ("d30",)], "id string"), "id", 4)
+    index.write(rows(spark, {"d0": "again"}), "id", 5)
+    saved = []
+    save = IndexFolder._save
+    monkeypatch.setattr(IndexFolder, "_save", lambda self, rows, name, v, b, p, o, dealt=False: (saved.append((name, dealt, plan(rows))), save(self, rows, name, v, b, p, o, dealt)))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        compacted = index.compact(scratch_path(spark, "compacted"))
+    assert [(name, dealt) for name, dealt, _ in saved] == [("postings", True)] and "Exchange" not in saved[0][2] and "SortMergeJoin" not in saved[0][2]
+    bodies = {f"d{i}": "green" if 5 <= i < 12 else "red rod" if i < 9 else "blue the rod" for i in range(40) if i != 30} | {"d0": "again"}
+    expected = sorted((d, p, t) for d, body in bodies.items() for p, t in enumerate(body.split()) if t != "the")
+    for folder in (index, compacted):
+        assert sorted((r.doc_id, r.pos, r.term) for r in folder.postings("body").collect()) == expected
+        assert sorted((r.doc_id, r.term) for r in folder.fields().collect()) == sorted(bodies.items())
+        assert sorted(r.doc_id for r in folder.documents().collect()) == sorted(bodies)
+    assert len(compacted.postings().inputFiles()) <= 4
+    for kept in (compacted.documents(), compacted.fields(), compacted.postings(), compacted.terms()):
+        assert kept.inputFiles() and all(".zstd" in f for f in kept.inputFiles())
+
+
 def test_settings_are_put_back(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     with pytest.raises(ValueError), settings(spark, {"spark.sql.shuffle.partitions": "3", "folioscan.none": "x"}):
